@@ -8,3 +8,43 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from .operators import skew  # noqa: E402
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+@query("SELECT gene_integer_id FROM expression GROUP BY 1 HAVING count(*) >= 0.02 * (SELECT count(*) FROM expression)")
+def p4_found(spark, d):
+    """Genes with at least 2 % of all stored rows."""
+    return skew.frequent_keys(table(spark, d, "expression"), "gene_integer_id", 0.02).select("gene_integer_id")
+
+
+P4 = """SELECT {0}, count(*) n_rows, count(DISTINCT {1}) n_distinct, count(u) n_usable, round(sum(u), 4) sum_value, min(u) min_value, max(u) max_value
+  FROM (SELECT *, CASE WHEN value > 0 AND NOT isnan(value) THEN value END u FROM expression) GROUP BY 1"""
+
+
+@query(P4.format("gene_integer_id", "cell_integer_id"))
+def p4_genes(spark, d):
+    """Rows, distinct cells and statistics per gene."""
+    return skew.salted_aggregate(table(spark, d, "expression"), "gene_integer_id", "value", "cell_integer_id").withColumn("sum_value", F.round("sum_value", 4))
+
+
+@query(P4.format("cell_integer_id", "gene_integer_id"))
+def p4_cells(spark, d):
+    """Rows, distinct genes and statistics per cell."""
+    return skew.salted_aggregate(table(spark, d, "expression"), "cell_integer_id", "value", "gene_integer_id").withColumn("sum_value", F.round("sum_value", 4))

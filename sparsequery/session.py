@@ -67,3 +67,11 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that the shuffle files of finished stages are deleted from the executors."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
