@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from . import mixing, tokenize, truncation
+from ..session import stage
+from . import clusters, frequency, mixing, neighbours, percentiles, splits, tokenize, topn, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,3 +64,190 @@ def p10_found(spark, d):
 def p10_rates(spark, d):
     """How often each source cuts, and at which lengths."""
     return truncation.truncation_rates(table(spark, d, "documents"))
+
+
+# The usable values of expression and each pair's current one, as SQL.
+CURRENT = """current_pairs AS (SELECT cell_integer_id, gene_integer_id, value FROM (SELECT *, row_number() OVER (PARTITION BY cell_integer_id, gene_integer_id ORDER BY loaded_at DESC NULLS LAST, value DESC) k
+  FROM expression WHERE value IS NOT NULL AND NOT isnan(value) AND value > 0) WHERE k = 1)"""
+CELL_BATCH = """cell_batch AS (SELECT cell_integer_id, lower(trim(any_value(batch))) batch, any_value(donor) donor, any_value(total_counts)::DOUBLE total_counts FROM cells GROUP BY 1)"""
+
+
+def cell_rows(cells: DataFrame) -> DataFrame:
+    """(cell_integer_id, batch, donor, total_counts) once per cell: the latest delivery, batch trimmed and in lower case."""
+    b = F.lower(F.trim(F.col("batch")))
+    one = cells.filter(F.col("cell_integer_id").isNotNull()).groupBy("cell_integer_id").agg(F.max(F.struct("loaded_at", b.alias("batch"), "donor", F.col("total_counts").cast("double").alias("total_counts"))).alias("c"))
+    return one.select("cell_integer_id", "c.batch", "c.donor", "c.total_counts")
+
+
+def usable(c: str):
+    return F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) > 0)
+
+
+@query(f"WITH {CURRENT} SELECT cell_integer_id, gene_integer_id FROM (SELECT *, row_number() OVER (PARTITION BY cell_integer_id ORDER BY value DESC, gene_integer_id) r FROM current_pairs) WHERE r <= 5")
+def p3_found(spark, d):
+    """Per cell its first five genes by current value."""
+    now = topn.current_values(table(spark, d, "expression"))
+    return topn.top_n(now, "cell_integer_id", "gene_integer_id", "value", 5).select("cell_integer_id", "gene_integer_id")
+
+
+@query(f"WITH {CURRENT} SELECT gene_integer_id, cell_integer_id, value, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY gene_integer_id ORDER BY value DESC, cell_integer_id) r FROM current_pairs) WHERE r <= 10")
+def p3_gene_cells(spark, d):
+    """Per gene its first ten cells by current value; one gene holds a tenth of the rows."""
+    now = topn.current_values(table(spark, d, "expression"))
+    return topn.top_n(now, "gene_integer_id", "cell_integer_id", "value", 10)
+
+
+@query(f"""WITH {CELL_BATCH}, u AS (SELECT * FROM cell_batch WHERE batch IS NOT NULL AND total_counts > 0 AND NOT isnan(total_counts)),
+  q AS (SELECT batch, quantile_cont(total_counts, 0.1) q10, quantile_cont(total_counts, 0.9) q90 FROM u GROUP BY 1)
+  SELECT cell_integer_id FROM u JOIN q USING (batch) WHERE total_counts > 3 * q90 OR total_counts < q10 / 3""")
+def p5_found(spark, d):
+    """Cells whose total lies far outside the usual range of their batch."""
+    cells = stage(cell_rows(table(spark, d, "cells")).filter(F.col("batch").isNotNull() & usable("total_counts")).select("cell_integer_id", "batch", "total_counts"), "totals")
+    q = percentiles.multi_select(cells, ["batch"], "total_counts", [0.1, 0.9])
+    wide = q.groupBy("batch").agg(F.max(F.when(F.col("p") == 0.1, F.col("percentile"))).alias("q10"), F.max(F.when(F.col("p") == 0.9, F.col("percentile"))).alias("q90"))
+    out = (F.col("total_counts") > 3 * F.col("q90")) | (F.col("total_counts") < F.col("q10") / 3)
+    return cells.join(wide, "batch").filter(out).select("cell_integer_id")
+
+
+@query(f"""WITH {CELL_BATCH}, u AS (SELECT * FROM cell_batch WHERE total_counts > 0 AND NOT isnan(total_counts)), q AS (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9]) p)
+  SELECT batch, p, count(*) n, round(CASE p WHEN 0.1 THEN quantile_cont(total_counts, 0.1) WHEN 0.25 THEN quantile_cont(total_counts, 0.25) WHEN 0.5 THEN quantile_cont(total_counts, 0.5) WHEN 0.75 THEN quantile_cont(total_counts, 0.75) ELSE quantile_cont(total_counts, 0.9) END, 4) percentile
+  FROM u, q GROUP BY batch, p""")
+def p5_total_counts(spark, d):
+    """Percentiles of usable total_counts per batch; cells without a batch are a group of their own."""
+    cells = cell_rows(table(spark, d, "cells")).filter(usable("total_counts")).select("batch", "total_counts")
+    return percentiles.multi_select(cells, ["batch"], "total_counts", [0.1, 0.25, 0.5, 0.75, 0.9]).withColumn("percentile", F.round("percentile", 4))
+
+
+@query(f"""WITH {CURRENT}, {CELL_BATCH} SELECT batch, count(*) n, 0.5::DOUBLE p, round(median(value), 4) percentile FROM current_pairs LEFT JOIN cell_batch USING (cell_integer_id) GROUP BY 1""")
+def p5_expression(spark, d):
+    """Median current value of expression per batch of the cell."""
+    now = topn.current_values(table(spark, d, "expression"))
+    b = cell_rows(table(spark, d, "cells")).select("cell_integer_id", "batch")
+    j = now.join(b, "cell_integer_id", "left").select("batch", "value")
+    return percentiles.multi_select(j, ["batch"], "value", [0.5]).withColumn("percentile", F.round("percentile", 4))
+
+
+@query()
+def p5_combined(spark, d):
+    """Percentiles per batch from summaries of each source file, combined; the rank is off by at most n / 64 plus one per file."""
+    c = table(spark, d, "cells").filter(F.col("cell_integer_id").isNotNull())
+    one = c.groupBy("cell_integer_id").agg(F.max(F.struct("loaded_at", "source_file", F.lower(F.trim("batch")).alias("batch"), F.col("total_counts").cast("double").alias("total_counts"))).alias("c"))
+    one = one.select("c.source_file", "c.batch", "c.total_counts").filter(usable("total_counts"))
+    return percentiles.combine(percentiles.summarize(one, "source_file", ["batch"], "total_counts"), ["batch"], [0.1, 0.5, 0.9])
+
+
+def _batches(spark, d) -> tuple[DataFrame, DataFrame]:
+    cells = stage(cell_rows(table(spark, d, "cells")).select("cell_integer_id", "batch", "donor"), "batches")
+    return cells, splits.tied_groups(cells, "batch", "donor")
+
+
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT lower(trim(batch)) b, donor t FROM cells WHERE batch IS NOT NULL AND donor IS NOT NULL), e AS (SELECT DISTINCT x.b a, y.b b FROM c x JOIN c y USING (t)),
+  r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS batch_a, b AS batch_b FROM r WHERE a < b""")
+def p6_found(spark, d):
+    """Pairs of batches that must share a split."""
+    _, comp = _batches(spark, d)
+    a = comp.select(F.col("node").alias("batch_a"), "component")
+    b = comp.select(F.col("node").alias("batch_b"), "component")
+    return a.join(b, "component").filter("batch_a < batch_b").select("batch_a", "batch_b")
+
+
+@query()
+def p6_splits(spark, d):
+    """Every cell's split."""
+    cells, comp = _batches(spark, d)
+    # a cell without a batch is tied to nothing
+    unit = F.coalesce(F.concat(F.lit("batch "), "component"), F.concat(F.lit("cell "), F.col("cell_integer_id").cast("string")))
+    members = cells.join(comp, cells["batch"] == comp["node"], "left").select("cell_integer_id", unit.alias("unit"))
+    return splits.assign_splits(members, table(spark, d, "splittargets")).select("cell_integer_id", "split_name")
+
+
+@query()
+def p6_shares(spark, d):
+    """Cells, batches and share of each split."""
+    s = p6_splits(spark, d)
+    b = cell_rows(table(spark, d, "cells")).select("cell_integer_id", "batch")
+    t = stage(s.join(b, "cell_integer_id").groupBy("split_name").agg(F.count(F.lit(1)).alias("n_cells"), F.countDistinct("batch").alias("n_batches")), "shares")
+    n = t.agg(F.sum("n_cells")).first()[0] or 1
+    return t.withColumn("share", F.col("n_cells") / F.lit(float(n)))
+
+
+def _genes(spark, d) -> DataFrame:
+    return table(spark, d, "genes").select("gene_integer_id").filter("gene_integer_id is not null").distinct()
+
+
+def _n_cells(spark, d) -> int:
+    return table(spark, d, "cells").agg(F.countDistinct("cell_integer_id")).first()[0]
+
+
+def _terms(rows: DataFrame) -> DataFrame:
+    f = frequency.ngram_frequencies(rows, "cell_integer_id", "gene_integer_id")
+    return f.select(F.col("gram")[0].alias("gene_integer_id"), "n_occurrences", "n_records")
+
+
+@query("""WITH n AS (SELECT count(DISTINCT cell_integer_id) n FROM cells), c AS (SELECT gene_integer_id, count(DISTINCT cell_integer_id) k FROM expression WHERE value > 0 AND NOT isnan(value) GROUP BY 1)
+  SELECT DISTINCT g.gene_integer_id FROM genes g LEFT JOIN c USING (gene_integer_id), n WHERE g.gene_integer_id IS NOT NULL AND (coalesce(k, 0) < 0.001 * n OR coalesce(k, 0) > 0.5 * n)""")
+def p7_found(spark, d):
+    """Genes too rare or too common by their current values."""
+    e = table(spark, d, "expression").withColumn("value", F.col("value").cast("double")).filter(usable("value"))
+    t = _genes(spark, d).join(_terms(e), "gene_integer_id", "left")
+    return frequency.mark(t, _n_cells(spark, d)).filter("mark <> 'useful'").select("gene_integer_id")
+
+
+@query("""WITH n AS (SELECT count(DISTINCT cell_integer_id) n FROM cells), g AS (SELECT DISTINCT gene_integer_id FROM genes WHERE gene_integer_id IS NOT NULL),
+  c AS (SELECT gene_integer_id, count(*) rows, count(DISTINCT cell_integer_id) cells, count(DISTINCT CASE WHEN value > 0 AND NOT isnan(value) THEN cell_integer_id END) k FROM expression GROUP BY 1)
+  SELECT gene_integer_id, coalesce(rows, 0) n_rows, coalesce(cells, 0) n_cells, coalesce(k, 0) n_current, CASE WHEN coalesce(k, 0) < 0.001 * n THEN 'rare' WHEN coalesce(k, 0) > 0.5 * n THEN 'common' ELSE 'useful' END mark
+  FROM g LEFT JOIN c USING (gene_integer_id), n""")
+def p7_genes(spark, d):
+    """Rows and cells of every gene, those without rows included, and its mark."""
+    e = table(spark, d, "expression")
+    rows = _terms(e).withColumnsRenamed({"n_occurrences": "n_rows", "n_records": "n_cells"})
+    now = _terms(e.withColumn("value", F.col("value").cast("double")).filter(usable("value"))).select("gene_integer_id", F.col("n_records").alias("n_current"))
+    t = _genes(spark, d).join(rows, "gene_integer_id", "left").join(now, "gene_integer_id", "left").na.fill(0)
+    return frequency.mark(t, _n_cells(spark, d), column="n_current")
+
+
+@query("SELECT coalesce(CAST(highly_variable AS VARCHAR), 'null') state, count(*) n_rows, count(DISTINCT gene_integer_id) n_genes FROM genes GROUP BY 1")
+def p7_states(spark, d):
+    """Rows and genes of each state of highly_variable, null included."""
+    g = table(spark, d, "genes").select("gene_integer_id", F.coalesce(F.col("highly_variable").cast("string"), F.lit("null")).alias("state"))
+    f = frequency.ngram_frequencies(g, "gene_integer_id", "state")
+    return f.select(F.col("gram")[0].alias("state"), F.col("n_occurrences").alias("n_rows"), F.col("n_records").alias("n_genes"))
+
+
+@query()
+def p1_found(spark, d):
+    """Pairs with a cosine of at least 0.99 of which one is among the ten most similar of the other."""
+    near = neighbours.nearest_vectors(table(spark, d, "cells"), "cell_integer_id", "key", k=10, least=0.99)
+    return neighbours.similar_pairs(near, 0.99).select("id_a", "id_b")
+
+
+@query()
+def p1_neighbours(spark, d):
+    """The ten most similar cells of every cell."""
+    return neighbours.nearest_vectors(table(spark, d, "cells"), "cell_integer_id", "key", k=10)
+
+
+CELL_TYPE = F.regexp_replace(F.lower(F.trim("cell_type")), "[ _]+", "-")
+
+
+@query()
+def p2_found(spark, d):
+    """Groups of cells all similar (cosine 0.86) to one another and to no cell outside."""
+    g = clusters.density_groups(table(spark, d, "cells"), "cell_integer_id", "key", eps=0.14, reach=0.14)
+    out = stage(clusters.closed_groups(g, 64, 0.86).select(F.col("id").alias("cell_integer_id"), "base"), "closed")
+    name = out.groupBy("base").agg(F.min("cell_integer_id").alias("cluster_id"))
+    return out.join(name, "base").select("cell_integer_id", "cluster_id")
+
+
+@query()
+def p2_clusters(spark, d):
+    """Size, exemplars and cell types of every chosen cluster of the hierarchy."""
+    cells = table(spark, d, "cells")
+    g = clusters.density_groups(cells, "cell_integer_id", "key", eps=0.14, reach=0.5)
+    lab = g["labels"].filter("cluster is not null")
+    w = Window.partitionBy("cluster").orderBy(F.desc("density"), "id")
+    best = lab.withColumn("r", F.row_number().over(w)).filter("r <= 3").groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"].cast("string")), ",").alias("exemplars"))
+    kinds = cells.groupBy("cell_integer_id").agg(F.max(CELL_TYPE).alias("kind")).withColumnRenamed("cell_integer_id", "cid")
+    per = lab.join(kinds, lab["id"] == kinds["cid"], "left").groupBy("cluster", "kind").agg(F.count(F.lit(1)).alias("n"))
+    types = per.groupBy("cluster").agg(F.sum("n").cast("bigint").alias("n_cells"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.coalesce("kind", F.lit("(none)")).alias("kind")))), lambda x: F.concat(x["kind"], F.lit(":"), (-x["m"]).cast("string"))), ", ").alias("cell_types"))
+    return types.join(best, "cluster").select(F.col("cluster").alias("cluster_id"), "n_cells", "exemplars", "cell_types")
