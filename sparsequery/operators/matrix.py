@@ -98,15 +98,20 @@ class LazyMatrix:
             raise ValueError(f"no reduction {unknown}")
         if not min(self.shape):
             raise ValueError("an empty view can't be reduced")
-        v = F.col(VALUE)
-        parts = [F.sum(v).alias("__s"), F.sum(v * v).alias("__q"), F.max(v).alias("__max"), F.min(v).alias("__min"), F.count(v).alias("__n")]
+        v, d, w = F.col(VALUE), self.df(), F.lit(1)
+        # an id selected several times counts as often along the axis that is reduced
+        for i, (sel, key) in enumerate(((self.rows, CELL), (self.cols, GENE))):
+            if axis in (None, i) and sel.ids is not None and len(set(sel.ids)) < len(sel.ids):
+                times = sel.frame(self.source.sparkSession).groupBy(F.col("id").alias(f"__i{i}")).agg(F.count(F.lit(1)).alias(f"__w{i}"))
+                d, w = d.join(times, d[key] == times[f"__i{i}"]), w * F.col(f"__w{i}")
+        parts = [F.sum(v * w).alias("__s"), F.sum(v * v * w).alias("__q"), F.max(v).alias("__max"), F.min(v).alias("__min"), F.sum(w).alias("__n")]
         need = {"sum": "s", "mean": "s", "var": "sq", "std": "sq", "max": ["max"], "min": ["min"], "count": ["n"]}
         used = {f"__{x}" for o in ops for x in need[o]}
         parts = [p for p, k in zip(parts, ("__s", "__q", "__max", "__min", "__n")) if k in used]
         if axis is None:
-            return self.df().agg(*parts).select(*(self._final(o, len(self.rows) * len(self.cols)).alias(o) for o in ops))
+            return d.agg(*parts).select(*(self._final(o, len(self.rows) * len(self.cols)).alias(o) for o in ops))
         key, sel, n = self._axis(axis)
-        agg = self.df().groupBy(F.col(key).alias("__k")).agg(*parts)
+        agg = d.groupBy(F.col(key).alias("__k")).agg(*parts)
         ids = sel.frame(self.source.sparkSession).select("id").distinct() if sel.ids is not None else sel.frame(self.source.sparkSession).select("id")
         return ids.join(agg, F.col("id") == F.col("__k"), "left").select(F.col("id").cast(self.source.schema[key].dataType).alias(key), *(self._final(o, n).alias(o) for o in ops))
 
