@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import stage
+from ..session import stage, workers
 
 
 def _number(batches):
@@ -28,6 +28,7 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitio
     ``order`` should be total; ties get an arbitrary but consistent order. An empty table stays empty.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    workers(df.sparkSession)
     pid, i = "__sq_pid", "__sq_i"
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(pid, F.spark_partition_id())
     schema = T.StructType([*ranged.schema.fields, T.StructField(i, T.LongType())])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -62,6 +63,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
+def workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if it isn't installed there."""
+    env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from ..session import workers
+
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, glob: str = "*.parquet", files_per_batch: int = 1) -> DataFrame:
     """A stream over Parquet files, ``files_per_batch`` files per micro-batch."""
@@ -45,6 +47,7 @@ def complete_groups(stream: DataFrame, expected: DataFrame, group: str, item: st
     Rows of unfinished groups are kept in the keyed state; groups that ``expected`` lacks are never emitted. Lists are
     ordered by item, then value.
     """
+    workers(stream.sparkSession)
     need = expected.select(F.col(group).alias("__g"), F.col("n").cast("bigint").alias("__n"))
     rows = stream.select(group, F.col(item).cast("bigint").alias("item"), F.col(value).cast("double").alias("value"))
     joined = rows.join(need, rows[group] == need["__g"]).select(group, "item", "value", "__n")
