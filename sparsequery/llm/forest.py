@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import workers
+
 BLOCK = 1024  # rows of a similarity block
 
 
@@ -38,6 +40,7 @@ def usable_vectors(rows: DataFrame, id_col: str, vec_col: str, dim: int, keep_un
             vec = pa.Array.from_buffers(pa.binary(), n, [None, at, pa.py_buffer(x.tobytes())])
             yield pa.RecordBatch.from_arrays([ids.filter(pa.array(good)), vec], names=["id", "vec"])
 
+    workers(rows.sparkSession)
     src = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("key")).filter("id is not null and key is not null")
     return src.mapInArrow(run, "id bigint, vec binary")
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import workers
+
 
 def _intervals(max_n: int, schema):
     """Common-prefix intervals over sorted (suffix, n) batches; an interval cut by a batch or partition end leaves parts."""
@@ -59,6 +61,7 @@ def ngram_frequencies(rows: DataFrame, record: str, term: str, order: list[str]
     occurrences. Counts are combined before every shuffle, so a term with a third of all rows costs a row per task and
     record. Empty input gives an empty result.
     """
+    workers(rows.sparkSession)
     cols = [F.col(record).alias("r"), F.col(term).alias("t"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order or []))]
     s = rows.select(*cols).filter(F.col("t").isNotNull())
     if max_n > 1:

@@ -227,7 +227,9 @@ def p1_neighbours(spark, d):
     return neighbours.nearest_vectors(table(spark, d, "cells"), "cell_integer_id", "key", k=10)
 
 
-CELL_TYPE = F.regexp_replace(F.lower(F.trim("cell_type")), "[ _]+", "-")
+def cell_type():
+    """The type in one spelling."""
+    return F.regexp_replace(F.lower(F.trim("cell_type")), "[ _]+", "-")
 
 
 @query()
@@ -247,7 +249,7 @@ def p2_clusters(spark, d):
     lab = g["labels"].filter("cluster is not null")
     w = Window.partitionBy("cluster").orderBy(F.desc("density"), "id")
     best = lab.withColumn("r", F.row_number().over(w)).filter("r <= 3").groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"].cast("string")), ",").alias("exemplars"))
-    kinds = cells.groupBy("cell_integer_id").agg(F.max(CELL_TYPE).alias("kind")).withColumnRenamed("cell_integer_id", "cid")
+    kinds = cells.groupBy("cell_integer_id").agg(F.max(cell_type()).alias("kind")).withColumnRenamed("cell_integer_id", "cid")
     per = lab.join(kinds, lab["id"] == kinds["cid"], "left").groupBy("cluster", "kind").agg(F.count(F.lit(1)).alias("n"))
     types = per.groupBy("cluster").agg(F.sum("n").cast("bigint").alias("n_cells"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.coalesce("kind", F.lit("(none)")).alias("kind")))), lambda x: F.concat(x["kind"], F.lit(":"), (-x["m"]).cast("string"))), ", ").alias("cell_types"))
     return types.join(best, "cluster").select(F.col("cluster").alias("cluster_id"), "n_cells", "exemplars", "cell_types")

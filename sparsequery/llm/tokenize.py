@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import workers
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
@@ -321,6 +323,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), lists], names=[id_col, "ids"])
 
+    workers(docs.sparkSession)
     src = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__sq_text"))
     kind = dict(src.dtypes)[id_col]
     return src.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
@@ -338,6 +341,7 @@ def count_tokens(docs: DataFrame, keep: list[str], text_col: str = "text", vocab
             n = np.concatenate(n) if n else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
+    workers(docs.sparkSession)
     src = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("__sq_text"))
     schema = ", ".join(f"`{c}` {k}" for c, k in src.dtypes[:-1])
     return src.mapInArrow(run, f"{schema}, n_tokens bigint")

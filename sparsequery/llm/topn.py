@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import scratch_path
+from ..session import scratch_path, workers
 
 
 def current_values(expression: DataFrame) -> DataFrame:
@@ -82,6 +82,7 @@ def top_n(rows: DataFrame, group: str, item: str, score: str, n: int, row_group_
     own; an empty table gives an empty result. Groups may have any number of rows.
     """
     spark = rows.sparkSession
+    workers(spark)
     src = rows.select(F.col(group).alias("g"), F.col(score).cast("double").alias("s"), F.col(item).alias("i"))
     src = src.filter("g is not null and i is not null and s is not null and not isnan(s)")
     order = [F.col("g"), F.col("s").desc(), F.col("i")]

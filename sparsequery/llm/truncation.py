@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import stage
+from ..session import stage, workers
 from .endings import BROKEN, DOUBTFUL, ending
 
 
@@ -33,6 +33,7 @@ def text_ends(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             cols = [pa.array([x[i] for x in e], pa.int32()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc", "source", "state", "chars", "bytes"])
 
+    workers(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, f"doc {dict(src.dtypes)['doc']}, source string, state int, chars int, bytes int")
 
