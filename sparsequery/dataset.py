@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import threading
+from collections.abc import Callable
 from typing import Any
 
 import numpy as np
@@ -24,7 +25,7 @@ BROADCAST_ROWS = 200_000  # dimension tables up to this many rows are broadcast,
 class Dataset:
     """Tables of one dataset and lazy views on them. Nothing runs until a result is asked for."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], shape: tuple[int, int] | None = None, folder: str | None = None, config: layout.Config | None = None):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], shape: tuple[int, int] | Callable[[], tuple[int, int]] | None = None, folder: str | None = None, config: layout.Config | None = None):
         for n in ("cells", "genes", "expression"):
             if n not in tables:
                 raise FileNotFoundError(f"the dataset has no table {n}")
@@ -40,6 +41,8 @@ class Dataset:
 
     @property
     def shape(self) -> tuple[int, int]:
+        if callable(self._shape):
+            self._shape = self._shape()
         if self._shape is None:
             a = self.cells.agg(F.max(CELL)).first()[0]
             b = self.genes.agg(F.max(GENE)).first()[0]

@@ -45,7 +45,9 @@ def dataset(spark: SparkSession, d: str) -> Dataset:
     genes = table(spark, d, "genes").groupBy(GENE).agg(*(F.max(c).alias(c) for c in ("gene_id", "gene_symbol", "gene_type", "highly_variable")))
     v = F.col(VALUE).cast("double")
     e = table(spark, d, "expression").filter(v.isNotNull() & ~F.isnan(v) & (v > 0)).groupBy(CELL, GENE).agg(F.max(F.struct("loaded_at", v.alias(VALUE))).alias("x")).select(CELL, GENE, F.col("x.value").alias(VALUE))
-    return Dataset(spark, {"cells": cells, "genes": genes, "expression": e, "layers": table(spark, d, "layers"), "cellsxcells": table(spark, d, "cellsxcells")})
+    highest = lambda name, key: table(spark, d, name).agg(F.coalesce(F.max(key), F.lit(-1))).first()[0] + 1  # noqa: E731  from the id column of the files alone
+    shape = lambda: (highest("cells", CELL), highest("genes", GENE))
+    return Dataset(spark, {"cells": cells, "genes": genes, "expression": e, "layers": table(spark, d, "layers"), "cellsxcells": table(spark, d, "cellsxcells")}, shape)
 
 
 NUDGE = 3e-9  # moves decimal ties off the rounding edge, where engines that sum in another order would part
