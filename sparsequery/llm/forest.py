@@ -8,6 +8,7 @@ visits its own leaf in each tree, and the remaining visits go to the leaves behi
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -156,11 +157,6 @@ class Forest:
             own = np.concatenate([own, np.zeros_like(own)], 1)[rows, pick]
 
 
-def distinct_vectors(vectors: DataFrame) -> DataFrame:
-    """(``rid`` smallest id, vec): rows with the very same vector merge, on the map side first."""
-    return vectors.groupBy("vec").agg(F.min("id").alias("rid"))
-
-
 def members(vectors: DataFrame) -> DataFrame:
     """(id, ``h1``, ``h2``): distinct ids with a 128-bit name of their vector, without the vector itself."""
     return vectors.select("id", F.xxhash64("vec").alias("h1"), F.xxhash64("vec", F.lit(1)).alias("h2")).distinct()
@@ -176,24 +172,50 @@ def build(vectors: DataFrame, dim: int, trees: int, leaf_size: int, max_sample:
     return Forest(unit(x).astype(np.float32) if len(x) else np.zeros((0, dim), np.float32), n, trees, leaf_size, seed)
 
 
-def place(distinct: DataFrame, forest: Forest, dim: int, probes: int) -> DataFrame:
-    """(leaf, own, rid, vec): a row per visit."""
-    spark = distinct.sparkSession
-    shared = spark.sparkContext.broadcast(forest)  # at most max_sample / 16 nodes a tree
+def place(vectors: DataFrame, forest: Forest, dim: int, probes: int) -> DataFrame:
+    """(leaf, own, id, vec): a row per visit of each distinct vector of an input partition.
+
+    Equal vectors visit the same leaves, so copies merge without a shuffle of their own: inside a partition here (only
+    an id below the smallest one sent so far is sent again), and for good in the leaf (:func:`merge_copies`). A vector
+    that a third of all rows hold sends a row per partition and visit.
+    """
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast(forest)  # at most max_sample / 16 leaves a tree
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        f = shared.value
+        f, sent = shared.value, {}
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 c = b.slice(at, 4096)
-                leaf, own = f.visits(unit(as_matrix(c.column(1), dim)).astype(np.float32), probes)
+                raw, ids = as_matrix(c.column(1), dim), c.column(0).to_numpy()
+                new = np.zeros(len(raw), bool)
+                for i, (row, k) in enumerate(zip(raw, ids.tolist())):
+                    name = blake2b(row.tobytes(), digest_size=16).digest()
+                    if sent.get(name, k + 1) > k:
+                        sent[name], new[i] = k, True
+                raw, kept = raw[new], pa.array(np.flatnonzero(new))
+                if not len(raw):
+                    continue
+                leaf, own = f.visits(unit(raw).astype(np.float32), probes)
                 r, p = np.nonzero(leaf >= 0)
-                t = pa.array(r)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf[r, p]), pa.array(own[r, p]), c.column(0).take(t), c.column(1).take(t)], names=["leaf", "own", "rid", "vec"])
-
-    return distinct.select("rid", "vec").mapInArrow(run, "leaf bigint, own boolean, rid bigint, vec binary")
+                t = kept.take(pa.array(r))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[r, p]), pa.array(own[r, p]), c.column(0).take(t), c.column(1).take(t)], names=["leaf", "own", "id", "vec"])
+
+    return vectors.select("id", "vec").mapInArrow(run, "leaf bigint, own boolean, id bigint, vec binary")
+
+
+def merge_copies(t, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(smallest ids, vectors, own) of the distinct vectors of a leaf."""
+    ids, own, raw = t.column("id").to_numpy(), t.column("own").to_numpy(zero_copy_only=False), as_matrix(t.column("vec"), dim)
+    if not len(ids):
+        return ids, raw, own
+    _, first, back = np.unique(np.ascontiguousarray(raw).view(f"V{4 * dim}").ravel(), return_index=True, return_inverse=True)
+    low = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(low, back, ids)
+    order = np.argsort(low)
+    return low[order], raw[first[order]], own[first[order]]
 
 
 def local_cells(x: np.ndarray, own: np.ndarray, cap: int, rng) -> Iterator[np.ndarray]:

@@ -23,13 +23,13 @@ def nearest_vectors(
     """
     vectors = rp.usable_vectors(rows, id_col, vec_col, dim)
     forest = rp.build(vectors, dim, trees, leaf_size, max_sample, seed)
-    placed = rp.place(rp.distinct_vectors(vectors), forest, dim, probes)
+    placed = rp.place(vectors, forest, dim, probes)
 
     def search(t):
         import pyarrow as pa
 
-        ids, own = t.column("rid").to_numpy(), t.column("own").to_numpy(zero_copy_only=False)
-        a, b, s = rp.leaf_neighbours(ids, rp.as_matrix(t.column("vec"), dim), own, k, least)
+        ids, raw, own = rp.merge_copies(t, dim)
+        a, b, s = rp.leaf_neighbours(ids, raw, own, k, least)
         if not len(a):
             return pa.table({"a": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.struct([("d", pa.float64()), ("b", pa.int64())])))})
         order = np.argsort(a, kind="stable")
