@@ -109,7 +109,7 @@ def p5_found(spark, d):
     return cells.join(wide, "batch").filter(out).select("cell_integer_id")
 
 
-@query(f"""WITH {CELL_BATCH}, u AS (SELECT * FROM cell_batch WHERE total_counts > 0 AND NOT isnan(total_counts)), q AS (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9]) p)
+@query(f"""WITH {CELL_BATCH}, u AS (SELECT * FROM cell_batch WHERE total_counts > 0 AND NOT isnan(total_counts)), q AS (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9])::DOUBLE p)
   SELECT batch, p, count(*) n, round(CASE p WHEN 0.1 THEN quantile_cont(total_counts, 0.1) WHEN 0.25 THEN quantile_cont(total_counts, 0.25) WHEN 0.5 THEN quantile_cont(total_counts, 0.5) WHEN 0.75 THEN quantile_cont(total_counts, 0.75) ELSE quantile_cont(total_counts, 0.9) END, 4) percentile
   FROM u, q GROUP BY batch, p""")
 def p5_total_counts(spark, d):
@@ -214,7 +214,13 @@ def p7_states(spark, d):
     return f.select(F.col("gram")[0].alias("state"), F.col("n_occurrences").alias("n_rows"), F.col("n_records").alias("n_genes"))
 
 
-@query()
+# All pairs of usable vectors that are similar enough, the pair of a cell with itself included.
+SIMILAR = """WITH v AS (SELECT cell_integer_id id, any_value(key)::DOUBLE[] k FROM cells WHERE len(key) = 64 AND len(list_filter(key, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(key, lambda x: x <> 0)) > 0 GROUP BY 1),
+  s AS (SELECT a.id ia, b.id ib, CASE WHEN a.id = b.id THEN 1 ELSE list_cosine_similarity(a.k, b.k) END c FROM v a, v b WHERE a.id = b.id OR list_cosine_similarity(a.k, b.k) >= {0})"""
+
+
+@query(SIMILAR.format(0.99) + """, r AS (SELECT *, row_number() OVER (PARTITION BY ia ORDER BY c DESC, ib) k FROM s WHERE ia <> ib)
+  SELECT DISTINCT least(ia, ib) id_a, greatest(ia, ib) id_b FROM r WHERE k <= 10""")
 def p1_found(spark, d):
     """Pairs with a cosine of at least 0.99 of which one is among the ten most similar of the other."""
     near = neighbours.nearest_vectors(table(spark, d, "cells"), "cell_integer_id", "key", k=10, least=0.99)
@@ -232,7 +238,8 @@ def cell_type():
     return F.regexp_replace(F.lower(F.trim("cell_type")), "[ _]+", "-")
 
 
-@query()
+@query(SIMILAR.format(0.86) + """, n AS (SELECT ia, list_sort(list(ib)) l FROM s GROUP BY 1), g AS (SELECT l, list(ia) ids, min(ia) cluster_id FROM n GROUP BY 1 HAVING count(*) = len(l) AND len(l) >= 3)
+  SELECT unnest(ids) cell_integer_id, cluster_id FROM g""")
 def p2_found(spark, d):
     """Groups of cells all similar (cosine 0.86) to one another and to no cell outside."""
     g = clusters.density_groups(table(spark, d, "cells"), "cell_integer_id", "key", eps=0.14, reach=0.14)
