@@ -156,6 +156,22 @@ class Forest:
             node = np.where(np.isinf(cost), -1, np.concatenate([near, far], 1)[rows, pick])
             own = np.concatenate([own, np.zeros_like(own)], 1)[rows, pick]
 
+    def leaves(self) -> float:
+        """Mean number of leaves of a tree."""
+        return float((self.child[:, 0] < 0).sum()) / self.trees
+
+    def groups(self, size: int) -> np.ndarray:
+        """For every leaf the root of the largest subtree with at most ``size`` leaves that holds it."""
+        below = np.ones(len(self.child), np.int64)
+        for i in range(len(self.child) - 1, -1, -1):  # children have higher numbers than their parent
+            if self.child[i, 0] >= 0:
+                below[i] = below[self.child[i]].sum()
+        out = np.arange(len(self.child))
+        for i, (a, b) in enumerate(self.child):
+            if a >= 0:
+                out[[a, b]] = out[i] if below[out[i]] <= size else (a, b)
+        return out
+
 
 def members(vectors: DataFrame) -> DataFrame:
     """(id, ``h1``, ``h2``): distinct ids with a 128-bit name of their vector, without the vector itself."""
@@ -172,15 +188,19 @@ def build(vectors: DataFrame, dim: int, trees: int, leaf_size: int, max_sample:
     return Forest(unit(x).astype(np.float32) if len(x) else np.zeros((0, dim), np.float32), n, trees, leaf_size, seed)
 
 
-def place(vectors: DataFrame, forest: Forest, dim: int, probes: int) -> DataFrame:
+def place(vectors: DataFrame, forest: Forest, dim: int, probes: int, group: int = 0) -> DataFrame:
     """(leaf, own, id, vec): a row per visit of each distinct vector of an input partition.
 
+    With ``group``, (leaves, visits, own, id, vec): a row per subtree of up to ``group`` leaves that is visited, with the
+    leaves visited there and whether each is an own one, so that many visits don't send a vector as many times.
+
     Equal vectors visit the same leaves, so copies merge without a shuffle of their own: inside a partition here (only
     an id below the smallest one sent so far is sent again), and for good in the leaf (:func:`merge_copies`). A vector
     that a third of all rows hold sends a row per partition and visit.
     """
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(forest)  # at most max_sample / 16 leaves a tree
+    roots = forest.groups(group) if group else None
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -200,10 +220,21 @@ def place(vectors: DataFrame, forest: Forest, dim: int, probes: int) -> DataFram
                     continue
                 leaf, own = f.visits(unit(raw).astype(np.float32), probes)
                 r, p = np.nonzero(leaf >= 0)
+                if group:
+                    order = np.lexsort((roots[leaf[r, p]], r))
+                    r, p = r[order], p[order]
+                    root = roots[leaf[r, p]]
+                    starts = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (root[1:] != root[:-1])))
+                    ends = pa.array(np.append(starts, len(r)), pa.int32())
+                    t = kept.take(pa.array(r[starts]))
+                    lists = [pa.ListArray.from_arrays(ends, pa.array(v[r, p])) for v in (leaf, own)]
+                    yield pa.RecordBatch.from_arrays([pa.array(root[starts]), *lists, c.column(0).take(t), c.column(1).take(t)], names=["leaves", "visits", "own", "id", "vec"])
+                    continue
                 t = kept.take(pa.array(r))
                 yield pa.RecordBatch.from_arrays([pa.array(leaf[r, p]), pa.array(own[r, p]), c.column(0).take(t), c.column(1).take(t)], names=["leaf", "own", "id", "vec"])
 
-    return vectors.select("id", "vec").mapInArrow(run, "leaf bigint, own boolean, id bigint, vec binary")
+    kind = "leaves bigint, visits array<bigint>, own array<boolean>" if group else "leaf bigint, own boolean"
+    return vectors.select("id", "vec").mapInArrow(run, f"{kind}, id bigint, vec binary")
 
 
 def merge_copies(t, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,6 +249,40 @@ def merge_copies(t, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low[order], raw[first[order]], own[first[order]]
 
 
+def group_neighbours(t, dim: int, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`leaf_neighbours` over the leaves of a subtree: for every visitor its ``k`` best of all of them.
+
+    ``t``: rows of :func:`place` with ``group``. Copies from several partitions merge; equal vectors have equal visits.
+    """
+    ids, raw, low, first = t.column("id").to_numpy(), as_matrix(t.column("vec"), dim), {}, {}
+    for i, (row, at) in enumerate(zip(raw, ids.tolist())):
+        name = blake2b(row.tobytes(), digest_size=16).digest()
+        if low.get(name, at + 1) > at:
+            low[name], first[name] = at, i
+    first = np.fromiter(first.values(), np.int64, len(first))
+    first = first[np.argsort(ids[first])]
+    del low
+    ids = ids[first]
+    visits, own = (t.column(c).combine_chunks().take(first) for c in ("visits", "own"))
+    row = np.repeat(np.arange(len(first)), visits.value_lengths().to_numpy())
+    leaf, mine = visits.flatten().to_numpy(), own.flatten().to_numpy(zero_copy_only=False)
+    best, who = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)
+    for at in np.unique(leaf):  # leaves of a tree share no own rows, so a pair is found once
+        here = leaf == at
+        rows = row[here]
+        a, b, s = leaf_neighbours(ids[rows], raw[first[rows]], mine[here], k, least, floor=best[rows, -1])
+        starts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, int)
+        nth = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
+        new, other = np.full((len(rows), k), -np.inf), np.full((len(rows), k), -1, np.int64)
+        r = np.searchsorted(ids[rows], a)
+        new[r, nth], other[r, nth] = s, b
+        new, other = np.hstack([best[rows], new]), np.hstack([who[rows], other])
+        order = np.lexsort((other, -new), axis=1)[:, :k]
+        best[rows], who[rows] = np.take_along_axis(new, order, 1), np.take_along_axis(other, order, 1)
+    r, c = np.nonzero(who >= 0)
+    return ids[r], who[r, c], best[r, c]
+
+
 def local_cells(x: np.ndarray, own: np.ndarray, cap: int, rng) -> Iterator[np.ndarray]:
     """Row numbers of a leaf in pieces with at most ``cap`` own rows; a larger leaf is split at medians."""
     work = [np.arange(len(x))]
@@ -238,11 +303,11 @@ def local_cells(x: np.ndarray, own: np.ndarray, cap: int, rng) -> Iterator[np.nd
         work += [rows[~right], rows[right]]
 
 
-def leaf_neighbours(ids: np.ndarray, raw: np.ndarray, own: np.ndarray, k: int, least: float | None, cap: int = 32_768) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def leaf_neighbours(ids: np.ndarray, raw: np.ndarray, own: np.ndarray, k: int, least: float | None, cap: int = 32_768, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row id, neighbour id, cosine): for every visitor its ``k`` best own rows of the leaf, compared with all of them.
 
     Candidates come from single precision blocks and are ranked again in double precision; ``least`` leaves out those
-    with a smaller cosine. Ties go to the smaller id.
+    with a smaller cosine. Ties go to the smaller id. ``floor``: for every visitor a cosine below which none is needed.
     """
     out = []
     x64 = unit(raw)
@@ -258,6 +323,13 @@ def leaf_neighbours(ids: np.ndarray, raw: np.ndarray, own: np.ndarray, k: int, l
             s = x[q] @ y
             if least is not None:
                 r, c = np.nonzero(s >= np.float32(least - 1e-5))
+            elif floor is not None:
+                fit = s >= (floor[q] - 1e-5).astype(np.float32)[:, None]
+                many = np.flatnonzero(np.count_nonzero(fit, axis=1) > wide)
+                if len(many):
+                    fit[many] = False
+                    fit[many[:, None], np.argpartition(s[many], len(items) - wide, axis=1)[:, len(items) - wide :]] = True
+                r, c = np.nonzero(fit)
             else:
                 c = np.argpartition(s, len(items) - wide, axis=1)[:, len(items) - wide :]
                 r, c = np.repeat(np.arange(len(q)), wide), c.ravel()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from . import forest as rp
 def nearest_vectors(
     rows: DataFrame, id_col: str, vec_col: str, dim: int = 64, k: int = 10, least: float | None = None,
     trees: int = 2, probes: int = 3, leaf_size: int = 8192, max_sample: int = 131_072, seed: int = 0,
+    searched: float = 0.22, group: int = 16,
 ) -> DataFrame:
     """(``id``, ``neighbour``, ``cosine``, ``rank``): up to ``k`` most similar other vectors, ties by smaller id.
 
@@ -20,16 +23,24 @@ def nearest_vectors(
     leaves out neighbours with a smaller cosine; ranks are not changed by it. Ids with the very same vector are
     searched once and then expanded: an id of such a group gets its copies first, the group's ids being ranked with a
     group limit, so a group of any size costs at most ``k`` + 1 rows per id. Empty tables give an empty result.
+
+    ``probes`` visits are the fewest: they grow with the leaves of a tree, so that every vector is compared with about
+    the share ``searched`` of the collection at any size; distant neighbours are found no other way. Pairs with a
+    cosine of at least 0.9 (``least``) lie behind near boundaries and need no such growth. Visits to a subtree of up to
+    ``group`` leaves travel as one row.
     """
     vectors = rp.usable_vectors(rows, id_col, vec_col, dim)
     forest = rp.build(vectors, dim, trees, leaf_size, max_sample, seed)
-    placed = rp.place(vectors, forest, dim, probes)
+    if least is None or least < 0.9:
+        probes = max(probes, math.ceil(searched * forest.leaves()))
+    else:
+        group = 0
+    placed = rp.place(vectors, forest, dim, probes, group)
 
     def search(t):
         import pyarrow as pa
 
-        ids, raw, own = rp.merge_copies(t, dim)
-        a, b, s = rp.leaf_neighbours(ids, raw, own, k, least)
+        a, b, s = rp.group_neighbours(t, dim, k, least) if group else rp.leaf_neighbours(*rp.merge_copies(t, dim), k, least)
         if not len(a):
             return pa.table({"a": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.struct([("d", pa.float64()), ("b", pa.int64())])))})
         order = np.argsort(a, kind="stable")
@@ -38,8 +49,8 @@ def nearest_vectors(
         near = pa.ListArray.from_arrays(pa.array(np.append(starts, len(a)), pa.int32()), pa.StructArray.from_arrays([pa.array(-s), pa.array(b)], names=["d", "b"]))
         return pa.table({"a": a[starts], "near": near})
 
-    found = placed.groupBy("leaf").applyInArrow(search, "a bigint, near array<struct<d:double,b:bigint>>")
-    # at most probes * k entries per vector; the same pair from two leaves has the same exact cosine
+    found = placed.groupBy("leaves" if group else "leaf").applyInArrow(search, "a bigint, near array<struct<d:double,b:bigint>>")
+    # at most k entries per vector and leaf or subtree visited; the same pair from two leaves has the same exact cosine
     merged = found.groupBy("a").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
 
     ids = rp.members(vectors)

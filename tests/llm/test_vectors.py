@@ -56,6 +56,19 @@ def test_recall_of_a_forest(spark):
     assert hits / 40_000 >= 0.9
 
 
+def test_visits_grow_with_the_leaves(spark):
+    r = np.random.default_rng(4)
+    c = r.normal(size=(30, 16))
+    x = (c[r.integers(0, 30, 6000)] + r.normal(size=(6000, 16)) * 0.5).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<float>")
+    got = neighbours.nearest_vectors(df, "id", "v", 16, k=10, leaf_size=150, group=4).toPandas()
+    assert not got.duplicated(["id", "neighbour"]).any() and (got.groupby("id").size() == 10).all()
+    near, s = got.groupby("id").neighbour.agg(set), cosines(x)
+    np.fill_diagonal(s, -1)
+    hits = sum(len(near[i] & set(np.argsort(-s[i])[:10].tolist())) for i in range(0, 6000, 10))
+    assert hits / 6_000 >= 0.9
+
+
 def test_thresholded_pairs_and_empty_tables(data):
     x, df = data
     p = neighbours.similar_pairs(neighbours.nearest_vectors(df, "id", "v", DIM, k=200, least=0.9999), 0.9999)
