@@ -329,6 +329,36 @@ def multi_agg_axis0(ds):
     return rnd(ds.X[VIEW0].reduce("sum", "mean", "max", "count", axis=0), "sum", "mean")
 
 
+# the same over whole tables; those above are reductions of slices
+
+
+def _whole_reduction(op: str, axis: int | None):
+    def run(spark, d):
+        return rnd(dataset(spark, d).X.reduce(op, axis=axis), op)
+
+    run.__name__ = f"whole_{op}_{'all' if axis is None else f'axis{axis}'}"
+    if axis is None:
+        sql = f"SELECT round({FORMULA[op].format(n='(CAST(nc AS DOUBLE) * ng)')}, 6) AS {op} FROM (SELECT {PARTS} FROM e), n"
+    else:
+        key, dim, n = (GENE, "g", "CAST(nc AS DOUBLE)") if axis == 0 else (CELL, "c", "CAST(ng AS DOUBLE)")
+        sql = f"SELECT {key}, round({FORMULA[op].format(n=n)}, 6) AS {op} FROM {dim} LEFT JOIN (SELECT {key}, {PARTS} FROM e GROUP BY 1) x USING ({key}), n"
+    query(sql)(run)
+
+
+for _op in ("sum", "mean", "var", "std"):
+    for _axis in (0, 1) if _op == "std" else (0, 1, None):
+        _whole_reduction(_op, _axis)
+_whole_reduction("max", 0)
+_whole_reduction("min", 1)
+_whole_reduction("count", 0)
+
+
+@query("SELECT gene_integer_id, round(coalesce(s, 0), 6) AS sum, round(coalesce(s, 0) / CAST(nc AS DOUBLE), 6) AS mean, coalesce(hi, 0) AS max, CAST(coalesce(k, 0) AS DOUBLE) AS count FROM g LEFT JOIN (SELECT gene_integer_id, sum(value) s, max(value) hi, count(*) k FROM e GROUP BY 1) USING (gene_integer_id), n")
+@on
+def whole_multi_agg_axis0(ds):
+    return rnd(ds.X.reduce("sum", "mean", "max", "count", axis=0), "sum", "mean")
+
+
 # quality control, filters, transforms
 
 
