@@ -22,3 +22,9 @@ def test_whole_tables(spark, tables, name):
     assert len(got) == len(want)
     for a, b in zip(sorted(got), sorted(want)):
         assert a == pytest.approx(b, rel=1e-9, abs=2e-6)
+
+
+def test_whole_dense_rows(spark, tables):
+    want = tables.execute(core.SQL["whole_dense_rows"]).fetchall()
+    got = [tuple(r) for r in core.QUERIES["whole_dense_rows"](spark, D).collect()]
+    assert sorted(got) == sorted(want) and all(r.count(",") == 999 for _, r in got)
