@@ -1,4 +1,4 @@
-"""How a text in typesetting markup ends: whole, broken off, or doubtful."""
+"""How a text in typesetting markup ends: the kind of its ending, and whether such an ending looks whole or broken off."""
 
 from __future__ import annotations
 
@@ -6,6 +6,16 @@ import re
 
 WHOLE, DOUBTFUL, BROKEN = 0, 1, 2
 
+# Kinds of endings and how each looks by itself; truncation.py learns from the lengths which of them are breaks.
+KINDS: dict[str, int] = {
+    "blank": WHOLE, "sentence": WHOLE, "environment": WHOLE, "entry": WHOLE, "command": WHOLE, "display": WHOLE, "comment": WHOLE, "comment command": WHOLE,
+    "number": DOUBTFUL,
+    "odd character": BROKEN, "open comment": BROKEN, "open comment command": BROKEN, "open entry": BROKEN, "bare command": BROKEN, "open display": BROKEN,
+    "open formula": BROKEN, "no stop": BROKEN, "stop in formula": BROKEN, "stop in reference": BROKEN, "stop in word": BROKEN, "initial": BROKEN,
+}
+NAMES = list(KINDS)
+CODES = {k: i for i, k in enumerate(NAMES)}
+
 # Commands that stand on their own, so a text may end with one.
 BLOCK_COMMANDS = (
     "input include subfile bibliography bibliographystyle printbibliography maketitle tableofcontents appendix newpage clearpage "
@@ -66,69 +76,67 @@ def _open_environments(s: str) -> list[str]:
     return stack
 
 
-def _comment_state(line: str) -> int:
+def _comment_kind(line: str) -> str:
     body = line.strip().lstrip("%").strip()
     if not body or SENTENCE_END.search(body):
-        return WHOLE
+        return "comment"
     if BLOCK_LINE.match(body) or re.match(r"\\[A-Za-z]+\*?(\{[^{}]*\}|\[[^\[\]]*\])*$", body):
-        return WHOLE if body.count("{") == body.count("}") else BROKEN
-    return BROKEN
+        return "comment command" if body.count("{") == body.count("}") else "open comment command"
+    return "open comment"
 
 
-def judge(core: str) -> int:
-    """State of a text that :func:`strip_fill` has been applied to."""
+def kind_of(core: str) -> str:
+    """Kind (of ``KINDS``) of a text that :func:`strip_fill` has been applied to."""
     if not core:
-        return WHOLE
+        return "blank"
     _, line = _last_line(core)
     if core[-1] == "\ufffd":
-        return BROKEN
+        return "odd character"
     if COMMENT_LINE.match(line):
-        return _comment_state(line)
+        return _comment_kind(line)
     tail = line.rstrip()
     clean = ESCAPED.sub("", BARE_COMMENT.sub("", core))
     own = ESCAPED.sub("", BARE_COMMENT.sub("", tail))  # formulas and arguments are looked for in the last line alone
     if re.search(r"\\end\{[A-Za-z]+\*?\}$", tail):
-        return WHOLE
+        return "environment"
     if re.fullmatch(r"[ \t]*\}", tail):
         entry = clean[clean.rfind("\n@") + 1 :]
-        return WHOLE if entry.count("{") <= entry.count("}") or not entry.startswith("@") else BROKEN
+        return "entry" if entry.count("{") <= entry.count("}") or not entry.startswith("@") else "open entry"
     block = BLOCK_LINE.match(tail)
     if block:
-        return WHOLE if block[2].strip() or block[1] in BARE_COMMANDS else BROKEN
+        return "command" if block[2].strip() or block[1] in BARE_COMMANDS else "bare command"
     displays, shown = own.count("$$"), core.rfind("\\[") > core.rfind("\\]")
     if tail.endswith("\\]"):
-        return WHOLE
+        return "display"
     if tail.endswith("$$"):
         before = clean[: clean.rfind("$$")].rstrip()
-        return WHOLE if displays % 2 == 0 or clean.count("$$") % 2 == 0 and before else BROKEN
+        return "display" if displays % 2 == 0 or clean.count("$$") % 2 == 0 and before else "open display"
     if displays % 2 or own.replace("$$", "").count("$") % 2 or own.count("{") > own.count("}"):
-        return BROKEN
+        return "open formula"
     words = len(re.findall(r"[^\W\d_]{2,}", re.sub(r"\$[^$]*\$|\\[A-Za-z]+", " ", own)))
-    if not SENTENCE_END.search(tail) or shown and words < 4:
-        return BROKEN
+    if not SENTENCE_END.search(tail):
+        return "no stop"
     opened = _open_environments(core)
     inner = opened[-1] if opened else ""
-    if inner in MATH_ENVIRONMENTS and words < 4:
-        return BROKEN
+    if words < 4 and (shown or inner in MATH_ENVIRONMENTS):
+        return "stop in formula"
     # a full stop or the like at the end: still inside an entry, or after a shortened word?
     if "\\bibitem" in core[max(core.rfind("\n\n"), core.rfind("\n\\bibitem"), 0) :] and inner == "thebibliography" and not re.search(r"\(\d{4}\)\.$", tail):
-        return BROKEN
+        return "stop in reference"
     stop = STOPPED.search(tail)
     if stop:
         if re.split(r"[\s~({\[\"]", stop[1])[-1].lower() in SHORTENED:
-            return BROKEN
+            return "stop in word"
         if re.search(r"(^|[\s{])[A-Z]\.$", tail):
-            return BROKEN
+            return "initial"
         if re.search(r"(?<![~\d.])\b\d+\.$", tail):
-            return DOUBTFUL
-    return WHOLE
+            return "number"
+    return "sentence"
 
 
 def ending(text: str | None) -> tuple[int, int, int]:
-    """(state, length in characters, length in bytes) of the text before any fill; null and blank texts are whole."""
-    if text is None:
-        return WHOLE, 0, 0
-    core = strip_fill(text)
+    """(code of the kind, length in characters, length in bytes) of the text before any fill; null and blank texts are blank."""
+    core = strip_fill(text or "")
     if not core:
-        return WHOLE, 0, 0
-    return judge(core), len(core), len(core.encode("utf-8"))
+        return CODES["blank"], 0, 0
+    return CODES[kind_of(core)], len(core), len(core.encode("utf-8"))

@@ -3,8 +3,13 @@
 Lengths (of the text before any fill, in characters and in bytes) give per source a discrete hazard: of the texts at
 least ``l`` long, the share that is exactly ``l`` long. A field limit is a length whose hazard stands far above that of
 the neighbouring lengths; the tail probability is a Chernoff bound on a Poisson count, and false discoveries are
-controlled over all lengths tested (Benjamini-Hochberg). A text is flagged if its ending is incomplete; endings that
-can be read both ways are flagged only at a significant length.
+controlled over all lengths tested (Benjamini-Hochberg).
+
+Nearly every text at a significant length was cut there, so these lengths show which kinds of endings are breaks: a kind
+that is commoner there than chance has it (its share of all other endings) is incomplete. Incomplete endings are flagged
+at the significant lengths. A transfer stops at any length; elsewhere an incomplete ending is flagged if by the same
+figures more of its kind are breaks than not. A kind with fewer than ``ENOUGH`` texts at the limits, seen or expected by
+chance, is taken as it looks.
 """
 
 from __future__ import annotations
@@ -16,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import stage, workers
-from .endings import BROKEN, DOUBTFUL, ending
+from .endings import BROKEN, KINDS, WHOLE, ending
+
+ENOUGH = 5.0  # texts of a kind at significant lengths, seen or expected, from which on they decide
 
 
 def text_ends(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, ``state``, ``chars``, ``bytes``), one narrow row per row of ``docs``; reads whole texts.
+    """(id, source, ``kind``, ``chars``, ``bytes``), one narrow row per row of ``docs``; reads whole texts.
 
-    Null, empty and blank texts are whole, with length 0; a null source stays null.
+    ``kind`` is a number in ``endings.NAMES``. Null, empty and blank texts are blank, with length 0; a null source stays null.
     """
 
     def run(batches: Iterable) -> Iterator:
@@ -31,11 +38,11 @@ def text_ends(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         for b in batches:
             e = [ending(t) for t in b.column(2).to_pylist()]
             cols = [pa.array([x[i] for x in e], pa.int32()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc", "source", "state", "chars", "bytes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc", "source", "kind", "chars", "bytes"])
 
     workers(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"doc {dict(src.dtypes)['doc']}, source string, state int, chars int, bytes int")
+    return src.mapInArrow(run, f"doc {dict(src.dtypes)['doc']}, source string, kind int, chars int, bytes int")
 
 
 def length_limits(ends: DataFrame, near: int = 50, fdr: float = 1e-4, least: int = 5) -> DataFrame:
@@ -47,10 +54,9 @@ def length_limits(ends: DataFrame, near: int = 50, fdr: float = 1e-4, least: int
     long = ends.filter(F.col("chars") > 0).select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("u"))
     counts = long.groupBy("source", "u.unit", "u.length").agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("source", "unit").orderBy("length")
-    after = by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    around = by.rangeBetween(-near, near)
-    h = counts.withColumn("at_risk", F.sum("n").over(after))
-    h = h.withColumn("others", F.sum("n").over(around) - F.col("n")).withColumn("steps", F.lit(2.0 * near))
+    down = Window.partitionBy("source", "unit").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = counts.withColumn("at_risk", F.sum("n").over(down))
+    h = h.withColumn("others", F.sum("n").over(by.rangeBetween(-near, near)) - F.col("n")).withColumn("steps", F.lit(2.0 * near))
     # the hazard of a neighbouring length: those that end nearby, over those at risk there, lengths without a text included
     h = h.withColumn("hazard0", (F.col("others") + 0.5) / (F.col("steps") * (F.col("at_risk") + F.col("others"))))
     h = h.withColumn("expected", F.col("hazard0") * F.col("at_risk"))
@@ -58,30 +64,51 @@ def length_limits(ends: DataFrame, near: int = 50, fdr: float = 1e-4, least: int
     h = h.withColumn("p", F.when(over, F.exp(F.greatest(F.lit(-700.0), F.col("n") - F.col("expected") - F.col("n") * F.log(F.col("n") / F.col("expected"))))).otherwise(F.lit(1.0)))
     tests = stage(h.select("source", "unit", "length", "n", "expected", "p"), "hazards")
     m = tests.count()
-    # only p <= fdr can be a discovery, and its rank among those is its rank among all
-    small = tests.filter(F.col("p") <= fdr)
-    ranked = small.withColumn("k", F.count(F.lit(1)).over(Window.orderBy("p")))
-    cut = ranked.filter(F.col("p") <= F.lit(fdr) * F.col("k") / F.lit(max(m, 1))).agg(F.max("p")).first()[0]
-    return tests.filter(F.col("p") <= F.lit(-1.0 if cut is None else cut))
+    # the largest rejected set whose every p is at most fdr * (its size) / m, reached from above without a sort
+    size, cut = m, fdr
+    while size and (now := tests.filter(F.col("p") <= F.lit(cut := fdr * size / m)).count()) < size:
+        size = now
+    return tests.filter(F.col("p") <= F.lit(cut if size else -1.0))
+
+
+def learn_breaks(ends: DataFrame) -> DataFrame:
+    """(kind, name, ``at``, ``off``, ``lift``, ``limited``, ``anywhere``): what the significant lengths say of each kind of ending.
+
+    ``ends``: with ``at_limit``. ``lift`` is the number of texts of the kind at limits over the number that chance would
+    put there; above 1 the kind is incomplete (``limited``). If all incomplete kinds have a joint lift of L, a share of
+    1 / L of the texts elsewhere is broken as well (all of their incomplete endings), and a kind's own share of breaks there
+    is its lift / L; ``anywhere`` from one half. A doubtful look without evidence counts at limits only. One row per kind.
+    """
+    n = {r["kind"]: r for r in ends.filter("chars > 0").groupBy("kind").agg(F.sum(F.col("at_limit").cast("bigint")).alias("at"), F.count(F.lit(1)).alias("n")).collect()}  # at most a row per kind
+    at = [n[i]["at"] if i in n else 0 for i in range(len(KINDS))]
+    off = [n[i]["n"] - n[i]["at"] if i in n else 0 for i in range(len(KINDS))]
+    chance = [sum(at) * o / max(sum(off), 1) for o in off]
+    lift = [(a + 0.5) / (c + 0.5) for a, c in zip(at, chance)]
+    enough = [max(a, c) >= ENOUGH for a, c in zip(at, chance)]
+    broken = [i for i in range(len(KINDS)) if enough[i] and lift[i] > 1]
+    joint = (sum(at[i] for i in broken) + 0.5) / (sum(chance[i] for i in broken) + 0.5)
+    rows = []
+    for i, (name, look) in enumerate(KINDS.items()):
+        limited, anywhere = (lift[i] > 1, i in broken and lift[i] / joint >= 0.5) if enough[i] else (look != WHOLE, look == BROKEN)
+        rows.append((i, name, at[i], off[i], lift[i], limited, anywhere))
+    return ends.sparkSession.createDataFrame(rows, "kind int, name string, at bigint, off bigint, lift double, limited boolean, anywhere boolean")
 
 
 def find_truncated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **limits) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(flagged texts, all ends, limits). Flagged: (doc, source, chars, bytes, ``at_limit``).
+    """(flagged texts, all ends, limits). Flagged: (doc, source, kind, chars, bytes, ``at_limit``).
 
-    Empty tables give empty results; repeated rows are judged one by one; a text without an incomplete ending is
-    never flagged, whatever its length.
+    Empty tables give empty results; repeated rows are judged one by one; a text whose ending is of a kind that the
+    lengths don't show to be a break is never flagged, whatever its length.
     """
     ends = stage(text_ends(docs, id_col, text_col, source_col), "ends")
     lim = length_limits(ends, **limits)
-    flat = lim.select("source", F.col("unit").alias("u"), F.col("length").alias("l")).distinct()
-    weak = ends.filter(F.col("state") >= DOUBTFUL)  # few texts; limits are fewer still
-    hits = (
-        weak.join(flat, weak["source"].eqNullSafe(flat["source"]) & (F.when(flat["u"] == "chars", weak["chars"]).otherwise(weak["bytes"]) == flat["l"]), "left_semi")
-        .select("doc", F.lit(True).alias("at_limit"))
-        .distinct()
-    )
-    out = weak.join(hits, "doc", "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
-    return out.filter((F.col("state") == BROKEN) | F.col("at_limit")).select("doc", "source", "chars", "bytes", "at_limit"), ends, lim
+    flat = lim.groupBy(F.col("source").alias("s")).agg(F.collect_set(F.struct("unit", "length")).alias("l"))  # a row per source
+    hit = F.coalesce(F.array_contains("l", F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length"))) | F.array_contains("l", F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))), F.lit(False))
+    ends = ends.join(flat, ends["source"].eqNullSafe(flat["s"]), "left").withColumn("at_limit", hit).drop("s", "l")
+    breaks = learn_breaks(ends).collect()
+    anywhere, limited = [r["kind"] for r in breaks if r["anywhere"]], [r["kind"] for r in breaks if r["limited"]]
+    out = ends.filter((F.col("chars") > 0) & (F.col("kind").isin(anywhere) | F.col("at_limit") & F.col("kind").isin(limited)))
+    return out.select("doc", "source", "kind", "chars", "bytes", "at_limit"), ends, lim
 
 
 def truncation_rates(docs: DataFrame, **kw) -> DataFrame:

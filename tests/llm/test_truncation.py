@@ -1,7 +1,7 @@
 import pytest
 
-from sparsequery.llm.endings import BROKEN, WHOLE, ending
-from sparsequery.llm.truncation import find_truncated, length_limits, truncation_rates
+from sparsequery.llm.endings import BROKEN, KINDS, NAMES, WHOLE, ending
+from sparsequery.llm.truncation import find_truncated, learn_breaks, length_limits, truncation_rates
 
 WHOLE_TEXTS = [
     None, "", "  \n", "A finished sentence.", "Is it?\n\n", "It holds at 616.1~K.", "As Sect.~3 says (see Sect.~3).", "\\begin{a}\nText.\n\\end{a}", "Text.\n\\end{document}\n",
@@ -16,12 +16,12 @@ BROKEN_TEXTS = [
 
 @pytest.mark.parametrize("text", WHOLE_TEXTS)
 def test_whole(text):
-    assert ending(text)[0] == WHOLE
+    assert KINDS[NAMES[ending(text)[0]]] == WHOLE
 
 
 @pytest.mark.parametrize("text", BROKEN_TEXTS)
 def test_broken(text):
-    assert ending(text)[0] == BROKEN
+    assert KINDS[NAMES[ending(text)[0]]] == BROKEN
 
 
 def docs(spark):
@@ -38,6 +38,16 @@ def test_limit_is_found_and_rates_are_reported(spark):
     assert rates == {"a": (300, 200, 200), None: (2, 2, 0)}
 
 
+def test_lengths_decide_what_is_a_break(spark):
+    """A kind that looks broken but is no commoner at limits than elsewhere is whole; a whole look that is commoner there is cut."""
+    rows = [(i, "w " * 49 + "w." if i % 2 else "w " * 30 + "x" * (i % 97) + " a \\ref{b}%" + "\n% note", "a") for i in range(2000)]
+    rows += [(5000 + i, "y" * (i % 83 + 1) + " w.", "a") for i in range(20)]
+    cut, ends, _ = find_truncated(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    kinds = {r.name: r for r in learn_breaks(ends).collect()}
+    assert kinds["sentence"].limited and kinds["sentence"].lift > 1 and not kinds["open comment"].limited
+    assert {r.doc for r in cut.filter("at_limit").collect()} >= {i for i in range(2000) if i % 2} and not any(r.doc < 2000 and r.doc % 2 == 0 for r in cut.collect())
+
+
 def test_empty(spark):
     empty = docs(spark).limit(0)
     assert find_truncated(empty)[0].count() == 0 and truncation_rates(empty).count() == 0
