@@ -5,8 +5,10 @@ tokens". For prefix ``i`` the last token is the one token ending at ``i`` that m
 prefix it starts from. Storing these per prefix allows exact appends (only new prefixes are computed) and
 re-encoding near an edit (prefixes before the edit stay).
 
-The corpus path splits texts into pretokens with NumPy over code points, names each pretoken by a 64-bit hash of
-its bytes and runs the prefix programme once per distinct pretoken and Python worker.
+The corpus path splits texts into pretokens with NumPy over code points and runs the prefix programme once per distinct
+pretoken and Python worker. Equal pretokens of a block are found by a hash, but their bytes are compared: a pretoken that
+only shares the hash is encoded by itself. What a worker remembers is bounded. The vocabulary travels from the driver to
+the workers, which need no file of their own.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import workers
@@ -34,6 +37,7 @@ SHORT_CONTRACTIONS, LONG_CONTRACTIONS = "sdmt", ("re", "ve", "ll")
 
 MASK = (1 << 64) - 1
 HASH_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
+REMEMBERED = 1 << 20  # distinct pretokens, ids or token pairs that a worker keeps before it starts anew
 
 
 @lru_cache(1)
@@ -57,11 +61,16 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def vocabulary_bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 class PrefixEncoder:
-    """Prefix dynamic programming over one vocabulary file (JSON with ``vocab`` and ordered ``merges``)."""
+    """Prefix dynamic programming over one vocabulary (JSON with ``vocab`` and ordered ``merges``): a path, or the file's bytes."""
 
-    def __init__(self, path: str = DEFAULT_VOCABULARY):
-        model = json.load(open(path, encoding="utf-8"))["model"]
+    def __init__(self, vocabulary: str | bytes = DEFAULT_VOCABULARY):
+        model = json.loads(vocabulary if isinstance(vocabulary, bytes) else vocabulary_bytes(vocabulary))["model"]
         sym = _byte_symbols()
         raw = lambda s: bytes(sym[c] for c in s)
         self.ids = {raw(s): i for s, i in model["vocab"].items() if all(c in sym for c in s)}
@@ -86,6 +95,8 @@ class PrefixEncoder:
         key = (left, right)
         hit = self.known.get(key)
         if hit is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
             hit = self.known[key] = self._follows(left, right)
         return hit
 
@@ -224,16 +235,19 @@ def pretokens(data: bytes, text_starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class CorpusEncoder:
-    """Encodes blocks of texts; remembers the ids of every distinct pretoken it has met."""
+    """Encodes blocks of texts; remembers the ids of up to ``remember`` distinct pretokens it has met."""
 
-    def __init__(self, path: str = DEFAULT_VOCABULARY, block: int = 1 << 20):
-        self.dp, self.block = PrefixEncoder(path), block
-        self.slot: dict[int, int] = {}
-        self.sizes, self.starts, self.flat = [], [], []
+    def __init__(self, vocabulary: str | bytes = DEFAULT_VOCABULARY, block: int = 1 << 20, remember: int = REMEMBERED):
+        self.dp, self.block, self.remember = PrefixEncoder(vocabulary), block, remember
+        self._forget()
         inverse = pow(HASH_BASE, -1, 1 << 64)
         self.power = self._powers(HASH_BASE, block)
         self.inverse = self._powers(inverse, block)
 
+    def _forget(self) -> None:
+        self.slot: dict[bytes, int] = {}
+        self.sizes, self.starts, self.flat = [], [], []
+
     @staticmethod
     def _powers(base: int, n: int) -> np.ndarray:
         p = np.full(n + 1, base, np.uint64)
@@ -251,25 +265,36 @@ class CorpusEncoder:
             a, b = starts[:-1], starts[1:]
             return (h[b] - h[a]) * self.inverse[a]
 
+    def _slot(self, piece: bytes) -> int:
+        s = self.slot.get(piece)
+        if s is None:
+            s = self.slot[piece] = len(self.sizes)
+            ids = self.dp.encode_piece(piece)
+            self.starts.append(len(self.flat))
+            self.sizes.append(len(ids))
+            self.flat += ids
+        return s
+
     def block_ids(self, data: bytes, text_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block in a row, and the offset at which each text's ids start."""
         starts, first = pretokens(data, text_starts)
         if len(starts) < 2:
             return np.zeros(0, np.int32), np.zeros(len(text_starts) + 1, np.int64)
-        h = self._hashes(np.frombuffer(data, np.uint8), starts)
-        distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
-        slots = np.empty(len(distinct), np.int64)
-        for i, (k, w) in enumerate(zip(distinct.tolist(), where.tolist())):
-            s = self.slot.get(k)
-            if s is None:
-                s = self.slot[k] = len(self.sizes)
-                ids = self.dp.encode_piece(data[starts[w] : starts[w + 1]])
-                self.starts.append(len(self.flat))
-                self.sizes.append(len(ids))
-                self.flat += ids
-            slots[i] = s
-        own, at = np.asarray(self.sizes, np.int64)[slots], np.asarray(self.starts, np.int64)[slots]
-        size, begin = own[back], at[back]
+        if len(self.slot) >= self.remember or len(self.flat) >= 8 * self.remember:
+            self._forget()
+        raw = np.frombuffer(data, np.uint8)
+        _, where, back = np.unique(self._hashes(raw, starts), return_index=True, return_inverse=True)
+        slots = np.fromiter((self._slot(data[a:b]) for a, b in zip(starts[where].tolist(), starts[where + 1].tolist())), np.int64, len(where))[back]
+        # the bytes of every pretoken against those of the one its hash was looked up by
+        own, alike = np.diff(starts), starts[where][back]
+        wrong = own != (starts[where + 1] - starts[where])[back]
+        shift = np.where(wrong, 0, alike - starts[:-1])
+        differ = raw[np.arange(len(raw)) + np.repeat(shift, own)] != raw
+        if differ.any():
+            wrong[np.searchsorted(starts, np.flatnonzero(differ), "right") - 1] = True
+        for i in np.flatnonzero(wrong).tolist():
+            slots[i] = self._slot(data[starts[i] : starts[i + 1]])
+        size, begin = np.asarray(self.sizes, np.int64)[slots], np.asarray(self.starts, np.int64)[slots]
         ends = np.cumsum(size)
         total = int(ends[-1])
         pick = np.arange(total) + np.repeat(begin - (ends - size), size)
@@ -297,14 +322,26 @@ class CorpusEncoder:
             i = j
 
 
-_ENCODERS: dict[str, CorpusEncoder] = {}
+_ENCODERS: dict[int, CorpusEncoder] = {}
+_SENT: dict[tuple[str, str], Broadcast] = {}
 
 
-def corpus_encoder(path: str) -> CorpusEncoder:
+def corpus_encoder(vocabulary: Broadcast) -> CorpusEncoder:
     """One encoder per worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = CorpusEncoder(path)
-    return _ENCODERS[path]
+    if vocabulary.value[0] not in _ENCODERS:
+        _ENCODERS[vocabulary.value[0]] = CorpusEncoder(vocabulary.value[1])
+    return _ENCODERS[vocabulary.value[0]]
+
+
+def send_vocabulary(spark: SparkSession, path: str) -> Broadcast:
+    """The vocabulary file's bytes, read on the driver and sent once per session; it may have at most 256 MB."""
+    key = spark.sparkContext.applicationId, path
+    if key not in _SENT:
+        data = vocabulary_bytes(path)
+        if len(data) > 1 << 28:
+            raise ValueError(f"{path} is too large for a vocabulary")
+        _SENT[key] = spark.sparkContext.broadcast((hash(data), data))
+    return _SENT[key]
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -317,13 +354,14 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        enc = corpus_encoder(vocabulary)
+        enc = corpus_encoder(sent)
         for b in batches:
             for i, j, ids, at in enc.blocks(b.column(1)):
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), lists], names=[id_col, "ids"])
 
     workers(docs.sparkSession)
+    sent = send_vocabulary(docs.sparkSession, vocabulary)
     src = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__sq_text"))
     kind = dict(src.dtypes)[id_col]
     return src.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
@@ -335,13 +373,14 @@ def count_tokens(docs: DataFrame, keep: list[str], text_col: str = "text", vocab
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        enc = corpus_encoder(vocabulary)
+        enc = corpus_encoder(sent)
         for b in batches:
             n = [np.diff(at) for _, _, _, at in enc.blocks(b.column(b.num_columns - 1))]
             n = np.concatenate(n) if n else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
     workers(docs.sparkSession)
+    sent = send_vocabulary(docs.sparkSession, vocabulary)
     src = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias("__sq_text"))
     schema = ", ".join(f"`{c}` {k}" for c, k in src.dtypes[:-1])
     return src.mapInArrow(run, f"{schema}, n_tokens bigint")

@@ -34,6 +34,27 @@ def test_same_ids_as_the_public_encoder(encoder, public):
     assert got == [public.encode_ordinary(t or "") for t in own]
 
 
+def test_pretokens_that_share_a_hash(spark, public):
+    """Complementary Thue-Morse words have one polynomial hash modulo 2^64, whatever its base."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: "b", 98: "a"})
+    other = word.translate({97: "b", 98: "a"})
+    for block in (1 << 20, 500):
+        enc = CorpusEncoder(P.path("byte_bpe_50k.json"), block=block)
+        got = [ids[a:b].tolist() for _, _, ids, at in enc.blocks(pa.array([word, other, word])) for a, b in zip(at[:-1], at[1:])]
+        assert got == [public.encode_ordinary(t) for t in (word, other, word)]
+    df = spark.createDataFrame([(1, word), (2, other)], "doc_id bigint, text string").coalesce(1)
+    assert {r.doc_id: list(r.ids) for r in encode_texts(df).collect()} == {1: public.encode_ordinary(word), 2: public.encode_ordinary(other)}
+
+
+def test_memory_is_bounded(public):
+    enc = CorpusEncoder(P.path("byte_bpe_50k.json"), block=200, remember=50)
+    own = texts(400, 7)
+    got = [ids[a:b].tolist() for _, _, ids, at in enc.blocks(pa.array(own)) for a, b in zip(at[:-1], at[1:])]
+    assert got == [public.encode_ordinary(t) for t in own] and len(enc.slot) < 400
+
+
 def test_appends_and_edits(encoder, public):
     r, own = random.Random(1), texts(300, 1)
     for _ in range(500):
