@@ -28,9 +28,11 @@ def source_sizes(docs: DataFrame, source_col: str = "source", vocabulary: str =
     return t.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").cast("bigint").alias("n_tokens"))
 
 
-def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+def plan(sizes: DataFrame, targets: DataFrame, shrink: bool = False) -> DataFrame:
     """Per listed source: tokens, documents, wanted tokens and the repetition, capped at ``max_repeats``.
 
+    ``wanted`` is the weight times the tokens of all documents of listed sources; ``short`` sources can't reach it. With
+    ``shrink`` that total shrinks until every source that has documents reaches its weight (``short`` stays what it is).
     A source listed twice counts once (largest weight); a null weight or cap counts as 0; a source without documents
     has 0 tokens and is short unless its weight is 0.
     """
@@ -38,10 +40,12 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     s = sizes.withColumnRenamed("source", "s")
     j = t.join(s, t["source"] == s["s"], "left").drop("s").na.fill(0, ["n_docs", "n_tokens"])
     j = stage(j, "sources")  # one row per listed source
-    total = j.agg(F.sum("n_tokens")).first()[0] or 0
-    want = F.col("target_weight") * F.lit(float(total))
-    short = F.col("max_repeats") * F.col("n_tokens") < want
-    return j.withColumn("wanted", want).withColumn("short", short).withColumn("repeats", F.when(F.col("n_tokens") == 0, F.lit(0.0)).when(short, F.col("max_repeats").cast("double")).otherwise(want / F.col("n_tokens")))
+    most = F.col("max_repeats") * F.col("n_tokens")
+    sums = j.agg(F.sum("n_tokens").alias("all"), F.min(F.when((most > 0) & (F.col("target_weight") > 0), most / F.col("target_weight"))).alias("met")).first()
+    total = float(sums["all"] or 0)
+    short = most < F.col("target_weight") * F.lit(total)
+    want = F.col("target_weight") * F.lit(min(total, sums["met"] or 0.0) if shrink else total)
+    return j.withColumn("wanted", want).withColumn("short", short).withColumn("repeats", F.when(F.col("n_tokens") == 0, F.lit(0.0)).otherwise(F.least(F.col("max_repeats").cast("double"), want / F.col("n_tokens"))))
 
 
 def flight(sizes: list[float], probs: list[float], rng: random.Random) -> list[float]:
@@ -106,9 +110,13 @@ def _fly(seed: int, last: bool):
     return run
 
 
-def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, block_rows: int = 50_000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, block_rows: int = 50_000, seed: int = 0, shrink: bool = False) -> tuple[DataFrame, DataFrame]:
     """(drawn, report). drawn: (doc_id, source, n_tokens, copies >= 1); report: one row per listed source.
 
+    ``share_of_all`` is what a source contributes of the tokens of all listed documents, the total that weights refer to;
+    ``actual_share`` is its part of the tokens drawn. While sources are short the other sources' parts exceed their
+    weights, as shares add up to 1; with ``shrink`` (see :func:`plan`) only absent sources cause that.
+
     ``block_rows``: about so many documents fly in one task; a source of any size is cut into blocks. Documents of
     unlisted or null sources take no part; texts without tokens are drawn like others of size 0. Empty tables give
     empty results. The draw depends only on the ids, sizes and ``seed``.
@@ -116,7 +124,7 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCABULAR
     workers(docs.sparkSession)
     tokens = stage(count_tokens(docs, ["doc_id", "source"], vocabulary=vocabulary), "tokens")
     sizes = tokens.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").cast("bigint").alias("n_tokens"))
-    plans = stage(plan(sizes, targets), "plan")
+    plans = stage(plan(sizes, targets, shrink), "plan")
     listed = tokens.join(plans.select("source", "repeats", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block_rows)).cast("bigint").alias("blocks")), "source")
     base = F.floor(F.col("repeats") + EPS)
     units = listed.select(
@@ -141,6 +149,6 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCABULAR
     drawn = out.select(F.col("doc").alias("doc_id"), "source", "n_tokens", (F.col("base") + F.col("p").cast("bigint")).alias("copies")).filter(F.col("copies") > 0)
     got = drawn.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).cast("bigint").alias("drawn_tokens"), F.sum("copies").cast("bigint").alias("drawn_docs"), F.max("copies").cast("bigint").alias("most_copies"))
     r = stage(plans.join(got, "source", "left").na.fill(0, ["drawn_tokens", "drawn_docs", "most_copies"]), "report")
-    total = r.agg(F.sum("drawn_tokens")).first()[0] or 0
-    share = F.col("drawn_tokens") / F.lit(float(total)) if total else F.lit(0.0)
-    return drawn, r.select("source", "target_weight", "max_repeats", "n_docs", "n_tokens", "short", "drawn_docs", "drawn_tokens", "most_copies", share.alias("actual_share"))
+    sums = r.agg(F.sum("drawn_tokens"), F.sum("n_tokens")).first()
+    share = lambda c, n: (F.col(c) / F.lit(float(n)) if n else F.lit(0.0))
+    return drawn, r.select("source", "target_weight", "max_repeats", "n_docs", "n_tokens", "short", "drawn_docs", "drawn_tokens", "most_copies", share("drawn_tokens", sums[1]).alias("share_of_all"), share("drawn_tokens", sums[0]).alias("actual_share"))

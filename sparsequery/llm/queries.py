@@ -37,9 +37,8 @@ def p8_ids(spark, d):
 
 @query()
 def p9_found(spark, d):
-    """Sources too small for their weight even when repeated as often as allowed."""
-    sizes = mixing.source_sizes(table(spark, d, "documents"))
-    return mixing.plan(sizes, table(spark, d, "mixtargets")).filter("short").select("source")
+    """Sources too small for their weight even when repeated as often as allowed, from the report of the drawn mixture."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mixtargets"))[1].filter("short").select("source")
 
 
 @query()
@@ -48,6 +47,24 @@ def p9_shares(spark, d):
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mixtargets"))[1]
 
 
+@query()
+def p9_met(spark, d):
+    """The shares when the total shrinks until every source that has documents meets its weight."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mixtargets"), shrink=True)[1]
+
+
+@query("""SELECT true AS ok""")
+def p9_checked(spark, d):
+    """Whether the draw keeps its promises: no document above its source's cap, and every source within one document of the tokens wanted."""
+    drawn, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mixtargets"))
+    top = drawn.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    r = report.join(top, "source", "left")
+    want = F.col("target_weight") * F.lit(float(report.agg(F.sum("n_tokens")).first()[0] or 0))
+    reach = F.least(want, F.col("max_repeats") * F.col("n_tokens"))
+    fair = (F.col("most_copies") <= F.col("max_repeats")) & (F.abs(F.col("drawn_tokens") - reach) <= F.coalesce("largest", F.lit(0)))
+    return r.agg(F.min(F.coalesce(fair, F.lit(False))).alias("ok"))
+
+
 @query()
 def p9_drawn(spark, d):
     """The documents drawn, with their copies."""

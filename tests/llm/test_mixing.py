@@ -41,6 +41,12 @@ def test_mix(spark):
     assert d.doc_id.is_unique and d.copies.min() >= 1 and not d.source.isin(["unlisted"]).any()
 
 
+def test_shrunk_total_meets_the_weights(spark):
+    rows = {r.source: r for r in mix(docs(spark), targets(spark), shrink=True)[1].collect()}
+    for s, w in (("big", 0.5), ("mid", 0.4), ("tiny", 0.1)):
+        assert abs(rows[s].actual_share - w) < 0.1 * w and rows[s].most_copies <= rows[s].max_repeats
+
+
 def test_short_sources_and_empty_tables(spark):
     p = plan(source_sizes(docs(spark)), targets(spark))
     assert {r.source for r in p.filter("short").collect()} == {"tiny"}
