@@ -97,7 +97,7 @@ def joined(df: DataFrame, *cols: str) -> DataFrame:
 @query("SELECT gene_integer_id FROM expression GROUP BY 1 HAVING count(*) >= 0.02 * (SELECT count(*) FROM expression)", pre=False)
 def p4_found(spark, d):
     """Genes with at least 2 % of all stored rows."""
-    return skew.frequent_keys(table(spark, d, "expression"), GENE, 0.02).select(GENE)
+    return skew.frequent_keys(table(spark, d, "expression").select(GENE, CELL), GENE, 0.02).select(GENE)
 
 
 P4 = """SELECT {0}, count(*) n_rows, count(DISTINCT {1}) n_distinct, count(u) n_usable, round(sum(u), 4) sum_value, min(u) min_value, max(u) max_value
