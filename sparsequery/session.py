@@ -77,6 +77,13 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that nothing reads any more."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            drop_path(t.sparkSession, path)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let the driver collect its garbage, so that the shuffle files of finished stages are deleted from the executors."""
     import gc
