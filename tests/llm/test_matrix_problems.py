@@ -54,13 +54,12 @@ def test_current_values(spark):
 # percentiles
 
 
-@pytest.mark.parametrize("finish", [4, 4096])
-def test_percentiles_against_numpy(spark, finish):
+def test_percentiles_against_numpy(spark):
     r = np.random.default_rng(0)
     own = {"a": r.normal(size=4000).round(2), "b": np.repeat(3.0, 2500), "c": r.integers(0, 4, 900).astype(float), None: np.array([1.0, 2.0]), "d": np.array([5.0])}
     rows = [(g, float(v), 1) for g, x in own.items() for v in x] + [("a", None, 1), ("a", float("nan"), 1), ("none", None, 1)]
     ps = [0.0, 0.1, 0.5, 0.9, 1.0]
-    got = {(x.g, x.p): (x.n, x.percentile) for x in percentiles.multi_select(spark.createDataFrame(rows, "g string, x double, n int").repartition(3), ["g"], "x", ps, finish=finish).collect()}
+    got = {(x.g, x.p): (x.n, x.percentile) for x in percentiles.multi_select(spark.createDataFrame(rows, "g string, x double, n int").repartition(3), ["g"], "x", ps).collect()}
     assert len(got) == len(own) * len(ps)
     for g, x in own.items():
         for p in ps:
@@ -68,6 +67,18 @@ def test_percentiles_against_numpy(spark, finish):
     assert percentiles.multi_select(spark.createDataFrame([], "g string, x double"), ["g"], "x", ps).count() == 0
 
 
+def test_selection_goes_in_rounds_and_discards(spark):
+    r = np.random.default_rng(6)
+    x = {"hot": r.normal(size=20_000), "small": np.array([3.0, 1.0, 2.0]), "inf": np.array([-np.inf, np.inf, 1.0, np.inf])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in x.items() for v in vs], "g string, v double").repartition(4)
+    stats = {}
+    got = {(t.g, t.p): t.percentile for t in percentiles.multi_select(df, ["g"], "v", [0.1, 0.5], stats).collect()}
+    assert stats["rounds"] > 1 and stats["rows"][0] == 20_007 and stats["rows"][1] < 8_000
+    for g, p in (("hot", 0.1), ("hot", 0.5), ("small", 0.1), ("small", 0.5)):
+        assert got[g, p] == pytest.approx(np.quantile(x[g], p), abs=1e-12)
+    assert got["inf", 0.5] == np.inf
+
+
 def test_summaries_of_loads_combine_within_the_bound(spark):
     r = np.random.default_rng(1)
     rows = [(f"day{d}", "g", float(v)) for d in range(4) for v in r.normal(d, 1 + d, 800)]
