@@ -8,7 +8,6 @@ visits its own leaf in each tree, and the remaining visits go to the leaves behi
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -17,6 +16,18 @@ from pyspark.sql import functions as F
 from ..session import workers
 
 BLOCK = 1024  # rows of a similarity block
+TILE = 1 << 25  # numbers of a similarity block
+
+
+def block_rows(n: int) -> int:
+    """Rows of a block of similarities with ``n`` others."""
+    return max(16, min(BLOCK, TILE // max(n, 1)))
+
+
+def first_of_each(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of every distinct row, number of its distinct row for each row)."""
+    _, first, back = np.unique(np.ascontiguousarray(raw).view(f"V{raw.itemsize * raw.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return first, back
 
 
 def usable_vectors(rows: DataFrame, id_col: str, vec_col: str, dim: int, keep_unusable: bool = False) -> DataFrame:
@@ -194,9 +205,8 @@ def place(vectors: DataFrame, forest: Forest, dim: int, probes: int, group: int
     With ``group``, (leaves, visits, own, id, vec): a row per subtree of up to ``group`` leaves that is visited, with the
     leaves visited there and whether each is an own one, so that many visits don't send a vector as many times.
 
-    Equal vectors visit the same leaves, so copies merge without a shuffle of their own: inside a partition here (only
-    an id below the smallest one sent so far is sent again), and for good in the leaf (:func:`merge_copies`). A vector
-    that a third of all rows hold sends a row per partition and visit.
+    Equal vectors visit the same leaves, so copies merge without a shuffle of their own: inside a chunk of rows here, and
+    for good in the leaf (:func:`merge_copies`). A vector that a third of all rows hold sends a row per chunk and visit.
     """
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(forest)  # at most max_sample / 16 leaves a tree
@@ -205,17 +215,14 @@ def place(vectors: DataFrame, forest: Forest, dim: int, probes: int, group: int
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        f, sent = shared.value, {}
+        f = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 c = b.slice(at, 4096)
                 raw, ids = as_matrix(c.column(1), dim), c.column(0).to_numpy()
-                new = np.zeros(len(raw), bool)
-                for i, (row, k) in enumerate(zip(raw, ids.tolist())):
-                    name = blake2b(row.tobytes(), digest_size=16).digest()
-                    if sent.get(name, k + 1) > k:
-                        sent[name], new[i] = k, True
-                raw, kept = raw[new], pa.array(np.flatnonzero(new))
+                order = np.argsort(ids, kind="stable")  # of equal vectors the smallest id goes
+                kept = np.sort(order[first_of_each(raw[order])[0]])
+                raw, kept = raw[kept], pa.array(kept)
                 if not len(raw):
                     continue
                 leaf, own = f.visits(unit(raw).astype(np.float32), probes)
@@ -242,7 +249,7 @@ def merge_copies(t, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids, own, raw = t.column("id").to_numpy(), t.column("own").to_numpy(zero_copy_only=False), as_matrix(t.column("vec"), dim)
     if not len(ids):
         return ids, raw, own
-    _, first, back = np.unique(np.ascontiguousarray(raw).view(f"V{4 * dim}").ravel(), return_index=True, return_inverse=True)
+    first, back = first_of_each(raw)
     low = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(low, back, ids)
     order = np.argsort(low)
@@ -254,14 +261,9 @@ def group_neighbours(t, dim: int, k: int, least: float | None) -> tuple[np.ndarr
 
     ``t``: rows of :func:`place` with ``group``. Copies from several partitions merge; equal vectors have equal visits.
     """
-    ids, raw, low, first = t.column("id").to_numpy(), as_matrix(t.column("vec"), dim), {}, {}
-    for i, (row, at) in enumerate(zip(raw, ids.tolist())):
-        name = blake2b(row.tobytes(), digest_size=16).digest()
-        if low.get(name, at + 1) > at:
-            low[name], first[name] = at, i
-    first = np.fromiter(first.values(), np.int64, len(first))
-    first = first[np.argsort(ids[first])]
-    del low
+    ids, raw = t.column("id").to_numpy(), as_matrix(t.column("vec"), dim)
+    order = np.argsort(ids, kind="stable")
+    first = order[np.sort(first_of_each(raw[order])[0])] if len(ids) else order
     ids = ids[first]
     visits, own = (t.column(c).combine_chunks().take(first) for c in ("visits", "own"))
     row = np.repeat(np.arange(len(first)), visits.value_lengths().to_numpy())
@@ -283,43 +285,24 @@ def group_neighbours(t, dim: int, k: int, least: float | None) -> tuple[np.ndarr
     return ids[r], who[r, c], best[r, c]
 
 
-def local_cells(x: np.ndarray, own: np.ndarray, cap: int, rng) -> Iterator[np.ndarray]:
-    """Row numbers of a leaf in pieces with at most ``cap`` own rows; a larger leaf is split at medians."""
-    work = [np.arange(len(x))]
-    while work:
-        rows = work.pop()
-        mine = rows[own[rows]]
-        if len(mine) <= cap:
-            yield rows
-            continue
-        i, j = rng.choice(len(mine), 2, replace=False)
-        p = x[rows] @ (x[mine[i]] - x[mine[j]])
-        order = p[own[rows]]
-        mid = np.median(order)
-        right = p > mid
-        if right[own[rows]].all() or not right[own[rows]].any():
-            right = np.zeros(len(rows), bool)
-            right[: len(rows) // 2] = True
-        work += [rows[~right], rows[right]]
-
-
-def leaf_neighbours(ids: np.ndarray, raw: np.ndarray, own: np.ndarray, k: int, least: float | None, cap: int = 32_768, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def leaf_neighbours(ids: np.ndarray, raw: np.ndarray, own: np.ndarray, k: int, least: float | None, tile: int = 32_768, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row id, neighbour id, cosine): for every visitor its ``k`` best own rows of the leaf, compared with all of them.
 
     Candidates come from single precision blocks and are ranked again in double precision; ``least`` leaves out those
     with a smaller cosine. Ties go to the smaller id. ``floor``: for every visitor a cosine below which none is needed.
+    A leaf of any size is compared whole, ``tile`` own rows at a time.
     """
     out = []
     x64 = unit(raw)
     x = x64.astype(np.float32)
-    for rows in local_cells(x, own, cap, np.random.default_rng(0)):
-        items = rows[own[rows]]
-        if not len(items):
-            continue
+    every, mine = np.arange(len(x)), np.flatnonzero(own)
+    for first in range(0, len(mine), tile):
+        items = mine[first : first + tile]
         y = np.ascontiguousarray(x[items].T)
         wide = min(k + 8, len(items))
-        for at in range(0, len(rows), BLOCK):
-            q = rows[at : at + BLOCK]
+        step = block_rows(len(items))
+        for at in range(0, len(x), step):
+            q = every[at : at + step]
             s = x[q] @ y
             if least is not None:
                 r, c = np.nonzero(s >= np.float32(least - 1e-5))
@@ -342,12 +325,20 @@ def leaf_neighbours(ids: np.ndarray, raw: np.ndarray, own: np.ndarray, k: int, l
             if least is not None:
                 keep = exact >= least
                 a, b, exact = a[keep], b[keep], exact[keep]
-            order = np.lexsort((ids[b], -exact, a))
-            a, b, exact = a[order], b[order], exact[order]
-            starts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, int)
-            rank = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
-            out.append((ids[a[rank < k]], ids[b[rank < k]], exact[rank < k]))
+            out.append(_best(ids, a, b, exact, k))
     if not out:
         e = np.zeros(0, np.int64)
         return e, e, np.zeros(0)
-    return tuple(np.concatenate(z) for z in zip(*out))
+    a, b, exact = (np.concatenate(z) for z in zip(*out))
+    if len(mine) > tile:
+        a, b, exact = _best(ids, a, b, exact, k)
+    return ids[a], ids[b], exact
+
+
+def _best(ids: np.ndarray, a: np.ndarray, b: np.ndarray, exact: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (a, b) the ``k`` of highest cosine for every a, ties by the smaller id of b."""
+    order = np.lexsort((ids[b], -exact, a))
+    a, b, exact = a[order], b[order], exact[order]
+    starts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, int)
+    rank = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
+    return a[rank < k], b[rank < k], exact[rank < k]

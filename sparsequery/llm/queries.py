@@ -258,8 +258,10 @@ def cell_type():
 @query(SIMILAR.format(0.86) + """, n AS (SELECT ia, list_sort(list(ib)) l FROM s GROUP BY 1), g AS (SELECT l, list(ia) ids, min(ia) cluster_id FROM n GROUP BY 1 HAVING count(*) = len(l) AND len(l) >= 3)
   SELECT unnest(ids) cell_integer_id, cluster_id FROM g""")
 def p2_found(spark, d):
-    """Groups of cells all similar (cosine 0.86) to one another and to no cell outside."""
-    g = clusters.density_groups(table(spark, d, "cells"), "cell_integer_id", "key", eps=0.14, reach=0.14)
+    """Groups of cells all similar (cosine 0.86) to one another and to no cell outside: of the records in a chosen cluster of
+    the hierarchy, the groups that its cut at 0.86 leaves, checked exactly."""
+    g = clusters.density_groups(table(spark, d, "cells"), "cell_integer_id", "key", eps=0.14, reach=0.5)
+    g["labels"] = g["labels"].filter("cluster is not null")
     out = stage(clusters.closed_groups(g, 64, 0.86).select(F.col("id").alias("cell_integer_id"), "base"), "closed")
     name = out.groupBy("base").agg(F.min("cell_integer_id").alias("cluster_id"))
     return out.join(name, "base").select("cell_integer_id", "cluster_id")
