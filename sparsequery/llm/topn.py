@@ -1,10 +1,13 @@
 """Top N items within every group by statistics-guided skipping.
 
-The rows are written as files clustered by group and, inside a group, by descending score, in small row groups. A
-reader task takes one file's row groups in descending order of their maximum score and skips those whose maximum is
-strictly below the current N-th score of every group they contain. A group of any size is spread over files by the
-range partitioning (the score is part of its key); what the files keep, at most N rows per group and row group read,
-is merged with a group-limited window.
+The rows are written as files clustered by group (range partitions of group and score, so that a group of any size is
+spread over files) and sorted by descending score inside a file, in small row groups. A reader task takes one file's row
+groups in descending order of their maximum score and skips those whose maximum is strictly below the current N-th score
+of every group they contain. Which groups these are the statistics tell (one group, or a range of integers that all have
+their N-th score); where they leave it open, the group column alone is read first. What the files keep, at most N rows
+per group and file, is merged with a group-limited window.
+
+Skipping pays where groups are much larger than N. Of groups with little more than N rows most rows are the answer.
 """
 
 from __future__ import annotations
@@ -32,18 +35,41 @@ def current_values(expression: DataFrame) -> DataFrame:
     return best.select("cell_integer_id", "gene_integer_id", F.col("b.value").alias("value"))
 
 
+def open_uri(uri: str):
+    """(file system, path) of pyarrow for a Hadoop path; fsspec serves schemes that pyarrow doesn't know."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition("://")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3://{rest}"
+    try:
+        return fs.FileSystem.from_uri(uri)
+    except ValueError:  # an unknown scheme
+        import fsspec
+
+        return fs.PyFileSystem(fs.FSSpecHandler(fsspec.filesystem(scheme))), rest
+
+
 def read_top(uri: str, n: int, stats: dict | None = None) -> Iterator:
-    """Batches (g, s, i) of one clustered file with the rows that may be among their group's first ``n``."""
+    """Batches (g, s, i) of one clustered file (sorted by s descending, g, i) with every group's first ``n`` rows of it.
+
+    ``stats`` counts row groups: ``read``, ``skipped`` by statistics, ``passed`` over after a look at their group column.
+    """
     import pyarrow as pa
     import pyarrow.compute as pc
     import pyarrow.parquet as pq
-    from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri)
+    stats = {} if stats is None else stats
+
+    def count(what):
+        stats[what] = stats.get(what, 0) + 1
+
+    system, path = open_uri(uri)
     with system.open_input_file(path) as f:
         pf = pq.ParquetFile(f)
         names = pf.schema_arrow.names
         g, s = names.index("g"), names.index("s")
+        whole = pa.types.is_integer(pf.schema_arrow.field("g").type)
         meta = [pf.metadata.row_group(i) for i in range(pf.num_row_groups)]
 
         def bounds(i, c):
@@ -51,51 +77,76 @@ def read_top(uri: str, n: int, stats: dict | None = None) -> Iterator:
             return (st.min, st.max) if st is not None and st.has_min_max else (None, None)
 
         top = {i: bounds(i, s)[1] for i in range(len(meta))}
-        nth: dict = {}  # group -> its N-th best score so far; only groups that have N
-        for i in sorted(top, key=lambda i: -np.inf if top[i] is None else -top[i]):
+        seen: dict = {}  # group -> its rows so far
+        nth: dict = {}  # group -> its N-th best score; only groups that have N
+        done = np.zeros(0)  # sorted integer groups in nth, as of some time ago
+
+        for i in sorted(top, key=lambda i: (-np.inf if top[i] is None else -top[i], i)):
             lo, hi = bounds(i, g)
-            # rows are clustered: a row group with one group contains no other, one with several begins new groups
-            if lo is not None and lo == hi and top[i] is not None and lo in nth and top[i] < nth[lo]:
-                if stats is not None:
-                    stats["skipped"] = stats.get("skipped", 0) + 1
+            full = lambda k, m=top[i]: m is not None and m < nth.get(k, -np.inf)
+            if lo is not None and lo == hi and full(lo):
+                count("skipped")
                 continue
-            if stats is not None:
-                stats["read"] = stats.get("read", 0) + 1
-            t = pf.read_row_group(i, columns=["g", "s", "i"]).combine_chunks()
-            if not t.num_rows:
+            if whole and lo is not None and hi - lo < len(nth):  # rows come in descending order, so only scores equal to N-th ones are in the way
+                if len(done) != len(nth):
+                    done = np.sort(np.fromiter(nth, np.int64, len(nth)))
+                inside = done[np.searchsorted(done, lo) : np.searchsorted(done, hi, "right")]
+                if len(inside) == hi - lo + 1 and all(full(k) for k in inside.tolist()):
+                    count("skipped")
+                    continue
+            coded = pf.read_row_group(i, columns=["g"]).column("g").combine_chunks().dictionary_encode()
+            if not len(coded):
+                continue
+            coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+            groups = coded.dictionary.to_pylist()
+            if all(full(k) for k in groups):
+                count("passed")
                 continue
-            groups = t.column("g").combine_chunks()
-            first = np.append(True, pc.not_equal(groups.slice(1), groups.slice(0, len(groups) - 1)).to_numpy(zero_copy_only=False))
-            starts = np.flatnonzero(first)
-            place = np.arange(len(first)) - np.repeat(starts, np.diff(np.append(starts, len(first))))
-            full = np.flatnonzero(place == n - 1)
-            scores = t.column("s").to_numpy()
-            for k, x in zip(groups.take(pa.array(full)).to_pylist(), scores[full].tolist()):
-                nth[k] = max(x, nth.get(k, -np.inf))
+            count("read")
+            t = pf.read_row_group(i, columns=["g", "s", "i"]).combine_chunks()
+            scores, codes = t.column("s").to_numpy(), coded.indices.to_numpy()
+            if (np.diff(scores) > 0).any():
+                raise ValueError(f"{uri} is not sorted by score")
+            order = np.argsort(codes, kind="stable")
+            sizes = np.bincount(codes, minlength=len(groups))
+            before = np.fromiter((seen.get(k, 0) for k in groups), np.int64, len(groups))
+            place = np.empty(len(codes), np.int64)
+            place[order] = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            place += before[codes]
+            for c, k in enumerate(groups):
+                seen[k] = int(before[c] + sizes[c])
+            last = np.flatnonzero(place == n - 1)
+            nth.update(zip((groups[c] for c in codes[last].tolist()), scores[last].tolist()))
             yield from t.filter(pa.array(place < n)).to_batches()
 
 
-def top_n(rows: DataFrame, group: str, item: str, score: str, n: int, row_group_bytes: int = 1 << 20, files: int | None = None) -> DataFrame:
+def top_n(rows: DataFrame, group: str, item: str, score: str, n: int, row_group_rows: int = 16_384, files: int | None = None, stats: dict | None = None) -> DataFrame:
     """(group, item, score, ``rank``): per group the first ``n`` rows by score descending, then item ascending.
 
     Rows with a null group or item and rows whose score is null or NaN are left out; repeated rows are items of their
-    own; an empty table gives an empty result. Groups may have any number of rows.
+    own; an empty table gives an empty result. Groups may have any number of rows. ``stats`` gets accumulators that
+    count row groups when the result is evaluated (see :func:`read_top`).
     """
     spark = rows.sparkSession
     workers(spark)
     src = rows.select(F.col(group).alias("g"), F.col(score).cast("double").alias("s"), F.col(item).alias("i"))
     src = src.filter("g is not null and i is not null and s is not null and not isnan(s)")
-    order = [F.col("g"), F.col("s").desc(), F.col("i")]
     width = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "clustered")
-    clustered = src.repartitionByRange(width, *order).sortWithinPartitions(*order)
-    clustered.write.option("parquet.block.size", str(row_group_bytes)).option("parquet.page.size.row.check.min", "1000").option("parquet.block.size.row.check.min", "1000").parquet(path)
+    clustered = src.repartitionByRange(width, F.col("g"), F.col("s").desc(), F.col("i")).sortWithinPartitions(F.col("s").desc(), F.col("g"), F.col("i"))
+    clustered.write.option("parquet.block.row.count.limit", str(row_group_rows)).parquet(path)
     names = spark.read.schema(src.schema).parquet(path).inputFiles()
+    counters = {k: spark.sparkContext.accumulator(0) for k in ("read", "skipped", "passed")}
+    if stats is not None:
+        stats.update(counters)
 
     def run(batches: Iterable) -> Iterator:
         for b in batches:
             for uri in b.column(0).to_pylist():
-                yield from read_top(uri, n)
+                own: dict = {}
+                yield from read_top(uri, n, own)
+                for k, v in own.items():
+                    counters[k].add(v)
 
     schema = T.StructType([src.schema["g"], src.schema["s"], src.schema["i"]])
     if not names:

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparsequery.llm import frequency, percentiles, splits, topn
 
@@ -20,7 +21,7 @@ def test_top_n_against_a_model(spark):
     rows = [(7 if j % 3 == 0 else r.randint(0, 300), r.randint(0, 10_000), float(r.randint(0, 30)), 0) for j in range(20_000)]
     rows += [(None, 1, 9.0, 0), (3, None, 9.0, 0), (3, 1, None, 0), (3, 2, float("nan"), 0), (400, 5, 1.0, 0), (400, 5, 1.0, 0)]
     got = defaultdict(list)
-    for x in topn.top_n(pairs(spark, rows), "g", "i", "s", 5, row_group_bytes=4096).collect():
+    for x in topn.top_n(pairs(spark, rows), "g", "i", "s", 5, row_group_rows=200).collect():
         got[x.g].append((x["rank"], x.i, x.s))
     want = defaultdict(list)
     for g, i, s, _ in rows:
@@ -42,6 +43,33 @@ def test_row_groups_are_skipped(tmp_path):
     assert rows == 10 and stats == {"read": 1, "skipped": 19}
 
 
+@pytest.mark.parametrize("step", [1, 3])
+def test_row_groups_with_several_groups_are_skipped(tmp_path, step):
+    """Groups without gaps are skipped by statistics alone, others after a look at the group column; ties are read."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    s = np.repeat(np.arange(500, 0, -1), 20).astype(float)
+    g = np.arange(10_000) % 20 * step
+    pq.write_table(pa.table({"g": g, "s": s, "i": np.arange(10_000)}), tmp_path / "f.parquet", row_group_size=500)
+    stats = {}
+    rows = sum(b.num_rows for b in topn.read_top(str(tmp_path / "f.parquet"), 25, stats))
+    assert rows == 500 and stats == {"read": 1, "skipped" if step == 1 else "passed": 19}
+    stats = {}
+    assert sum(b.num_rows for b in topn.read_top(str(tmp_path / "f.parquet"), 26, stats)) == 520 and stats["read"] == 2
+
+
+def test_a_group_of_two_million_rows(spark):
+    r = spark.range(2_000_000).select((F.col("id") % 3 * 0).alias("g"), F.col("id").alias("i"), (F.xxhash64("id") % 100_000 / 7).alias("s"))
+    more = spark.range(30_000).select((F.col("id") % 40 + 1).alias("g"), F.col("id").alias("i"), (F.col("id") % 11).cast("double").alias("s"))
+    every, stats = r.unionByName(more), {}
+    got = topn.top_n(every, "g", "i", "s", 10, files=4, stats=stats).toPandas()
+    assert got.groupby("g").size().tolist() == [10] * 41
+    want = [(x.i, x.s) for x in every.filter("g = 0").orderBy(F.desc("s"), "i").limit(10).collect()]
+    assert [(a, b) for a, b in got[got.g == 0].sort_values("rank")[["i", "s"]].values.tolist()] == [(float(a), b) for a, b in want]
+    assert stats["skipped"].value > 100 > stats["read"].value
+
+
 def test_current_values(spark):
     import datetime as dt
 
