@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import workers
+from ..session import stage, workers
 
 
 def _intervals(max_n: int, schema):
@@ -56,6 +56,8 @@ def _intervals(max_n: int, schema):
 def ngram_frequencies(rows: DataFrame, record: str, term: str, order: list[str] | None = None, max_n: int = 1) -> DataFrame:
     """(``gram`` array, ``n_occurrences``, ``n_records``) of every n-gram up to ``max_n`` terms.
 
+    With ``max_n`` 1 a suffix is a single term and every interval a single row; the array matters from 2 on.
+
     ``rows``: one per term occurrence; ``order`` gives the place in the record (needed for ``max_n`` above 1; ties are
     broken by the term). Null terms are left out; rows with a null record form one record; repeated rows are
     occurrences. Counts are combined before every shuffle, so a term with a third of all rows costs a row per task and
@@ -70,6 +72,8 @@ def ngram_frequencies(rows: DataFrame, record: str, term: str, order: list[str]
     else:
         s = s.select("r", F.array("t").alias("suffix"))
     own = s.groupBy("r", "suffix").agg(F.count(F.lit(1)).alias("c"))
+    if max_n > 1:
+        own = stage(own, "suffixes")  # read three times
     counted = own.groupBy("suffix").agg(F.sum("c").alias("n"))
     kind = counted.schema["suffix"].dataType
     schema = T.StructType([T.StructField("gram", kind), T.StructField("occ", T.LongType()), T.StructField("rep", T.LongType())])

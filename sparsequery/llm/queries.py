@@ -201,12 +201,27 @@ def _terms(rows: DataFrame) -> DataFrame:
     return f.select(F.col("gram")[0].alias("gene_integer_id"), "n_occurrences", "n_records")
 
 
+def _falling(rows: DataFrame) -> DataFrame:
+    """A cell's genes as a record: by value descending, then gene."""
+    return rows.select("cell_integer_id", "gene_integer_id", (-F.col("value").cast("double")).alias("falling"))
+
+
+@query("""WITH {0}, o AS (SELECT cell_integer_id c, gene_integer_id g, lead(gene_integer_id) OVER w g2, lead(gene_integer_id, 2) OVER w g3 FROM current_pairs WINDOW w AS (PARTITION BY cell_integer_id ORDER BY value DESC, gene_integer_id)),
+  n AS (SELECT count(DISTINCT cell_integer_id) n FROM cells), x AS (SELECT c, CAST(g AS VARCHAR) gram FROM o UNION ALL SELECT c, concat_ws(',', g, g2) FROM o WHERE g2 IS NOT NULL UNION ALL SELECT c, concat_ws(',', g, g2, g3) FROM o WHERE g3 IS NOT NULL)
+  SELECT gram, count(*) n_occurrences, count(DISTINCT c) n_records FROM x, n GROUP BY gram HAVING count(DISTINCT c) >= 0.001 * any_value(n)""".format(CURRENT))
+def p7_ngrams(spark, d):
+    """Runs of up to three genes in the order of their value, with their occurrences and cells, those too rare to be useful left out."""
+    f = frequency.ngram_frequencies(_falling(topn.current_values(table(spark, d, "expression"))), "cell_integer_id", "gene_integer_id", ["falling"], 3)
+    f = frequency.mark(f, _n_cells(spark, d)).filter("mark <> 'rare'")
+    return f.select(F.array_join(F.transform("gram", lambda x: x.cast("string")), ",").alias("gram"), "n_occurrences", "n_records")
+
+
 @query("""WITH n AS (SELECT count(DISTINCT cell_integer_id) n FROM cells), c AS (SELECT gene_integer_id, count(DISTINCT cell_integer_id) k FROM expression WHERE value > 0 AND NOT isnan(value) GROUP BY 1)
   SELECT DISTINCT g.gene_integer_id FROM genes g LEFT JOIN c USING (gene_integer_id), n WHERE g.gene_integer_id IS NOT NULL AND (coalesce(k, 0) < 0.001 * n OR coalesce(k, 0) > 0.5 * n)""")
 def p7_found(spark, d):
-    """Genes too rare or too common by their current values."""
-    e = table(spark, d, "expression").withColumn("value", F.col("value").cast("double")).filter(usable("value"))
-    t = _genes(spark, d).join(_terms(e), "gene_integer_id", "left")
+    """Genes too rare or too common by their current values: the intervals of depth 1 in the suffix array of the cells' genes."""
+    f = frequency.ngram_frequencies(_falling(topn.current_values(table(spark, d, "expression"))), "cell_integer_id", "gene_integer_id", ["falling"], 2)
+    t = _genes(spark, d).join(f.filter(F.size("gram") == 1).select(F.col("gram")[0].alias("gene_integer_id"), "n_records"), "gene_integer_id", "left")
     return frequency.mark(t, _n_cells(spark, d)).filter("mark <> 'useful'").select("gene_integer_id")
 
 
