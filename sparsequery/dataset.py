@@ -15,10 +15,11 @@ from pyspark.sql import types as T
 from .operators import preprocess
 from .operators.matrix import CELL, GENE, VALUE, LazyMatrix
 from .plans.filters import where
-from .plans.selectors import Selector, compose, normalize, parse_key
+from .plans.selectors import Selector, TableSelector, compose, normalize, parse_key
 from .sources import ingest, layout
 
 _NAMES = threading.RLock()
+MAX_DENSE = 1 << 28  # numbers of an array on the driver
 BROADCAST_ROWS = 200_000  # dimension tables up to this many rows are broadcast, others join by shuffle
 
 
@@ -174,10 +175,34 @@ class Dataset:
 
     def pairs_dense(self, name: str, axis: int = 0, key: Any = None) -> np.ndarray:
         s = normalize(key, self.shape[axis])
-        at = {int(x): i for i, x in enumerate(s.positions())}
+        if len(s) ** 2 > MAX_DENSE:
+            raise ValueError(f"{len(s)} x {len(s)} numbers are too many for the driver")
+        ids = s.positions()
+        order = np.argsort(ids, kind="stable")
+        p = self.pairs(name, axis, key).toPandas()
+        i, j = (order[np.searchsorted(ids, p[c].to_numpy(), sorter=order)] for c in ("id_i", "id_j"))
         out = np.zeros((len(s), len(s)))
-        for r in self.pairs(name, axis, key).collect():
-            out[at[r["id_i"]], at[r["id_j"]]] = r[VALUE]
+        out[i, j] = p[VALUE].to_numpy(float)
+        return out
+
+    def vector_array(self, name: str, axis: int = 0, key: Any = None) -> np.ndarray:
+        """One row per selected id in order (repeats too); NaN where an id has no vector. Lengths must agree."""
+        table, k, n = (self.cells, CELL, self.shape[0]) if axis == 0 else (self.genes, GENE, self.shape[1])
+        s = normalize(key, n)
+        v = self.vectors(name, axis, s)
+        dims = [r[0] for r in v.select(F.size(name)).distinct().limit(2).collect()]
+        if len(dims) > 1:
+            raise ValueError(f"vectors of {name!r} differ in length")
+        if len(s) * max([*dims, 1]) > MAX_DENSE:
+            raise ValueError(f"{len(s)} vectors are too many for the driver")
+        t = v.select(F.col(k).cast("bigint").alias("id"), F.col(name).cast("array<double>").alias("v")).toArrow()
+        ids = t.column("id").to_numpy()
+        x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dims[0] if dims else 0)
+        out, order = np.full((len(s), x.shape[1]), np.nan), np.argsort(ids)
+        at = np.searchsorted(ids, s.positions(), sorter=order)
+        hit = at < len(ids)
+        hit[hit] = ids[order[at[hit]]] == s.positions()[hit]
+        out[hit] = x[order[at[hit]]]
         return out
 
     @property
@@ -312,12 +337,22 @@ class View:
         ok = preprocess.passing(self.X.df(), GENE, bounds.get("min_counts"), bounds.get("max_counts"), bounds.get("min_cells"), bounds.get("max_cells"))
         return self._kept(ok, GENE, self.cols, 1)
 
+    def where_cells(self, **conditions) -> View:
+        """Only the rows whose metadata meet the filter; the ids stay in a table."""
+        return self._with(where(self.rows.apply(self.data.cells, CELL), **conditions).select(CELL), 0)
+
+    def where_genes(self, **conditions) -> View:
+        return self._with(where(self.cols.apply(self.data.genes, GENE), **conditions).select(GENE), 1)
+
+    def _with(self, ids: DataFrame, axis: int) -> View:
+        chosen = TableSelector.of((self.rows, self.cols)[axis].n, ids)
+        return View(self.data, *((chosen, self.cols) if axis == 0 else (self.rows, chosen)), self.transforms)
+
     def _kept(self, ok: DataFrame, key: str, sel: Selector, axis: int) -> View:
-        keep = set(ok.toPandas()[key].astype(int))  # ids of one axis, as every list selector holds them
-        ids = Selector(sel.n, ids=tuple(int(i) for i in sel.positions() if int(i) in keep))
-        if not len(ids):
+        v = self._with(sel.apply(ok, key).select(key), axis)
+        if not len((v.rows, v.cols)[axis]):
             raise ValueError("everything was filtered out")
-        return View(self.data, *((ids, self.cols) if axis == 0 else (self.rows, ids)), self.transforms)
+        return v
 
     def compute(self) -> dict[str, Any]:
         """Matrix as an array, metadata as pandas frames."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import time
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
+from ..session import workers
 from . import windows
 from .shuffle import random_order, stratified_order
 
@@ -61,29 +64,80 @@ def batched(expression: DataFrame, plan: BatchPlan, cells: DataFrame | None = No
     return token_table(expression, plan).join(placed, "cell_integer_id")
 
 
+def _packed(columns: list[str]):
+    """Rows sorted by place -> one row per batch, every column as the bytes of one array."""
+
+    def run(parts: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        held = None
+        for part in itertools.chain(parts, [None]):
+            table = pa.Table.from_batches([b for b in (held, part) if b is not None]).combine_chunks() if held is not None or part is not None else None
+            if table is None or not table.num_rows:
+                continue
+            ids = table.column("batch").to_numpy()
+            starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            ends = np.append(starts[1:], len(ids))
+            if part is not None:  # the last batch may go on
+                held = table.slice(starts[-1]).to_batches()[0]
+                starts, ends = starts[:-1], ends[:-1]
+            out = {"batch": pa.array(ids[starts]), "n": pa.array(ends - starts, pa.int32())}
+            for c in columns:
+                col = table.column(c).combine_chunks()
+                col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
+                cut = [col.slice(a, b - a) for a, b in zip(starts, ends)]
+                flat = [x.flatten() if pa.types.is_list(x.type) else x for x in cut]
+                out[c] = pa.array([f.to_numpy(zero_copy_only=False).tobytes() for f in flat], pa.binary())
+            yield pa.RecordBatch.from_pydict(out)
+
+    return run
+
+
 class BatchLoader:
-    """Iterates over batches as dicts of arrays; rows stream to the driver partition by partition."""
+    """Iterates over batches as dicts of arrays.
+
+    The executors stack each batch into arrays; the driver gets one row of bytes per batch, partition by partition, the
+    next partition being fetched meanwhile. ``metrics`` tells batches, rows, tokens and seconds waited so far.
+    """
 
     def __init__(self, expression: DataFrame, plan: BatchPlan = BatchPlan(), cells: DataFrame | None = None):
         self.expression, self.plan, self.cells = expression, plan, cells
+        self.metrics = {"batches": 0, "rows": 0, "tokens": 0, "seconds": 0.0, "rows_per_second": 0.0}
 
     def __iter__(self) -> Iterator[dict]:
+        return self._raw() if self.plan.kind == "raw" else self._arrays()
+
+    def _count(self, batch: dict, began: float) -> dict:
+        m = self.metrics
+        m["batches"] += 1
+        m["rows"] += len(batch["cell_ids"])
+        m["tokens"] += int(batch["attention_mask"].sum()) if "attention_mask" in batch else 0
+        m["seconds"] += time.monotonic() - began
+        m["rows_per_second"] = m["rows"] / m["seconds"] if m["seconds"] else 0.0
+        return batch
+
+    def _arrays(self) -> Iterator[dict]:
+        for epoch in range(self.plan.n_epochs):
+            rows = batched(self.expression, self.plan, self.cells, epoch)
+            columns = ["cell_integer_id", *(c for c in ("input_ids", "attention_mask", "values") if c in rows.columns)]
+            kinds = {c: np.bool_ if c == "attention_mask" else np.int64 for c in columns}
+            exact = [F.col(c).cast("array<bigint>").alias(c) if c in ("input_ids", "values") else F.col(c) for c in columns]
+            workers(rows.sparkSession)
+            placed = rows.select("batch", "place", *exact).repartitionByRange("batch").sortWithinPartitions("place").drop("place")
+            packed = placed.mapInArrow(_packed(columns), "batch bigint, n int, " + ", ".join(f"{c} binary" for c in columns))
+            began = time.monotonic()
+            for r in packed.toLocalIterator(prefetchPartitions=True):
+                a = {c: np.frombuffer(r[c], kinds[c]) for c in columns}
+                batch = {"cell_ids": a.pop("cell_integer_id"), "epoch": epoch, **{c: x.reshape(r["n"], -1) for c, x in a.items()}}
+                yield self._count(batch, began)
+                began = time.monotonic()
+
+    def _raw(self) -> Iterator[dict]:
+        """Batches of item and value lists, whose lengths differ."""
         for epoch in range(self.plan.n_epochs):
-            rows = batched(self.expression, self.plan, self.cells, epoch).orderBy("place")
-            part: list = []
+            lists = F.sort_array(F.collect_list(F.struct("place", "cell_integer_id", "gene_sequence", "expr_sequence")))
+            rows = batched(self.expression, self.plan, self.cells, epoch).groupBy("batch").agg(lists.alias("x")).orderBy("batch")
+            began = time.monotonic()
             for r in rows.toLocalIterator(prefetchPartitions=True):
-                if part and r["batch"] != part[0]["batch"]:
-                    yield self._stack(part, epoch)
-                    part = []
-                part.append(r)
-            if part:
-                yield self._stack(part, epoch)
-
-    def _stack(self, rows: list, epoch: int) -> dict:
-        out = {"cell_ids": np.array([r["cell_integer_id"] for r in rows]), "epoch": epoch}
-        if self.plan.kind == "raw":
-            return out | {"x": [(r["gene_sequence"], r["expr_sequence"]) for r in rows]}
-        for c in ("input_ids", "attention_mask", "values"):
-            if c in rows[0].asDict():
-                out[c] = np.array([r[c] for r in rows])
-        return out
+                yield self._count({"cell_ids": np.array([x["cell_integer_id"] for x in r["x"]]), "epoch": epoch, "x": [(x["gene_sequence"], x["expr_sequence"]) for x in r["x"]]}, began)
+                began = time.monotonic()

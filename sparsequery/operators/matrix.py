@@ -8,11 +8,11 @@ from typing import Any
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..plans.selectors import Selector, compose, normalize, parse_key
+from ..plans.selectors import Selector, TableSelector, compose, normalize, parse_key
 
 CELL, GENE, VALUE = "cell_integer_id", "gene_integer_id", "value"
+MAX_DENSE = 1 << 28  # numbers of an array on the driver
 
 
 @dataclass(frozen=True)
@@ -26,8 +26,8 @@ class LazyMatrix:
     source: DataFrame
     shape_all: tuple[int, int]
     value: str = VALUE
-    rows: Selector = None
-    cols: Selector = None
+    rows: Selector | TableSelector = None
+    cols: Selector | TableSelector = None
     transforms: tuple[tuple[str, float | None], ...] = field(default=())
 
     def __post_init__(self):
@@ -66,8 +66,9 @@ class LazyMatrix:
         d = self.rows.apply(self.source.select(CELL, GENE, F.col(self.value).cast("double").alias(VALUE)), CELL).filter(F.col(VALUE).isNotNull())
         for name, arg in self.transforms:
             if name == "normalize_total":
-                total = F.sum(VALUE).over(Window.partitionBy(CELL))
-                d = d.withColumn(VALUE, F.coalesce(F.try_divide(F.col(VALUE), total) * F.lit(arg), F.lit(0.0)))
+                # totals are one row per cell: small ones are broadcast, so the entries aren't moved
+                total = d.groupBy(F.col(CELL).alias("__c")).agg(F.sum(VALUE).alias("__t"))
+                d = d.join(total, F.col(CELL) == F.col("__c")).select(CELL, GENE, F.coalesce(F.try_divide(F.col(VALUE), F.col("__t")) * F.lit(arg), F.lit(0.0)).alias(VALUE))
             else:
                 d = d.withColumn(VALUE, F.log1p(VALUE))
         return self.cols.apply(d, GENE)
@@ -101,7 +102,7 @@ class LazyMatrix:
         v, d, w = F.col(VALUE), self.df(), F.lit(1)
         # an id selected several times counts as often along the axis that is reduced
         for i, (sel, key) in enumerate(((self.rows, CELL), (self.cols, GENE))):
-            if axis in (None, i) and sel.ids is not None and len(set(sel.ids)) < len(sel.ids):
+            if axis in (None, i) and (sel.span is None and sel.ids is None and sel.repeats() or sel.ids is not None and len(set(sel.ids)) < len(sel.ids)):
                 times = sel.frame(self.source.sparkSession).groupBy(F.col("id").alias(f"__i{i}")).agg(F.count(F.lit(1)).alias(f"__w{i}"))
                 d, w = d.join(times, d[key] == times[f"__i{i}"]), w * F.col(f"__w{i}")
         parts = [F.sum(v * w).alias("__s"), F.sum(v * v * w).alias("__q"), F.max(v).alias("__max"), F.min(v).alias("__min"), F.sum(w).alias("__n")]
@@ -112,7 +113,7 @@ class LazyMatrix:
             return d.agg(*parts).select(*(self._final(o, len(self.rows) * len(self.cols)).alias(o) for o in ops))
         key, sel, n = self._axis(axis)
         agg = d.groupBy(F.col(key).alias("__k")).agg(*parts)
-        ids = sel.frame(self.source.sparkSession).select("id").distinct() if sel.ids is not None else sel.frame(self.source.sparkSession).select("id")
+        ids = sel.frame(self.source.sparkSession).select("id").distinct() if sel.span is None else sel.frame(self.source.sparkSession).select("id")
         return ids.join(agg, F.col("id") == F.col("__k"), "left").select(F.col("id").cast(self.source.schema[key].dataType).alias(key), *(self._final(o, n).alias(o) for o in ops))
 
     # reductions as arrays
@@ -171,6 +172,8 @@ class LazyMatrix:
         return v, c, np.append(0, np.cumsum(np.bincount(r, minlength=len(self.rows))))
 
     def toarray(self) -> np.ndarray:
+        if len(self.rows) * len(self.cols) > MAX_DENSE:
+            raise ValueError(f"{self.shape} numbers are too many for the driver; use dense_rows()")
         out = np.zeros(self.shape)
         v, r, c = self.coo()
         out[r, c] = v

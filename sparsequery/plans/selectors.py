@@ -9,7 +9,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.rank import global_rank
+
 MAX_IN_LIST = 1000  # longer id lists become a semi-join
+MAX_COLLECTED = 50_000_000  # ids that an array on the driver may have
 
 
 @dataclass(frozen=True)
@@ -65,13 +68,69 @@ class Selector:
         return spark.createDataFrame([(i, int(x)) for i, x in enumerate(self.ids)], "pos bigint, id bigint")
 
 
-def normalize(key: Any, n: int) -> Selector:
-    """Selector for a NumPy-style key: None, slice, range, int, list of ints or a mask of length ``n``.
+class TableSelector:
+    """The ids of a table in ascending order, each once: a selection whose ids never come to the driver.
+
+    ``table``: (pos, id) of the selection. Slices compose by position; only :meth:`positions` collects.
+    """
+
+    span = None
+    ids = None
+    is_all = False
+
+    def __init__(self, n: int, table: DataFrame, repeats: bool = False):
+        self.n, self.table, self._size, self._repeats = n, table, None, repeats
+
+    @classmethod
+    def of(cls, n: int, ids: DataFrame) -> TableSelector:
+        """From a one-column table of ids."""
+        one = ids.select(F.col(ids.columns[0]).cast("bigint").alias("id")).filter("id is not null").distinct()
+        return cls(n, global_rank(one, [F.col("id")], "pos").select("pos", "id"))
+
+    def __len__(self) -> int:
+        if self._size is None:
+            self._size = self.table.count()
+        return self._size
+
+    def positions(self) -> np.ndarray:
+        """The selected ids in order, on the driver; arrays are asked for this way, plans are not."""
+        if len(self) > MAX_COLLECTED:
+            raise ValueError(f"{len(self)} ids are too many for the driver")
+        return self.table.orderBy("pos").select("id").toPandas()["id"].to_numpy(np.int64)
+
+    def predicate(self, column: str) -> Column | None:
+        return None
+
+    def apply(self, df: DataFrame, column: str) -> DataFrame:
+        ids = self.table.select(F.col("id").alias("__sq_id"))
+        return df.join(ids, df[column] == ids["__sq_id"], "left_semi")
+
+    def frame(self, spark) -> DataFrame:
+        return self.table
+
+    def repeats(self) -> bool:
+        """Whether an id is selected more than once."""
+        return self._repeats
+
+    def part(self, inner: Selector) -> TableSelector:
+        """What ``inner`` selects of the places of this selection."""
+        if inner.span is not None and inner.span.step > 0:
+            r = inner.span
+            keep = self.table.filter(inner.predicate("pos")).select(F.floor((F.col("pos") - r.start) / r.step).cast("bigint").alias("pos"), "id") if len(r) else self.table.limit(0)
+            return TableSelector(self.n, keep, self._repeats)
+        at = inner.frame(self.table.sparkSession).withColumnsRenamed({"pos": "__p", "id": "__at"})
+        return TableSelector(self.n, at.join(self.table, F.col("__at") == F.col("pos")).select(F.col("__p").alias("pos"), "id"), self._repeats or inner.ids is not None and len(set(inner.ids)) < len(inner.ids))
+
+
+def normalize(key: Any, n: int) -> Selector | TableSelector:
+    """Selector for a NumPy-style key: None, slice, range, int, list of ints, a mask of length ``n``, or a table of ids.
 
     An id outside -n..n-1 raises IndexError, a mask of another length and a step of 0 raise ValueError.
     """
-    if isinstance(key, Selector):
+    if isinstance(key, (Selector, TableSelector)):
         return key
+    if isinstance(key, DataFrame):
+        return TableSelector.of(n, key)
     if key is None or key is Ellipsis:
         return Selector(n, range(n))
     if isinstance(key, slice):
@@ -105,6 +164,10 @@ def _place(i: int, n: int) -> int:
 def compose(first: Selector, key: Any) -> Selector:
     """``key`` applied to what ``first`` has selected."""
     inner = normalize(key, len(first))
+    if isinstance(first, TableSelector):
+        return first.part(inner)
+    if isinstance(inner, TableSelector):  # ids of a table are ids of the axis, whatever is selected
+        return TableSelector.of(first.n, first.apply(inner.table, "id").select("id"))
     if first.span is not None and inner.span is not None:
         return Selector(first.n, first.span[inner.span.start : inner.span.stop : inner.span.step] if len(inner.span) and inner.span.step > 0 else _pick(first.span, inner.span))
     chosen = first.positions()[inner.positions()] if len(inner) else []

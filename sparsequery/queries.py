@@ -37,7 +37,8 @@ PRE = """WITH c AS (SELECT cell_integer_id, cell_id, cell_type, lower(trim(batch
   n AS (SELECT (SELECT max(cell_integer_id) + 1 FROM c) AS nc, (SELECT max(gene_integer_id) + 1 FROM g) AS ng)"""
 
 
-def dataset(spark: SparkSession, d: str) -> Dataset:
+def raw_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The delivered tables as those of a dataset: each cell's latest row, each pair's current usable value."""
     cells = table(spark, d, "cells")
     latest = cells.groupBy(CELL).agg(F.max(F.struct("loaded_at", "cell_id", "cell_type", F.lower(F.trim("batch")).alias("batch"), "donor", "total_counts", "n_genes_by_counts", "high_mito", "source_file")).alias("x"))
     t = F.col("x.total_counts").cast("double")
@@ -45,9 +46,27 @@ def dataset(spark: SparkSession, d: str) -> Dataset:
     genes = table(spark, d, "genes").groupBy(GENE).agg(*(F.max(c).alias(c) for c in ("gene_id", "gene_symbol", "gene_type", "highly_variable")))
     v = F.col(VALUE).cast("double")
     e = table(spark, d, "expression").filter(v.isNotNull() & ~F.isnan(v) & (v > 0)).groupBy(CELL, GENE).agg(F.max(F.struct("loaded_at", v.alias(VALUE))).alias("x")).select(CELL, GENE, F.col("x.value").alias(VALUE))
-    highest = lambda name, key: table(spark, d, name).agg(F.coalesce(F.max(key), F.lit(-1))).first()[0] + 1  # noqa: E731  from the id column of the files alone
-    shape = lambda: (highest("cells", CELL), highest("genes", GENE))
-    return Dataset(spark, {"cells": cells, "genes": genes, "expression": e, "layers": table(spark, d, "layers"), "cellsxcells": table(spark, d, "cellsxcells")}, shape)
+    return {"cells": cells, "genes": genes, "expression": e, "layers": table(spark, d, "layers"), "cellsxcells": table(spark, d, "cellsxcells")}
+
+
+_OPENED: dict[tuple, Dataset] = {}
+
+
+def dataset(spark: SparkSession, d: str) -> Dataset:
+    """The delivered tables of folder ``d`` as an open dataset.
+
+    They are ingested once per session (cleaned, clustered by cell and by gene) into a dataset folder in the shared
+    folder, and again if a file has changed; queries then read what their predicates leave of it. Each call gives an
+    object of its own over the stored tables, so that columns added to one are not seen by another.
+    """
+    key = (spark.sparkContext.applicationId, d, *(layout.stamp(spark, f"{d}/{n}.parquet") for n in ("cells", "genes", "expression", "layers", "cellsxcells")))
+    ds = _OPENED.get(key)
+    if ds is None or not layout.exists(spark, f"{ds.folder}/config.json"):
+        folder = scratch_path(spark, "dataset")
+        ingest.write_dataset(raw_tables(spark, d), folder, values="double")
+        ds = _OPENED[key] = Dataset.open(spark, folder)
+        ds.tables["cells"] = ds.cells.drop("cell_start_index")
+    return Dataset(spark, dict(ds.tables), ds.shape)
 
 
 NUDGE = 3e-9  # moves decimal ties off the rounding edge, where engines that sum in another order would part
@@ -372,25 +391,25 @@ def whole_multi_agg_axis0(ds):
 @query("SELECT cell_integer_id, count(DISTINCT gene_integer_id) AS n_genes_by_counts, round(sum(value), 6) AS total_counts, round(ln(1 + count(DISTINCT gene_integer_id)), 6) AS log1p_n_genes_by_counts, round(ln(1 + sum(value)), 6) AS log1p_total_counts FROM e GROUP BY 1")
 @on
 def cell_qc(ds):
-    return rnd(preprocess.cell_qc(ds.expression), "total_counts", "log1p_n_genes_by_counts", "log1p_total_counts")
+    return rnd(preprocess.cell_qc(ds.expression, unique=True), "total_counts", "log1p_n_genes_by_counts", "log1p_total_counts")
 
 
 @query("SELECT gene_integer_id, gene_id, coalesce(k, 0) AS n_cells_by_counts, round(coalesce(s, 0), 6) AS total_counts, round(ln(1 + coalesce(k, 0)), 6) AS log1p_n_cells_by_counts, round(ln(1 + coalesce(s, 0)), 6) AS log1p_total_counts FROM g LEFT JOIN (SELECT gene_integer_id, count(DISTINCT cell_integer_id) k, sum(value) s FROM e GROUP BY 1) USING (gene_integer_id)")
 @on
 def gene_qc(ds):
-    return rnd(preprocess.gene_qc(ds.expression, ds.genes), "total_counts", "log1p_n_cells_by_counts", "log1p_total_counts")
+    return rnd(preprocess.gene_qc(ds.expression, ds.genes, unique=True), "total_counts", "log1p_n_cells_by_counts", "log1p_total_counts")
 
 
 @query("SELECT * FROM e WHERE cell_integer_id IN (SELECT cell_integer_id FROM e GROUP BY 1 HAVING count(DISTINCT gene_integer_id) >= 20 AND sum(value) <= 2000)")
 @on
 def pp_filter_cells(ds):
-    return preprocess.filter_cells(ds.expression, min_genes=20, max_counts=2000).select(CELL, GENE, VALUE)
+    return preprocess.filter_cells(ds.expression, min_genes=20, max_counts=2000, unique=True).select(CELL, GENE, VALUE)
 
 
 @query("SELECT * FROM e WHERE gene_integer_id IN (SELECT gene_integer_id FROM e GROUP BY 1 HAVING count(DISTINCT cell_integer_id) >= 10 AND sum(value) >= 50)")
 @on
 def pp_filter_genes(ds):
-    return preprocess.filter_genes(ds.expression, min_cells=10, min_counts=50).select(CELL, GENE, VALUE)
+    return preprocess.filter_genes(ds.expression, min_cells=10, min_counts=50, unique=True).select(CELL, GENE, VALUE)
 
 
 HVG = "h AS (SELECT gene_integer_id, coalesce(k, 0) AS n_cells, coalesce(m, 0) AS means, coalesce(v, 0) AS variances, CASE WHEN coalesce(m, 0) > 0 THEN coalesce(v, 0) / m ELSE 0 END AS dispersions FROM g LEFT JOIN (SELECT gene_integer_id, count(DISTINCT cell_integer_id) k, avg(value) m, var_samp(value) v FROM e GROUP BY 1) USING (gene_integer_id))"
@@ -399,13 +418,13 @@ HVG = "h AS (SELECT gene_integer_id, coalesce(k, 0) AS n_cells, coalesce(m, 0) A
 @query(f", {HVG} SELECT gene_integer_id, n_cells, round(means, 6) AS means, round(variances, 6) AS variances, round(dispersions, 6) AS dispersions, means BETWEEN 0.0125 AND 3 AND dispersions >= 0.5 AS highly_variable FROM h")
 @on
 def hvg(ds):
-    return rnd(preprocess.highly_variable_genes(ds.expression, ds.genes), "means", "variances", "dispersions")
+    return rnd(preprocess.highly_variable_genes(ds.expression, ds.genes, unique=True), "means", "variances", "dispersions")
 
 
 @query(f", {HVG} SELECT gene_integer_id, row_number() OVER (ORDER BY dispersions DESC, gene_integer_id) <= 50 AS highly_variable FROM h")
 @on
 def hvg_top_n(ds):
-    return preprocess.highly_variable_genes(ds.expression, ds.genes, n_top=50).select(GENE, "highly_variable")
+    return preprocess.highly_variable_genes(ds.expression, ds.genes, n_top=50, unique=True).select(GENE, "highly_variable")
 
 
 NORM = "x AS (SELECT cell_integer_id, gene_integer_id, value / sum(value) OVER (PARTITION BY cell_integer_id) * 10000.0 AS v FROM e)"

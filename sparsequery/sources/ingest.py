@@ -71,9 +71,11 @@ def union_inputs(inputs: list[dict[str, DataFrame]], names: list[str], offset: i
     return {"cells": union(cells), "genes": genes, "expression": union(expr)}
 
 
-def write_dataset(tables: dict[str, DataFrame], folder: str, gene_copy: bool = True, partitions: int | None = None, uns: dict | None = None) -> Config:
+def write_dataset(tables: dict[str, DataFrame], folder: str, gene_copy: bool = True, partitions: int | None = None, uns: dict | None = None, values: str = "auto") -> Config:
     """Write tables and config.json. The matrix is stored clustered by cell and, with ``gene_copy``, again by gene.
 
+    ``values``: the type in which matrix values are stored; "auto" takes int where they fit, else float.
+
     config.json comes last and is swapped in whole: a failed write leaves no readable half dataset.
     """
     spark = tables["cells"].sparkSession
@@ -81,13 +83,12 @@ def write_dataset(tables: dict[str, DataFrame], folder: str, gene_copy: bool = T
         raise FileExistsError(folder)
     cells, genes = clean_metadata(tables["cells"], CELL), clean_metadata(tables["genes"], GENE)
     e = tables["expression"].select(F.col(CELL).cast("bigint").alias(CELL), F.col(GENE).cast("int").alias(GENE), F.col(VALUE))
-    kind = narrow_type(e)
-    e = e.withColumn(VALUE, F.col(VALUE).cast(kind))
+    e = e.withColumn(VALUE, F.col(VALUE).cast(narrow_type(e) if values == "auto" else values))
     if not e.filter(F.col(CELL).isNull() | F.col(GENE).isNull() | F.col(VALUE).isNull()).isEmpty():
         raise ValueError("null in the matrix")
     names = {n: layout.next_version(n, None) for n in tables}
     layout.write_clustered(e, f"{folder}/{names['expression']}", [CELL, GENE], partitions)
-    stored = spark.read.parquet(f"{folder}/{names['expression']}")
+    stored = spark.read.schema(e.schema).parquet(f"{folder}/{names['expression']}")
     if gene_copy:
         names["expression_by_gene"] = layout.next_version("expression_by_gene", None)
         layout.write_clustered(stored, f"{folder}/{names['expression_by_gene']}", [GENE, CELL], partitions)

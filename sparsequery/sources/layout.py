@@ -21,23 +21,37 @@ def exists(spark: SparkSession, p: str) -> bool:
     return fs.exists(jp)
 
 
+def stamp(spark: SparkSession, p: str) -> tuple[int, int]:
+    """(bytes, time of the last change) of a file or of all files of a folder; (0, 0) if there is none."""
+    fs, jp = _path(spark, p)
+    if not fs.exists(jp):
+        return 0, 0
+    parts = list(fs.listStatus(jp))
+    return sum(x.getLen() for x in parts), max((x.getModificationTime() for x in parts), default=0)
+
+
 def read_text(spark: SparkSession, p: str) -> str:
     fs, jp = _path(spark, p)
     if not fs.exists(jp):
         raise FileNotFoundError(p)
-    return "".join(r[0] for r in spark.read.option("wholetext", True).text(p).collect())
+    stream = fs.open(jp)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
 
 
 def write_text(spark: SparkSession, p: str, text: str) -> None:
-    """Write to a neighbour first and rename, so a reader sees the old or the new text."""
+    """Write to a neighbour first and rename it over the old file in one step, so a reader sees the old or the new text."""
+    jvm = spark.sparkContext._jvm
     fs, jp = _path(spark, p)
-    tmp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p + ".new")
+    tmp = jvm.org.apache.hadoop.fs.Path(p + ".new")
     out = fs.create(tmp, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    if fs.exists(jp):
-        fs.delete(jp, False)
-    fs.rename(tmp, jp)
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(jp.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, jp, options)
 
 
 @dataclass

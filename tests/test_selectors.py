@@ -56,3 +56,24 @@ def test_predicates_and_semi_join(spark):
     for key in (slice(3, 40, 7), slice(40, 3, -7), [5, 5, 9], [7, 8, 9], [], list(range(0, 4000, 2)), slice(0, 0)):
         s = normalize(key, 5000)
         assert sorted(r.x for r in s.apply(df, "x").collect()) == sorted(set(s.positions().tolist()))
+
+
+def test_selection_by_a_table(ds, spark):
+    from sparsequery.plans.selectors import TableSelector
+
+    ids = spark.createDataFrame([(2,), (0,), (2,), (None,), (1,)], "i bigint")
+    s = TableSelector.of(5, ids)
+    assert len(s) == 3 and s.positions().tolist() == [0, 1, 2]
+    assert s.part(normalize(slice(1, None), 3)).positions().tolist() == [1, 2]
+    assert s.part(normalize([2, 0, 2], 3)).positions().tolist() == [2, 0, 2] and s.part(normalize([2, 0, 2], 3)).repeats()
+    assert s.part(normalize(slice(0, 0), 3)).positions().tolist() == []
+    assert ds.X[ids].toarray().tolist() == [[1, 2, 0], [0, 3, 0], [0, 0, 4]]
+    assert ds.X[ids][[2, 0, 2]].sum(0).tolist() == [[1, 2, 8]] and ds.X[ids].mean(1).ravel().tolist() == [1, 1, 4 / 3]
+    v = ds.view().where_cells(cell_type="T").where_genes(gene_id="gene_2")
+    assert v.shape == (3, 1) and v.X.toarray().ravel().tolist() == [0, 4, 0]
+
+
+def test_vector_arrays(ds, spark):
+    ds.add_obs("v", spark.createDataFrame([(0, [1.0, 2.0]), (2, [3.0, 4.0])], "cell_integer_id bigint, v array<float>"))
+    a = ds.vector_array("v", key=[2, 1, 0])
+    assert a[[0, 2]].tolist() == [[3, 4], [1, 2]] and np.isnan(a[1]).all()
