@@ -38,7 +38,7 @@ class Dataset:
     def open(cls, spark: SparkSession, folder: str) -> Dataset:
         """Open a dataset folder; FileNotFoundError if it has no config.json."""
         c = layout.load_config(spark, folder)
-        return cls(spark, {n: spark.read.parquet(f"{folder}/{p}") for n, p in c.tables.items()}, tuple(c.shape), folder, c)
+        return cls(spark, {n: layout.read_table(spark, folder, c, n) for n in c.tables}, tuple(c.shape), folder, c)
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -229,7 +229,8 @@ class Dataset:
         if self.folder:
             v = layout.next_version(name, self.config.tables.get(name))
             layout.write_clustered(df, f"{self.folder}/{v}", by)
-            self.config.tables[name] = v
+            self.config.tables[name] = [v]
+            self.config.fill.pop(name, None)
             layout.save_config(self.spark, self.folder, self.config)
             df = self.spark.read.parquet(f"{self.folder}/{v}")
         self.tables[name] = df

@@ -11,7 +11,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import tokens as tk
 from ..session import workers
 from . import windows
 from .shuffle import random_order, stratified_order
@@ -19,7 +18,7 @@ from .shuffle import random_order, stratified_order
 
 @dataclass(frozen=True)
 class BatchPlan:
-    """What a loader yields. ``kind``: "geneformer" (items by rank), "scgpt" (items and value bins) or "raw"."""
+    """What a loader yields. ``kind``: "geneformer" (items by rank), "scgpt" (items and value bins), "raw", or a registered tokenizer."""
 
     kind: str = "geneformer"
     batch_size: int = 32
@@ -32,7 +31,7 @@ class BatchPlan:
     stratum: str | None = None
 
     def __post_init__(self):
-        if self.kind not in ("geneformer", "scgpt", "raw"):
+        if self.kind != "raw" and self.kind not in windows.TOKENIZERS:
             raise ValueError(f"no kind {self.kind!r}")
         if self.batch_size < 1 or self.n_epochs < 1:
             raise ValueError("batch_size and n_epochs must be at least 1")
@@ -42,14 +41,12 @@ def token_table(expression: DataFrame, plan: BatchPlan) -> DataFrame:
     """One row per group: cell_integer_id, ``input_ids`` and ``attention_mask``, ``values`` (scgpt), or items and values (raw)."""
     if plan.kind == "raw":
         return windows.group_lists(expression)
-    if plan.kind == "scgpt":
-        g = windows.binned_window(expression, plan.max_items, plan.bins)
-        ids, vals = tk.value_tokens(F.col("gene_sequence"), F.col("expr_sequence"), plan.vocab_size, plan.max_items, plan.bins)
-        t = g.select("cell_integer_id", ids.alias("input_ids"), vals.alias("values"))
-    else:
-        g = windows.item_window(expression, plan.max_items, min_percentile=plan.min_percentile, order="rank")
-        t = g.select("cell_integer_id", tk.rank_tokens(F.col("gene_sequence"), plan.vocab_size, plan.max_items).alias("input_ids"))
-    return t.withColumn("attention_mask", tk.attention_mask(F.col("input_ids")))
+    options = {"max_items": plan.max_items, "vocab_size": plan.vocab_size}
+    if plan.kind == "geneformer":
+        options |= {"length": plan.max_items, "min_percentile": plan.min_percentile, "order": "rank"}
+    elif plan.kind == "scgpt":
+        options |= {"bins": plan.bins}
+    return windows.tokenizer(plan.kind, **options)(expression)
 
 
 def batched(expression: DataFrame, plan: BatchPlan, cells: DataFrame | None = None, epoch: int = 0) -> DataFrame:

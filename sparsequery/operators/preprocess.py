@@ -38,6 +38,11 @@ def gene_qc(expression: DataFrame, genes: DataFrame, log1p: bool = True, unique:
     return q
 
 
+def prefix_flag(column: str, prefix: str) -> Column:
+    """Whether a name starts with ``prefix`` (null stays null), as for the columns of one family."""
+    return F.startswith(column, F.lit(prefix))
+
+
 def _between(count: Column, lo, hi) -> list[Column]:
     return [c for c in (None if lo is None else count >= lo, None if hi is None else count <= hi) if c is not None]
 

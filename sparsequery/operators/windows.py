@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import tokens as tk
+
 
 @dataclass(frozen=True)
 class GroupSpec:
@@ -83,3 +87,87 @@ def create_window(name: str):
     if name not in WINDOWS:
         raise ValueError(f"no window {name!r}; there are {', '.join(WINDOWS)}")
     return WINDOWS[name]
+
+
+# tokenizers over grouped tables
+
+
+class Tokenizer(Protocol):
+    """What a tokenizer is: a function from a coordinate table to one row per group with ``input_ids`` and ``attention_mask``."""
+
+    def __call__(self, expression: DataFrame) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class RankTokenizer:
+    """Items as a rank sequence: [CLS] items [SEP], padded to ``length``. ``order`` "rank" puts the highest value first."""
+
+    max_items: int = 2048
+    length: int = 2048
+    vocab_size: int = 50_000
+    min_percentile: float | None = None
+    order: str = "item"
+    spec: GroupSpec = GroupSpec()
+
+    def __call__(self, expression: DataFrame) -> DataFrame:
+        g = item_window(expression, self.max_items, self.spec, self.min_percentile, self.order)
+        t = g.select(self.spec.group, tk.rank_tokens(F.col(self.spec.items), self.vocab_size, self.length).alias("input_ids"))
+        return t.withColumn("attention_mask", tk.attention_mask(F.col("input_ids")))
+
+
+@dataclass(frozen=True)
+class ValueTokenizer:
+    """Items and, beside each, the token of its value's bin, in two sequences of ``max_items`` + 2."""
+
+    max_items: int = 2048
+    vocab_size: int = 50_000
+    bins: int = 10
+    spec: GroupSpec = GroupSpec()
+
+    def __call__(self, expression: DataFrame) -> DataFrame:
+        g = binned_window(expression, self.max_items, self.bins, self.spec)
+        ids, vals = tk.value_tokens(F.col(self.spec.items), F.col(self.spec.values), self.vocab_size, self.max_items, self.bins)
+        return g.select(self.spec.group, ids.alias("input_ids"), vals.alias("values")).withColumn("attention_mask", tk.attention_mask(F.col("input_ids")))
+
+
+TOKENIZERS: dict[str, Callable[..., Tokenizer]] = {"geneformer": RankTokenizer, "scgpt": ValueTokenizer}
+
+
+def register_tokenizer(name: str, make: Callable[..., Tokenizer]) -> None:
+    """Make ``tokenizer(name, ...)`` call ``make(...)``; a name that is taken raises ValueError."""
+    if name in TOKENIZERS:
+        raise ValueError(f"there is a tokenizer {name!r} already")
+    TOKENIZERS[name] = make
+
+
+def tokenizer(name: str, **options) -> Tokenizer:
+    """A tokenizer by name; an unknown name raises ValueError."""
+    if name not in TOKENIZERS:
+        raise ValueError(f"no tokenizer {name!r}; there are {', '.join(TOKENIZERS)}")
+    return TOKENIZERS[name](**options)
+
+
+# groups over fragments
+
+
+def islands(ids: DataFrame, key: str, by: str) -> DataFrame:
+    """(by, ``first``, ``last``, ``n``): runs of consecutive ids inside each value of ``by``."""
+    run = F.col(key) - F.row_number().over(Window.partitionBy(by).orderBy(key))
+    return ids.select(key, by).distinct().withColumn("__k", run).groupBy(by, "__k").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count(F.lit(1)).alias("n")).drop("__k")
+
+
+def distinct_pairs(df: DataFrame, spec: GroupSpec = GroupSpec()) -> DataFrame:
+    """The (group, item) pairs that occur, each once."""
+    return df.select(spec.group, spec.item).distinct()
+
+
+def split_groups(df: DataFrame, group: str, fragment: str) -> DataFrame:
+    """(group, ``n_parts``) of the groups whose rows lie in more than one fragment."""
+    return df.groupBy(group).agg(F.countDistinct(fragment).alias("n_parts")).filter("n_parts > 1")
+
+
+def completeness(rows: DataFrame, expected: DataFrame, group: str) -> DataFrame:
+    """(group, expected, ``observed``, ``complete``): rows present of those that ``expected`` (group, expected) announces."""
+    n = rows.groupBy(F.col(group).alias("__k")).agg(F.count(F.lit(1)).alias("observed"))
+    j = expected.join(n, F.col(group) == F.col("__k"), "left").select(group, "expected", F.coalesce("observed", F.lit(0)).cast("bigint").alias("observed"))
+    return j.withColumn("complete", F.col("observed") >= F.col("expected"))

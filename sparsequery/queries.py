@@ -260,8 +260,8 @@ def chained_slice(ds):
 @query(f"SELECT cell_integer_id, count(*) AS n, round(sum(value), 6) AS total FROM e JOIN c USING (cell_integer_id) WHERE batch = 'batch_2' GROUP BY 1")
 @on
 def subset_obs_mask(ds):
-    keep = ds.filter_cells(batch="batch_2").select(CELL)
-    m = ds.expression.join(keep, CELL, "left_semi")
+    """Counts and totals of the rows of a view chosen by metadata."""
+    m = ds.view().where_cells(batch="batch_2").X.df()
     return rnd(m.groupBy(CELL).agg(F.count(F.lit(1)).alias("n"), F.sum(VALUE).alias("total")), "total")
 
 
@@ -281,9 +281,7 @@ def idset_union_all(ds):
 @on
 def id_islands(ds):
     """Runs of consecutive ids inside each batch."""
-    w = Window.partitionBy("batch").orderBy(CELL)
-    c = ds.cells.filter("batch is not null").withColumn("k", F.col(CELL) - F.row_number().over(w))
-    return c.groupBy("batch", "k").agg(F.min(CELL).alias("first"), F.max(CELL).alias("last"), F.count(F.lit(1)).alias("n")).select("first", "last", "n")
+    return windows.islands(ds.cells.filter("batch is not null"), CELL, "batch").select("first", "last", "n")
 
 
 @query("SELECT cell_id, cell_type, batch, donor, total_counts, n_genes_by_counts, high_mito, source_file FROM c")
@@ -534,44 +532,48 @@ def expr_bins(ds):
     return ds.expression.select(CELL, GENE, tk.bin_token(F.col(VALUE) / 100, 10, 50_000).alias("token"))
 
 
-TOKENS = f", {RANKED}, l AS (SELECT cell_integer_id, list_resize(list_prepend(1, list_append(list(CAST(gene_integer_id + 4 AS BIGINT) ORDER BY gene_integer_id), 2)), 12, 0) AS ids FROM r WHERE d <= 10 GROUP BY 1)"
+# every cell's top 2,048 genes, at the full vocabulary and length; padding is left out of the text, its place is in "length"
+TOKENS = f", {RANKED}, l AS (SELECT cell_integer_id, list_resize(list_prepend(1, list_append(list(CAST(gene_integer_id + 4 AS BIGINT) ORDER BY gene_integer_id), 2)), 2048, 0) AS ids FROM r WHERE d <= 2048 GROUP BY 1)"
 
 
-@query(TOKENS + " SELECT cell_integer_id, array_to_string(ids, ',') AS input_ids, CAST(len(list_filter(ids, lambda x: x <> 0)) AS BIGINT) AS n_tokens FROM l")
+def trimmed(df: DataFrame, *cols: str) -> DataFrame:
+    """Array columns as comma-joined text without the zeros at their end."""
+    last = lambda c: F.size(c) - F.array_position(F.reverse(F.transform(c, lambda x: x != 0)), True) + 1
+    return joined(df.withColumns({c: F.when(F.exists(c, lambda x: x != 0), F.slice(c, 1, last(c))).otherwise(F.slice(c, 1, 0)) for c in cols}), *cols)
+
+
+@query(TOKENS + " SELECT cell_integer_id, array_to_string(list_filter(ids, lambda x: x <> 0), ',') AS input_ids, CAST(len(list_filter(ids, lambda x: x <> 0)) AS BIGINT) AS n_tokens, CAST(len(ids) AS BIGINT) AS length FROM l")
 @on
 def tokens_geneformer(ds):
-    g = windows.item_window(ds.expression, 10)
-    t = g.select(CELL, tk.rank_tokens(F.col("gene_sequence"), length=12).alias("input_ids"))
-    n = F.size(F.filter(tk.attention_mask(F.col("input_ids")), lambda x: x)).cast("bigint")
-    return joined(t.withColumn("n_tokens", n), "input_ids")
+    t = windows.tokenizer("geneformer")(ds.expression)
+    n = F.size(F.filter("attention_mask", lambda x: x)).cast("bigint")
+    return trimmed(t.select(CELL, "input_ids", n.alias("n_tokens"), F.size("input_ids").cast("bigint").alias("length")), "input_ids")
 
 
-@query(f", {BINS}, k AS (SELECT *, row_number() OVER (PARTITION BY cell_integer_id ORDER BY gene_integer_id) i FROM b WHERE d <= 8), l AS (SELECT cell_integer_id, list(CAST(gene_integer_id + 4 AS BIGINT) ORDER BY gene_integer_id) a, list(CAST(bin + 50000 AS BIGINT) ORDER BY gene_integer_id) v FROM k WHERE i <= 8 GROUP BY 1) SELECT cell_integer_id, array_to_string(list_resize(list_prepend(1, list_append(a, 2)), 10, 0), ',') AS input_ids, array_to_string(list_resize(list_prepend(0, v), 10, 0), ',') AS values FROM l")
+@query(f", {BINS}, k AS (SELECT *, row_number() OVER (PARTITION BY cell_integer_id ORDER BY gene_integer_id) i FROM b WHERE d <= 1024), l AS (SELECT cell_integer_id, list(CAST(gene_integer_id + 4 AS BIGINT) ORDER BY gene_integer_id) a, list(CAST(bin + 50000 AS BIGINT) ORDER BY gene_integer_id) v FROM k WHERE i <= 1024 GROUP BY 1) SELECT cell_integer_id, array_to_string(list_prepend(1, list_append(a, 2)), ',') AS input_ids, array_to_string(list_prepend(0, v), ',') AS values, CAST(1026 AS BIGINT) AS length FROM l")
 @on
 def tokens_scgpt(ds):
-    g = windows.binned_window(ds.expression, 8)
-    ids, vals = tk.value_tokens(F.col("gene_sequence"), F.col("expr_sequence"), max_items=8)
-    return joined(g.select(CELL, ids.alias("input_ids"), vals.alias("values")), "input_ids", "values")
+    t = windows.tokenizer("scgpt", max_items=1024)(ds.expression)
+    return trimmed(t.select(CELL, "input_ids", "values", F.size("input_ids").cast("bigint").alias("length")), "input_ids", "values")
 
 
 @query(TOKENS + ", t AS (SELECT cell_integer_id, unnest(ids) AS token, CAST(generate_subscripts(ids, 1) - 1 AS INT) AS pos FROM l) SELECT cell_integer_id, pos, token, gene_id, CASE token WHEN 1 THEN 'CLS' WHEN 2 THEN 'SEP' WHEN 3 THEN 'MASK' END AS special FROM t LEFT JOIN g ON gene_integer_id + 4 = token WHERE token <> 0")
 @on
 def decode_tokens(ds):
-    t = windows.item_window(ds.expression, 10).select(CELL, tk.rank_tokens(F.col("gene_sequence"), length=12).alias("ids"))
+    t = windows.tokenizer("geneformer")(ds.expression).select(CELL, F.col("input_ids").alias("ids"))
     return tk.decode(t, "ids", tk.vocabulary(ds.genes), [CELL])
 
 
-@query("SELECT CAST(gene_integer_id + 4 AS BIGINT) AS token, gene_integer_id, gene_id FROM g WHERE gene_integer_id < 496")
+@query("SELECT CAST(gene_integer_id + 4 AS BIGINT) AS token, gene_integer_id, gene_id FROM g")
 @on
 def vocab(ds):
-    return tk.vocabulary(ds.genes, 500)
+    return tk.vocabulary(ds.genes)
 
 
-@query(f", {RANKED}, l AS (SELECT cell_integer_id, list_resize(list_prepend(1, list_append(list(CAST(gene_integer_id + 4 AS BIGINT) ORDER BY value DESC, gene_integer_id), 2)), 16, 0) AS ids FROM r WHERE d <= 16 GROUP BY 1) SELECT cell_integer_id, array_to_string(ids, ',') AS input_ids FROM l")
+@query(f", {RANKED}, l AS (SELECT cell_integer_id, list_resize(list_prepend(1, list_append(list(CAST(gene_integer_id + 4 AS BIGINT) ORDER BY value DESC, gene_integer_id), 2)), 2048, 0) AS ids FROM r WHERE d <= 2048 GROUP BY 1) SELECT cell_integer_id, array_to_string(list_filter(ids, lambda x: x <> 0), ',') AS input_ids FROM l")
 @on
 def pipeline_geneformer(ds):
-    plan = batches.BatchPlan(max_items=16, batch_size=64)
-    return joined(batches.batched(ds.expression, plan).select(CELL, "input_ids"), "input_ids")
+    return trimmed(batches.batched(ds.expression, batches.BatchPlan()).select(CELL, "input_ids"), "input_ids")
 
 
 # layers, vectors, pairs, metadata
@@ -626,7 +628,7 @@ def obsp_slice(ds):
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1", pre=False)
 def uns_json(spark, d):
-    k = F.get_json_object("props", "$.k").cast("bigint")
+    k = ingest.json_field("props", "k", "bigint")
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("total"))
 
 
@@ -667,10 +669,12 @@ def multi_file_union(ds):
 @query(f"SELECT CASE WHEN cell_integer_id % 2 = 0 THEN cell_integer_id // 2 ELSE cell_integer_id // 2 + {EVEN} END AS cell_integer_id, cell_id, CASE WHEN cell_integer_id % 2 = 0 THEN 'original_data' ELSE 'odd' END AS source_file FROM c")
 @on
 def append_union(ds):
+    """Two inputs, the second appended to the stored first."""
     old, new = halves(ds)
-    first = old["cells"].withColumn("source_file", F.lit("original_data"))
-    more = ingest.union_inputs([new], ["odd"], offset=old["cells"].count())["cells"]
-    return first.unionByName(more).select(CELL, "cell_id", "source_file")
+    folder = scratch_path(ds.spark, "appended")
+    ingest.write_dataset(old, folder, gene_copy=False, values="double")
+    ingest.append_tables(ds.spark, new, "odd", folder)
+    return Dataset.open(ds.spark, folder).cells.select(CELL, "cell_id", "source_file")
 
 
 @query("SELECT gene_id, 'left' AS side FROM g WHERE gene_integer_id >= 950 UNION ALL SELECT gene_id, 'right' FROM g WHERE gene_integer_id < 20")
@@ -681,30 +685,27 @@ def gene_set_diff(ds):
 
 @query("SELECT DISTINCT cell_integer_id, gene_integer_id FROM expression", pre=False)
 def distinct_pairs(spark, d):
-    return table(spark, d, "expression").select(CELL, GENE).distinct()
+    return windows.distinct_pairs(table(spark, d, "expression"))
 
 
 @query("SELECT user_id, count(DISTINCT event_id // 500) AS n_parts FROM events GROUP BY 1 HAVING count(DISTINCT event_id // 500) > 1", pre=False)
 def boundary_cells(spark, d):
     """Groups whose rows lie in more than one fragment of 500 events."""
-    part = F.floor(F.col("event_id") / 500)
-    return table(spark, d, "events").groupBy("user_id").agg(F.countDistinct(part).alias("n_parts")).filter("n_parts > 1")
+    e = table(spark, d, "events").withColumn("part", F.floor(F.col("event_id") / 500))
+    return windows.split_groups(e, "user_id", "part")
 
 
 @query("SELECT c.cell_integer_id, n_genes_by_counts AS expected, coalesce(k, 0) AS observed, coalesce(k, 0) >= n_genes_by_counts AS complete FROM c LEFT JOIN (SELECT cell_integer_id, count(*) k FROM e GROUP BY 1) USING (cell_integer_id)")
 @on
 def group_completeness(ds):
-    n = ds.expression.groupBy(F.col(CELL).alias("k")).agg(F.count(F.lit(1)).alias("observed"))
-    j = ds.cells.join(n, F.col(CELL) == F.col("k"), "left").select(CELL, F.col("n_genes_by_counts").alias("expected"), F.coalesce("observed", F.lit(0)).cast("bigint").alias("observed"))
-    return j.withColumn("complete", F.col("observed") >= F.col("expected"))
+    return windows.completeness(ds.expression, ds.cells.select(CELL, F.col("n_genes_by_counts").alias("expected")), CELL)
 
 
-@query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS turn FROM events", pre=False)
+@query("SELECT row_number() OVER (ORDER BY turn, event_type) - 1 AS place, event_type, turn FROM (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS turn FROM events)", pre=False)
 def stratified_interleave(spark, d):
-    """The turn of each row in its stratum, in id order (the seeded order differs only in the key it sorts by)."""
-    r = global_rank(table(spark, d, "events").select("event_id", "event_type"), [F.col("event_type"), F.col("event_id")], "all")
-    first = r.groupBy(F.col("event_type").alias("s")).agg(F.min("all").alias("f"))
-    return r.join(first, F.col("event_type") == F.col("s")).select("event_id", "event_type", (F.col("all") - F.col("f")).alias("turn"))
+    """Place, stratum and turn of the seeded stratified order; which row of a stratum comes when is the seed's affair."""
+    r = shuffle.stratified_order(table(spark, d, "events").select("event_id", "event_type"), "event_id", "event_type", seed=7)
+    return r.select("place", "event_type", "turn")
 
 
 @query("SELECT cell_integer_id // 32 AS batch, avg(x) AS mean_distance, count(*) AS n FROM (SELECT cell_integer_id, abs(cell_integer_id - lag(cell_integer_id) OVER (PARTITION BY cell_integer_id // 32 ORDER BY cell_integer_id)) AS x FROM c) GROUP BY 1")
@@ -718,7 +719,7 @@ def batch_l1(ds):
 @query("SELECT gene_integer_id, starts_with(gene_symbol, 'TO') AS flagged FROM g")
 @on
 def prefix_flag(ds):
-    return ds.genes.select(GENE, F.startswith("gene_symbol", F.lit("TO")).alias("flagged"))
+    return ds.genes.select(GENE, preprocess.prefix_flag("gene_symbol", "TO").alias("flagged"))
 
 
 @query("SELECT cell_id, batch FROM c ORDER BY cell_integer_id LIMIT 25")

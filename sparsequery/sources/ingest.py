@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import drop_path
 from . import layout
 from .layout import CELL, GENE, VALUE, Config
 from .readers import discover, read_any
@@ -20,13 +21,20 @@ def wide_to_coo(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def clean_metadata(df: DataFrame, key: str) -> DataFrame:
-    """Column names without dots; a null key raises ValueError."""
+    """Column names without dots, columns of struct or map type as JSON text; a null key raises ValueError."""
     df = df.withColumnsRenamed({f"{c}": c.replace(".", "_") for c in df.columns if "." in c})
+    nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StructType, T.MapType))]
+    df = df.withColumns({c: F.to_json(c) for c in nested})
     if not df.filter(F.col(key).isNull()).isEmpty():
         raise ValueError(f"null in {key}")
     return df
 
 
+def json_field(column: str, path: str, kind: str = "string") -> Column:
+    """One value out of a column of JSON objects; null where it is missing or of another kind."""
+    return F.get_json_object(column, f"$.{path}").try_cast(kind)
+
+
 def narrow_type(expression: DataFrame) -> str:
     """'int' if every value is whole and within 0..65535, else 'float': how the values are stored, not computed."""
     v = F.col(VALUE).cast("double")
@@ -71,7 +79,7 @@ def union_inputs(inputs: list[dict[str, DataFrame]], names: list[str], offset: i
     return {"cells": union(cells), "genes": genes, "expression": union(expr)}
 
 
-def write_dataset(tables: dict[str, DataFrame], folder: str, gene_copy: bool = True, partitions: int | None = None, uns: dict | None = None, values: str = "auto") -> Config:
+def write_dataset(tables: dict[str, DataFrame], folder: str, gene_copy: bool = True, partitions: int | None = None, uns: dict | None = None, values: str = "auto", inputs: list[str] | None = None) -> Config:
     """Write tables and config.json. The matrix is stored clustered by cell and, with ``gene_copy``, again by gene.
 
     ``values``: the type in which matrix values are stored; "auto" takes int where they fit, else float.
@@ -98,67 +106,136 @@ def write_dataset(tables: dict[str, DataFrame], folder: str, gene_copy: bool = T
         if n in tables:
             layout.write_clustered(tables[n], f"{folder}/{names[n]}", tables[n].columns[:2], partitions)
     shape = (cells.count(), genes.count())
+    names = {n: [p] for n, p in names.items()}
     own = {"obs": {"immutable": cells.columns}, "var": {"immutable": genes.columns}, "layers": {"immutable": tables["layers"].columns[2:] if "layers" in tables else []}}
-    config = Config(shape, names, layout.stats_dict(stored, shape), own, uns or {})
+    config = Config(shape, names, layout.stats_dict(stored, shape), own, uns or {}, inputs=inputs or [])
     layout.save_config(spark, folder, config)
     return config
 
 
-def _with_start(expression: DataFrame, cells: DataFrame) -> DataFrame:
-    index = layout.start_index(expression, cells).select(F.col(CELL).alias("__i"), "cell_start_index")
+def _with_start(expression: DataFrame, cells: DataFrame, offset: int = 0) -> DataFrame:
+    index = layout.start_index(expression, cells).select(F.col(CELL).alias("__i"), (F.col("cell_start_index") + F.lit(offset)).alias("cell_start_index"))
     return cells.drop("cell_start_index").join(index, F.col(CELL) == F.col("__i")).drop("__i")
 
 
-def convert(spark: SparkSession, source: str | list[str], folder: str, fmt: str = "auto", on_error: str = "raise", **kw) -> Config:
-    """Convert one input, a list, or a folder of inputs. ``on_error`` "skip" leaves out inputs that can't be read."""
+def convert_frames(cells, genes, expression, folder: str, spark: SparkSession, **kw) -> Config:
+    """Convert what is in memory: pandas frames, or a matrix (NumPy array or anything with ``tocoo``) instead of triples.
+
+    The row and column numbers of a matrix are the ids; frames without ids are numbered in their order.
+    """
+    import numpy as np
+    import pandas as pd
+
+    if not isinstance(expression, pd.DataFrame):
+        m = expression.tocoo() if hasattr(expression, "tocoo") else None
+        row, col = (m.row, m.col) if m is not None else np.nonzero(expression)
+        expression = pd.DataFrame({CELL: row, GENE: col, VALUE: m.data if m is not None else np.asarray(expression)[row, col]})
+    frame = lambda d, key: spark.createDataFrame(d if key in d.columns else d.reset_index(drop=True).assign(**{key: range(len(d))}))
+    e = spark.createDataFrame(expression[[CELL, GENE, VALUE]].astype({CELL: "int64", GENE: "int32", VALUE: "float64"}))
+    tables = {"cells": frame(cells, CELL).withColumn(CELL, F.col(CELL).cast("bigint")), "genes": frame(genes, GENE).withColumn(GENE, F.col(GENE).cast("int")), "expression": e}
+    return write_dataset(tables, folder, **kw)
+
+
+def convert(spark: SparkSession, source: str | list[str], folder: str, fmt: str = "auto", on_error: str = "raise", skipped: list | None = None, resume: bool = False, **kw) -> Config:
+    """Convert one input, a list, or a folder of inputs.
+
+    ``on_error`` "skip" leaves out inputs that can't be read and adds (path, error) to ``skipped``, which must be given.
+    ``resume``: each input is written for itself and recorded in config.json together with its rows, so a conversion that
+    broke off goes on with the inputs that are missing. Otherwise all inputs are written at once or not at all.
+    """
+    if on_error == "skip" and skipped is None:
+        raise ValueError("give a list for what is skipped")
     paths, found = (source, fmt) if isinstance(source, list) else discover(source)
+    kind = found if fmt == "auto" and not isinstance(source, list) else fmt
+    name = lambda p: p.rstrip("/").rsplit("/", 1)[-1]
+    config = layout.load_config(spark, folder) if resume and layout.exists(spark, f"{folder}/config.json") else None
     inputs, names = [], []
     for p in paths:
+        if config and p in config.inputs:
+            continue
         try:
-            inputs.append(read_any(spark, p, found if fmt == "auto" and not isinstance(source, list) else fmt))
-            names.append(p.rstrip("/").rsplit("/", 1)[-1])
-        except Exception:
+            tables = read_any(spark, p, kind)
+        except Exception as e:
             if on_error != "skip":
                 raise
+            skipped.append((p, str(e)))
+            continue
+        if not resume:
+            inputs.append(tables)
+            names.append(name(p))
+        elif config is None:
+            config = write_dataset(union_inputs([tables], [name(p)]), folder, inputs=[p], **kw)
+        else:
+            config = append_tables(spark, tables, name(p), folder, p)
+    if resume and config:
+        return config
     if not inputs:
         raise ValueError("no input could be read")
-    return write_dataset(inputs[0] if len(inputs) == 1 else union_inputs(inputs, names), folder, **kw)
+    return write_dataset(inputs[0] if len(inputs) == 1 else union_inputs(inputs, names), folder, inputs=list(paths), **kw)
 
 
 def append(spark: SparkSession, source: str, folder: str, fmt: str = "auto") -> Config:
-    """Append one input to a dataset: same genes and cell columns; ids, prefix index and statistics run on.
+    """Append one input to a dataset: same genes and cell columns; ids, prefix index and statistics run on."""
+    return append_tables(spark, read_any(spark, source, fmt), source.rstrip("/").rsplit("/", 1)[-1], folder, source)
+
 
-    The new versions are written beside the old ones and become current when config.json is replaced.
+def append_tables(spark: SparkSession, new: dict[str, DataFrame], name: str, folder: str, source: str | None = None) -> Config:
+    """Append tables to a dataset as parts of their own; nothing that is stored is read again but genes and column names.
+
+    The parts become current when config.json is replaced. Earlier cells without a ``source_file`` get 'original_data'.
     """
     config = layout.load_config(spark, folder)
-    old = {n: spark.read.parquet(f"{folder}/{p}") for n, p in config.tables.items()}
-    new = read_any(spark, source, fmt)
-    cells = old["cells"].drop("cell_start_index")
-    if "source_file" not in cells.columns:
-        cells = cells.withColumn("source_file", F.lit("original_data"))
-    plain = {**old, "cells": cells.drop("source_file")}
-    validate([{**plain, "expression": old["expression"].withColumn(VALUE, F.col(VALUE).cast("double"))}, {**new, "cells": new["cells"].drop("source_file"), "expression": new["expression"].withColumn(VALUE, F.col(VALUE).cast("double"))}])
-    more = union_inputs([{"cells": new["cells"].drop("source_file"), "genes": _reordered(old["genes"], new["genes"]), "expression": _regened(old["genes"], new)}], [source.rstrip("/").rsplit("/", 1)[-1]], config.shape[0])
-    allc = cells.unionByName(more["cells"])
-    alle = old["expression"].withColumn(VALUE, F.col(VALUE).cast("double")).unionByName(more["expression"])
-    names = dict(config.tables)
-    for n in ("expression", "cells", "expression_by_gene"):
-        if n in names:
-            names[n] = layout.next_version(n, names[n])
-    kind = narrow_type(alle)
-    layout.write_clustered(alle.withColumn(VALUE, F.col(VALUE).cast(kind)), f"{folder}/{names['expression']}", [CELL, GENE])
-    stored = spark.read.parquet(f"{folder}/{names['expression']}")
-    if "expression_by_gene" in names:
-        layout.write_clustered(stored, f"{folder}/{names['expression_by_gene']}", [GENE, CELL])
-    layout.write_clustered(_with_start(stored, allc), f"{folder}/{names['cells']}", [CELL])
-    shape = (spark.read.parquet(f"{folder}/{names['cells']}").count(), config.shape[1])
-    config = Config(shape, names, layout.stats_dict(stored, shape), config.columns, config.uns, config.version)
+    old = {n: layout.read_table(spark, folder, config, n) for n in ("cells", "genes", "expression")}
+    plain = lambda t: t.drop("source_file", "cell_start_index")
+    kind = lambda e: e.withColumn(VALUE, F.col(VALUE).cast("double"))  # noqa: E731  how values are stored is no matter
+    validate([{**old, "cells": plain(old["cells"]), "expression": kind(old["expression"])}, {**new, "cells": plain(new["cells"]), "expression": kind(new["expression"])}])
+    # onto the stored genes' numbers, ids behind the stored ones
+    by_name = {"cells": plain(new["cells"]), "genes": old["genes"], "expression": _regened(old["genes"], new)}
+    more = union_inputs([by_name], [name], config.shape[0])
+    stored_as = dict(old["expression"].dtypes)[VALUE]
+    part = lambda n: layout.next_version(n, config.tables[n])
+    parts = {n: part(n) for n in ("expression", "cells", "expression_by_gene") if n in config.tables}
+    e = more["expression"]
+    fits = "double" if stored_as == "double" else narrow_type(e)
+    layout.write_clustered(e.withColumn(VALUE, F.col(VALUE).cast("float" if stored_as == "float" and fits == "int" else fits)), f"{folder}/{parts['expression']}", [CELL, GENE])
+    stored = spark.read.parquet(f"{folder}/{parts['expression']}")
+    if "expression_by_gene" in parts:
+        layout.write_clustered(stored, f"{folder}/{parts['expression_by_gene']}", [GENE, CELL])
+    cells = _with_start(stored, more["cells"], config.stats["expression_count"])
+    layout.write_clustered(cells, f"{folder}/{parts['cells']}", [CELL])
+    added = spark.read.parquet(f"{folder}/{parts['cells']}").count()
+    shape = (config.shape[0] + added, config.shape[1])
+    stats = layout.merge_stats(config.stats, layout.stats_dict(stored, (added, config.shape[1])), shape)
+    fill = config.fill if "source_file" in old["cells"].columns else {**config.fill, "cells": {"source_file": "original_data"}}
+    tables = {n: [*p, parts[n]] if n in parts else p for n, p in config.tables.items()}
+    config = Config(shape, tables, stats, config.columns, config.uns, config.version, fill, [*config.inputs, source or name])
     layout.save_config(spark, folder, config)
     return config
 
 
-def _reordered(old: DataFrame, new: DataFrame) -> DataFrame:
-    return old.join(new.select("gene_id"), "gene_id", "left_semi")
+def compact(spark: SparkSession, folder: str, partitions: int | None = None, keep_old: bool = False) -> Config:
+    """Rewrite every table that appends have left in several parts as one clustered part; then delete the parts.
+
+    ``keep_old`` leaves them for readers that opened the dataset before.
+    """
+    config = layout.load_config(spark, folder)
+    by = {"expression": [CELL, GENE], "expression_by_gene": [GENE, CELL], "cells": [CELL], "genes": [GENE]}
+    old: list[str] = []
+    tables, fill = dict(config.tables), dict(config.fill)
+    for n, parts in config.tables.items():
+        if len(parts) < 2:
+            continue
+        t = layout.read_table(spark, folder, config, n)
+        tables[n] = [layout.next_version(n, parts)]
+        layout.write_clustered(t, f"{folder}/{tables[n][0]}", by.get(n, t.columns[:2]), partitions)
+        fill.pop(n, None)
+        old += parts
+    config = Config(config.shape, tables, config.stats, config.columns, config.uns, config.version, fill, config.inputs)
+    layout.save_config(spark, folder, config)
+    if not keep_old:
+        for p in old:
+            drop_path(spark, f"{folder}/{p}")
+    return config
 
 
 def _regened(old: DataFrame, new: dict[str, DataFrame]) -> DataFrame:

@@ -56,22 +56,51 @@ def write_text(spark: SparkSession, p: str, text: str) -> None:
 
 @dataclass
 class Config:
-    """What a dataset folder holds. ``tables``: name -> folder of its current version."""
+    """What a dataset folder holds. ``tables``: name -> folders of its current version, one per append.
+
+    ``fill``: table -> column -> what stands for it in parts written before there was such a column.
+    ``inputs``: the sources converted so far, in order.
+    """
 
     shape: tuple[int, int] = (0, 0)
-    tables: dict[str, str] = field(default_factory=dict)
+    tables: dict[str, list[str]] = field(default_factory=dict)
     stats: dict = field(default_factory=dict)
     columns: dict[str, dict] = field(default_factory=dict)  # family -> {"immutable": [...], "mutable": [...]}
     uns: dict = field(default_factory=dict)
-    version: int = 1
+    version: int = 2
+    fill: dict[str, dict] = field(default_factory=dict)
+    inputs: list[str] = field(default_factory=list)
 
     def dump(self) -> str:
-        return json.dumps({"format_version": self.version, "array_shape": list(self.shape), "tables": self.tables, "metadata": self.stats, "columns": self.columns, "uns": self.uns}, indent=1)
+        own = {"format_version": self.version, "array_shape": list(self.shape), "tables": self.tables, "metadata": self.stats, "columns": self.columns, "uns": self.uns, "fill": self.fill, "inputs": self.inputs}
+        return json.dumps(own, indent=1)
 
     @classmethod
     def load(cls, text: str) -> Config:
         d = json.loads(text)
-        return cls(tuple(d["array_shape"]), d["tables"], d.get("metadata", {}), d.get("columns", {}), d.get("uns", {}), d.get("format_version", 1))
+        tables = {n: [p] if isinstance(p, str) else p for n, p in d["tables"].items()}
+        return cls(tuple(d["array_shape"]), tables, d.get("metadata", {}), d.get("columns", {}), d.get("uns", {}), 2, d.get("fill", {}), d.get("inputs", []))
+
+
+def read_table(spark: SparkSession, folder: str, config: Config, name: str) -> DataFrame:
+    """All parts of a table; parts whose columns or types differ are widened to one another."""
+    parts = [spark.read.parquet(f"{folder}/{p}") for p in config.tables[name]]
+    kinds = [dict(p.dtypes) for p in parts]
+    if all(k == kinds[0] for k in kinds):
+        out = parts[0] if len(parts) == 1 else spark.read.schema(parts[0].schema).parquet(*(f"{folder}/{p}" for p in config.tables[name]))
+    else:
+        rank = ["int", "bigint", "float", "double"]  # int and float are exact in double only
+        wide = {}
+        for k in kinds:
+            for c, t in k.items():
+                if c in wide and wide[c] != t:
+                    t = "double" if {t, wide[c]} & {"float", "double"} and {t, wide[c]} <= set(rank) else "bigint" if {t, wide[c]} <= set(rank) else "string"
+                wide[c] = t
+        parts = [p.withColumns({c: F.col(c).cast(t) for c, t in wide.items() if c in p.columns and dict(p.dtypes)[c] != t}) for p in parts]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p, allowMissingColumns=True)
+    return out.na.fill(config.fill[name]) if name in config.fill else out
 
 
 def load_config(spark: SparkSession, folder: str) -> Config:
@@ -82,9 +111,10 @@ def save_config(spark: SparkSession, folder: str, config: Config) -> None:
     write_text(spark, f"{folder}/config.json", config.dump())
 
 
-def next_version(name: str, current: str | None) -> str:
-    n = int(current.rsplit("-v", 1)[1]) + 1 if current and "-v" in current else 1
-    return f"{name}-v{n}"
+def next_version(name: str, parts: list[str] | None) -> str:
+    """A folder name that no version of the table has had."""
+    used = [int(p.rsplit("-v", 1)[1]) for p in parts or () if "-v" in p]
+    return f"{name}-v{max(used, default=0) + 1}"
 
 
 def write_clustered(df: DataFrame, path: str, by: list[str], partitions: int | None = None) -> None:
@@ -106,6 +136,21 @@ def stats_dict(expression: DataFrame, shape: tuple[int, int]) -> dict:
     return {"expression_count": r["count"], "total_possible_elements": cells, "density": density, "sparsity": 1 - density, "expression_stats": {k: r[k] for k in ("min", "max", "mean", "std")}}
 
 
+def merge_stats(old: dict, new: dict, shape: tuple[int, int]) -> dict:
+    """Statistics of two parts together, from those of each alone."""
+    a, b = old["expression_stats"], new["expression_stats"]
+    n, m = old["expression_count"], new["expression_count"]
+    total, cells = n + m, shape[0] * shape[1]
+    if not n or not m:
+        both = b if not n else a
+    else:
+        gap, mean = b["mean"] - a["mean"], (a["mean"] * n + b["mean"] * m) / total
+        squares = (a["std"] or 0.0) ** 2 * (n - 1) + (b["std"] or 0.0) ** 2 * (m - 1) + gap * gap * n * m / total
+        both = {"min": min(a["min"], b["min"]), "max": max(a["max"], b["max"]), "mean": mean, "std": (squares / (total - 1)) ** 0.5}
+    density = total / cells if cells else 0.0
+    return {"expression_count": total, "total_possible_elements": cells, "density": density, "sparsity": 1 - density, "expression_stats": both}
+
+
 def start_index(expression: DataFrame, cells: DataFrame) -> DataFrame:
     """(cell_integer_id, n_rows, cell_start_index): rows per id, none included, and the rows of all lower ids.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..session import workers
+from ..session import scratch_path, stage, workers
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, glob: str = "*.parquet", files_per_batch: int = 1) -> DataFrame:
@@ -20,14 +19,20 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, glob: str =
 
 
 def run_to_table(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is available and return its result from memory (for results of bounded size)."""
-    name = f"stream_{uuid.uuid4().hex[:12]}"
-    w = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
-    return stream.sparkSession.table(name)
+    """Run a stream over what is available into a table of the shared folder and read that; of "complete" results the last."""
+    spark = stream.sparkSession
+    path, mark = scratch_path(spark, "stream"), checkpoint or scratch_path(spark, "streammark")
+    if mode == "append":
+        run_to_parquet(stream, path, mark)
+        return spark.read.schema(stream.schema).parquet(path)
+    last: list[int] = []
+
+    def keep(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{i}")
+        last[:] = [i]
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/{last[0]}") if last else spark.createDataFrame([], stream.schema)
 
 
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -70,6 +75,35 @@ def complete_groups(stream: DataFrame, expected: DataFrame, group: str, item: st
     return joined.groupBy(group).applyInPandasWithState(collect, f"`{group}` {kind}, items array<bigint>, values array<double>", "items array<bigint>, values array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def groups_by_position(stream: DataFrame, group: str, item: str, value: str, path: str, checkpoint: str) -> DataFrame:
+    """(group, items, values): groups of a stream whose files come in group order, without knowing their sizes.
+
+    A micro-batch's last group may go on in the next one, so it is withheld there and released when a higher group comes,
+    or at the end. Withheld rows are a table below ``checkpoint``, one version per micro-batch, so a batch that is run
+    again finds what it found before and writes the same files. Lists are ordered by item, then value.
+    """
+    spark = stream.sparkSession
+    rows = stream.select(group, F.col(item).cast("bigint").alias("item"), F.col(value).cast("double").alias("value"))
+    entry = F.array_sort(F.collect_list(F.struct("item", "value")))
+    pack = lambda d: d.groupBy(group).agg(entry.alias("x")).select(group, F.col("x.item").alias("items"), F.col("x.value").alias("values"))
+    kept = lambda i: f"{checkpoint}/held/{i}"
+    last: list[int] = []
+
+    def step(batch: DataFrame, i: int) -> None:
+        batch = batch if i == 0 else batch.unionByName(spark.read.schema(rows.schema).parquet(kept(i - 1)))
+        batch = stage(batch, "batch")  # read three times
+        top = batch.agg(F.max(group)).first()[0]
+        pack(batch.filter(F.col(group) < F.lit(top))).write.mode("overwrite").parquet(f"{path}/batch={i}")
+        batch.filter((F.col(group) == F.lit(top)) | F.col(group).isNull()).write.mode("overwrite").parquet(kept(i))
+        last[:] = [i]
+
+    run_foreach(rows, step, f"{checkpoint}/stream")
+    if last:
+        pack(spark.read.schema(rows.schema).parquet(kept(last[0]))).write.mode("overwrite").parquet(f"{path}/batch={last[0] + 1}")
+        return spark.read.parquet(path).drop("batch")
+    return pack(spark.createDataFrame([], rows.schema))
+
+
 def windowed_counts(stream: DataFrame, ts: str, late: str = "1 hour", width: str = "1 hour", slide: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Counts per event-time window with a watermark; an extension for event streams."""
     w = F.window(ts, width, slide) if slide else F.window(ts, width)

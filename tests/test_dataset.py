@@ -128,3 +128,65 @@ def test_synthetic(spark):
     t = readers.synthetic(spark, 50, 20, 0.2)
     assert t["cells"].count() == 50 and t["expression"].filter("value < 1").count() == 0 and t["expression"].dropDuplicates(["cell_integer_id", "gene_integer_id"]).count() == t["expression"].count()
     assert readers.parse_hub_path("hf://datasets/u/r/x/y") == ("u/r", "x/y")
+
+
+def test_append_leaves_what_is_stored(spark, small, tmp_path):
+    import os
+
+    folder = str(tmp_path / "data")
+    plain = {**small, "cells": small["cells"].select("cell_integer_id", "cell_id")}
+    ingest.write_dataset(plain, folder)
+    before = {p: os.stat(p).st_mtime_ns for p in map(str, (tmp_path / "data").rglob("*.parquet"))}
+    # half values don't fit the stored integers; genes in another order
+    half = plain["expression"].withColumn("value", plain["expression"]["value"] / 2).withColumn("gene_integer_id", 2 - plain["expression"]["gene_integer_id"])
+    turned = plain["genes"].withColumn("gene_integer_id", 2 - plain["genes"]["gene_integer_id"])
+    c = ingest.append_tables(spark, {**plain, "genes": turned, "expression": half}, "more", folder)
+    assert {p: os.stat(p).st_mtime_ns for p in before} == before and c.shape == (10, 3) and len(c.tables["expression"]) == 2
+    d = Dataset.open(spark, folder)
+    want = [(0, 0, 1.0), (0, 1, 2.0), (1, 1, 3.0), (2, 2, 4.0)]
+    assert rows(d.expression) == sorted(want + [(a + 5, b, v / 2) for a, b, v in want], key=str)
+    assert [r.cell_start_index for r in d.cells.orderBy("cell_integer_id").collect()] == [0, 2, 3, 4, 4, 4, 6, 7, 8, 8]
+    assert [r.source_file for r in d.cells.orderBy("cell_integer_id").collect()] == ["original_data"] * 5 + ["more"] * 5
+    got, own = c.stats["expression_stats"], [v for *_, v in want] + [v / 2 for *_, v in want]
+    assert (got["min"], got["max"]) == (0.5, 4) and got["mean"] == pytest.approx(np.mean(own)) and got["std"] == pytest.approx(np.std(own, ddof=1))
+    c = ingest.compact(spark, folder)
+    d = Dataset.open(spark, folder)
+    assert all(len(p) == 1 for p in c.tables.values()) and d.expression.count() == 8 and d.gene_expression("gene_1").count() == 4
+    assert not any(os.path.exists(p) for p in before if "genes" not in p)
+    assert ingest.append_tables(spark, plain, "third", folder).shape == (15, 3)
+
+
+def test_resume_and_skipped_inputs(spark, small, tmp_path, monkeypatch):
+    plain = {**small, "cells": small["cells"].select("cell_integer_id", "cell_id")}
+    for n in "abc":
+        readers.write_mtx(plain, str(tmp_path / "in" / n))
+    paths, seen, real = [str(tmp_path / "in" / n) for n in "abc"], [], ingest.read_any
+
+    def breaking(s, p, fmt):
+        seen.append(p)
+        if p.endswith("b") and len(seen) == 2:
+            raise OSError("gone")
+        return real(s, p, fmt)
+
+    monkeypatch.setattr(ingest, "read_any", breaking)
+    with pytest.raises(OSError):
+        ingest.convert(spark, paths, str(tmp_path / "out"), resume=True)
+    assert layout.load_config(spark, str(tmp_path / "out")).inputs == paths[:1]
+    c = ingest.convert(spark, paths, str(tmp_path / "out"), resume=True)
+    assert c.shape == (15, 3) and c.inputs == paths and seen == [paths[0], paths[1], paths[1], paths[2]]
+    skipped = []
+    c = ingest.convert(spark, [paths[0], str(tmp_path / "none")], str(tmp_path / "some"), on_error="skip", skipped=skipped)
+    assert c.shape == (5, 3) and [p for p, _ in skipped] == [str(tmp_path / "none")]
+    with pytest.raises(ValueError):
+        ingest.convert(spark, paths, str(tmp_path / "x"), on_error="skip")
+
+
+def test_frames_in_memory(spark, tmp_path):
+    import pandas as pd
+
+    m = np.array([[0, 2.5], [0, 0], [1, 0]])
+    c = ingest.convert_frames(pd.DataFrame({"cell_id": list("abc")}), pd.DataFrame({"gene_id": ["x", "y"]}), m, str(tmp_path / "d"), spark)
+    d = Dataset.open(spark, str(tmp_path / "d"))
+    assert c.shape == (3, 2) and d.X.toarray().tolist() == m.tolist()
+    nested = spark.createDataFrame([(0, (1, "a"))], "cell_integer_id bigint, `a.b` struct<x:int,y:string>")
+    assert ingest.clean_metadata(nested, "cell_integer_id").collect()[0].a_b == '{"x":1,"y":"a"}'

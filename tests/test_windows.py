@@ -9,7 +9,8 @@ from sparsequery.operators import batches, shuffle, windows
 from sparsequery.operators.rank import global_rank
 from sparsequery.operators.windows import GroupSpec
 
-DATA = list(zip([0, 0, 0, 1, 1, 1, 2, 2, 2], [10, 20, 30, 15, 25, 35, 12, 22, 32], [5, 3, 1, 4, 2, 0.5, 6, 4, 2.0]))
+# rows of three groups with falling values, no ties
+DATA = [(group, 7 * place + group, value) for group, values in enumerate(([8, 2], [9, 6, 3, 1], [1.5])) for place, value in enumerate(values)]
 
 
 @pytest.fixture(scope="module")
@@ -22,14 +23,48 @@ def lists(df, *cols):
 
 
 def test_windows(e):
-    assert lists(windows.item_window(e, 2), "gene_sequence") == [([10, 20],), ([15, 25],), ([12, 22],)]
-    assert lists(windows.binned_window(e, 3, 10), "expr_sequence") == [([9, 7, 3],), ([9, 6, 2],), ([9, 8, 5],)]
-    assert lists(windows.item_window(e, 3, min_percentile=60), "gene_sequence") == [([10, 20],), ([15, 25],), ([12, 22],)]
-    assert lists(windows.generic_window(e, 1), "gene_sequence", "expr_sequence") == [([10], [5]), ([15], [4]), ([12], [6])]
+    assert lists(windows.item_window(e, 2), "gene_sequence") == [([0, 7],), ([1, 8],), ([2],)]
+    own = [[v for g, _, v in DATA if g == k] for k in range(3)]
+    bins = [[min(9, int(np.log1p(v) / np.log1p(max(vs)) * 10 + 1e-9)) for v in vs] for vs in own]
+    assert lists(windows.binned_window(e, 4, 10), "expr_sequence") == [(b,) for b in bins]
+    # of four ranks those from 60 % of 4 on: 3 and 4
+    assert lists(windows.item_window(e, 4, min_percentile=60), "gene_sequence") == [([0],), ([1, 8],), ([2],)]
+    assert lists(windows.generic_window(e, 1), "gene_sequence", "expr_sequence") == [([0], [8]), ([1], [9]), ([2], [1.5])]
     with pytest.raises(ValueError):
         windows.create_window("nope")
 
 
+def test_tokenizers_by_name(e):
+    t = windows.tokenizer("geneformer", max_items=3, length=6, vocab_size=100, order="rank")(e)
+    assert lists(t, "input_ids", "attention_mask")[1] == ([1, 5, 12, 19, 2, 0], [True] * 5 + [False])
+    with pytest.raises(ValueError):
+        windows.tokenizer("nope")
+    with pytest.raises(ValueError):
+        windows.register_tokenizer("scgpt", windows.ValueTokenizer)
+
+    class Counting:
+        def __init__(self, length=2):
+            self.length = length
+
+        def __call__(self, expression):
+            n = expression.groupBy("cell_integer_id").agg(F.count("value").alias("n"))
+            ids = F.array_repeat(F.col("n"), self.length)
+            return n.select("cell_integer_id", ids.alias("input_ids"), tk.attention_mask(ids).alias("attention_mask"))
+
+    windows.register_tokenizer("counting", lambda **o: Counting())
+    out = list(batches.BatchLoader(e, batches.BatchPlan("counting", batch_size=3)))
+    assert len(out) == 1 and sorted(out[0]["input_ids"][:, 0].tolist()) == [1, 2, 4]
+    del windows.TOKENIZERS["counting"]
+
+
+def test_groups_over_fragments(spark):
+    d = spark.createDataFrame([(1, "a", 0), (2, "a", 0), (2, "a", 1), (4, "a", 1), (5, "b", 1), (6, None, 2)], "id bigint, b string, f int")
+    assert sorted(map(tuple, windows.islands(d, "id", "b").filter("b = 'a'").collect())) == [("a", 1, 2, 2), ("a", 4, 4, 1)]
+    assert [tuple(r) for r in windows.split_groups(d, "id", "f").collect()] == [(2, 2)]
+    need = spark.createDataFrame([(1, 1), (2, 3), (9, 1)], "id bigint, expected int")
+    assert sorted(map(tuple, windows.completeness(d, need, "id").collect())) == [(1, 1, 1, True), (2, 3, 2, False), (9, 1, 0, False)]
+
+
 def test_ties_are_kept_unless_strict(spark):
     spec = GroupSpec("g", "i", "v", "items", "vals")
     d = spark.createDataFrame([(0, i, v) for i, v in zip(range(1, 5), [7.0, 7.0, 5.0, 3.0])], "g int, i int, v double")
@@ -79,8 +114,14 @@ def test_orders(spark, e):
 def test_loader_delivers_every_group_once_per_epoch(e):
     for kind in ("geneformer", "scgpt", "raw"):
         out = list(batches.BatchLoader(e, batches.BatchPlan(kind, batch_size=2, max_items=4, n_epochs=2)))
-        assert [len(b["cell_ids"]) for b in out] == [2, 1, 2, 1]
+        assert [len(b["cell_ids"]) for b in out] == [2, 1, 2, 1] and [b["epoch"] for b in out] == [0, 0, 1, 1]
+        if kind != "raw":
+            own = {r.cell_integer_id: list(r.input_ids) for r in batches.token_table(e, batches.BatchPlan(kind, max_items=4)).collect()}
+            assert {int(c): x.tolist() for b in out[2:] for c, x in zip(b["cell_ids"], b["input_ids"])} == own and out[0]["attention_mask"].dtype == bool
         assert sorted(np.concatenate([b["cell_ids"] for b in out[:2]])) == [0, 1, 2]
     assert out[0]["x"][0][0]
+    loader = batches.BatchLoader(e, batches.BatchPlan(batch_size=2, max_items=4))
+    n = sum(int(b["attention_mask"].sum()) for b in loader)
+    assert (loader.metrics["batches"], loader.metrics["rows"], loader.metrics["tokens"]) == (2, 3, n) and list(batches.BatchLoader(e.limit(0))) == []
     with pytest.raises(ValueError):
         batches.BatchPlan("nope")
