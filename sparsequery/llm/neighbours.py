@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import stage, workers
 from . import forest as rp
+from .topn import open_uri
 
 
 def nearest_vectors(
@@ -76,3 +78,59 @@ def similar_pairs(near: DataFrame, least: float) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs in which one is among the other's neighbours with a cosine of at least ``least``."""
     p = near.filter(F.col("cosine") >= least)
     return p.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def exact_neighbours(rows: DataFrame, id_col: str, vec_col: str, asked, dim: int = 64, k: int = 10, block: int = 4096) -> DataFrame:
+    """(``id``, ``neighbour``, ``cosine``, ``rank``) by brute force for the rows that meet ``asked``, against all rows.
+
+    The measure of what the forest finds. The asked vectors are staged in files of about ``block`` rows; every task compares its part
+    of the rows with one file after another, so neither is sent to the driver or to every executor at once. Nulls,
+    unusable vectors, ties and repeated ids as in :func:`nearest_vectors`.
+    """
+    spark = rows.sparkSession
+    workers(spark)
+    vectors = rp.usable_vectors(rows, id_col, vec_col, dim)
+    some = rp.usable_vectors(rows.filter(asked), id_col, vec_col, dim).dropDuplicates(["id"])
+    staged = stage(some.repartition(max(1, math.ceil(some.count() / block)), "id"), "asked")
+    files = staged.inputFiles()
+    wide = k + 16
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        t = pa.Table.from_batches(list(batches), schema=pa.schema([("id", pa.int64()), ("vec", pa.binary())])).combine_chunks()
+        if not t.num_rows:
+            return
+        ids, x64 = t.column("id").to_numpy(), rp.unit(rp.as_matrix(t.column("vec"), dim))
+        y = np.ascontiguousarray(x64.astype(np.float32).T)
+        for uri in files:
+            system, path = open_uri(uri)
+            with system.open_input_file(path) as f:
+                q = pq.read_table(f, columns=["id", "vec"])
+            qid, q64 = q.column("id").to_numpy(), rp.unit(rp.as_matrix(q.column("vec").combine_chunks(), dim)) if q.num_rows else np.zeros((0, dim))
+            step, w = rp.block_rows(len(ids)), min(wide, len(ids))
+            for at in range(0, len(qid), step):
+                s = q64[at : at + step].astype(np.float32) @ y
+                c = np.argpartition(s, len(ids) - w, axis=1)[:, len(ids) - w :].ravel()
+                r = np.repeat(np.arange(at, at + len(s)), w)
+                keep = qid[r] != ids[c]
+                r, c = r[keep], c[keep]
+                yield pa.RecordBatch.from_pydict({"id": qid[r], "neighbour": ids[c], "cosine": np.einsum("ij,ij->i", q64[r], x64[c])})
+
+    pairs = vectors.mapInArrow(run, "id bigint, neighbour bigint, cosine double").groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
+    w = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: ``n_pairs`` of ``exact`` (id, neighbour, cosine), the share of them that ``found`` has, and the same above cosine 0.86.
+
+    An exact neighbour counts as found too if ``found`` has as good a one in its place (equal cosine up to 1e-9).
+    """
+    last = found.groupBy(F.col("id").alias("i")).agg(F.min("cosine").alias("least"), F.count(F.lit(1)).alias("m"))
+    have = found.select(F.col("id").alias("a"), F.col("neighbour").alias("b"))
+    j = exact.join(have, (exact["id"] == have["a"]) & (exact["neighbour"] == have["b"]), "left").join(last, exact["id"] == last["i"], "left")
+    hit = F.col("b").isNotNull() | F.coalesce(F.abs(F.col("cosine") - F.col("least")) < 1e-9, F.lit(False))
+    near = F.col("cosine") >= 0.86
+    return j.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(hit.cast("double")).alias("recall"), F.avg(F.when(near, hit.cast("double"))).alias("recall_near"))

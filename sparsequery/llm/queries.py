@@ -265,6 +265,21 @@ def p1_neighbours(spark, d):
     return neighbours.nearest_vectors(table(spark, d, "cells"), "cell_integer_id", "key", k=10)
 
 
+@query(SIMILAR.replace("WHERE a.id = b.id OR list_cosine_similarity(a.k, b.k) >= {0}", "WHERE a.id % 50 = 0 AND a.id <> b.id") + """ SELECT ia id, ib neighbour FROM (SELECT ia, ib, row_number() OVER (PARTITION BY ia ORDER BY c DESC, ib) r FROM s) WHERE r <= 10""")
+def p1_exact(spark, d):
+    """The ten most similar of all cells for every cell whose id is divisible by 50, by brute force."""
+    return neighbours.exact_neighbours(table(spark, d, "cells"), "cell_integer_id", "key", F.col("cell_integer_id") % 50 == 0).select("id", "neighbour")
+
+
+@query("SELECT true AS enough")
+def p1_recall(spark, d):
+    """Whether p1_neighbours finds at least 0.9 of the exact neighbours of the cells whose id is divisible by 50."""
+    cells = table(spark, d, "cells")
+    exact = neighbours.exact_neighbours(cells, "cell_integer_id", "key", F.col("cell_integer_id") % 50 == 0)
+    found = p1_neighbours(spark, d).filter(F.col("id") % 50 == 0)
+    return neighbours.recall(found, exact).select((F.col("recall") >= 0.9).alias("enough"))
+
+
 def cell_type():
     """The type in one spelling."""
     return F.regexp_replace(F.lower(F.trim("cell_type")), "[ _]+", "-")

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparsequery.llm import clusters, forest, neighbours
 
@@ -56,6 +57,20 @@ def test_recall_of_a_forest(spark):
     assert hits / 40_000 >= 0.9
 
 
+def test_exact_neighbours_and_recall(data):
+    x, df = data
+    exact = neighbours.exact_neighbours(df, "id", "v", F.col("id") % 7 == 0, DIM, k=4, block=5)
+    s = cosines(x)
+    got = exact.toPandas().sort_values(["id", "rank"]).groupby("id").neighbour.agg(list)
+    assert set(got.index) == {i for i in range(len(x)) if i % 7 == 0}
+    for i, near in got.items():
+        best = np.sort(np.delete(s[i], i))[::-1][:4]
+        assert len(set(near)) == 4 and np.allclose(np.sort(s[i, near])[::-1], best, atol=1e-6)
+    r = neighbours.recall(neighbours.nearest_vectors(df, "id", "v", DIM, k=4), exact).first()
+    assert r.n_pairs == 4 * len(got) and r.recall > 0.98
+    assert neighbours.exact_neighbours(df.limit(0), "id", "v", F.col("id") % 7 == 0, DIM).count() == 0
+
+
 def test_visits_grow_with_the_leaves(spark):
     r = np.random.default_rng(4)
     c = r.normal(size=(30, 16))
