@@ -3,7 +3,7 @@
 The rows are written as files clustered by group (range partitions of group and score, so that a group of any size is
 spread over files) and sorted by descending score inside a file, in small row groups. A reader task takes one file's row
 groups in descending order of their maximum score and skips those whose maximum is strictly below the current N-th score
-of every group they contain. Which groups these are the statistics tell (one group, or a range of integers that all have
+of every group they contain (or equal to it: equal scores are sorted by item, so later ones come too late). Which groups these are the statistics tell (one group, or a range of integers that all have
 their N-th score); where they leave it open, the group column alone is read first. What the files keep, at most N rows
 per group and file, is merged with a group-limited window.
 
@@ -51,7 +51,7 @@ def open_uri(uri: str):
 
 
 def read_top(uri: str, n: int, stats: dict | None = None) -> Iterator:
-    """Batches (g, s, i) of one clustered file (sorted by s descending, g, i) with every group's first ``n`` rows of it.
+    """Batches (g, s, i) of one clustered file (sorted by s descending, then g and i) with every group's first ``n`` rows of it.
 
     ``stats`` counts row groups: ``read``, ``skipped`` by statistics, ``passed`` over after a look at their group column.
     """
@@ -83,11 +83,11 @@ def read_top(uri: str, n: int, stats: dict | None = None) -> Iterator:
 
         for i in sorted(top, key=lambda i: (-np.inf if top[i] is None else -top[i], i)):
             lo, hi = bounds(i, g)
-            full = lambda k, m=top[i]: m is not None and m < nth.get(k, -np.inf)
+            full = lambda k, m=top[i]: m is not None and m <= nth.get(k, -np.inf)
             if lo is not None and lo == hi and full(lo):
                 count("skipped")
                 continue
-            if whole and lo is not None and hi - lo < len(nth):  # rows come in descending order, so only scores equal to N-th ones are in the way
+            if whole and lo is not None and hi - lo < len(nth):
                 if len(done) != len(nth):
                     done = np.sort(np.fromiter(nth, np.int64, len(nth)))
                 inside = done[np.searchsorted(done, lo) : np.searchsorted(done, hi, "right")]
@@ -120,7 +120,7 @@ def read_top(uri: str, n: int, stats: dict | None = None) -> Iterator:
             yield from t.filter(pa.array(place < n)).to_batches()
 
 
-def top_n(rows: DataFrame, group: str, item: str, score: str, n: int, row_group_rows: int = 16_384, files: int | None = None, stats: dict | None = None) -> DataFrame:
+def top_n(rows: DataFrame, group: str, item: str, score: str, n: int, row_group_rows: int = 8192, files: int | None = None, stats: dict | None = None) -> DataFrame:
     """(group, item, score, ``rank``): per group the first ``n`` rows by score descending, then item ascending.
 
     Rows with a null group or item and rows whose score is null or NaN are left out; repeated rows are items of their
