@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import threading
-from collections.abc import Callable
+import warnings
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -114,6 +115,19 @@ class Dataset:
         s = normalize(self._ids(self.genes, GENE, "gene_id", genes), self.shape[1])
         return self._named(s.apply(self.tables.get("expression_by_gene", self.expression), GENE))
 
+    def gene_chunks(self, genes, chunk: int = 25_000) -> Iterator[tuple[range, DataFrame]]:
+        """(range of cell ids, their (cell_id, gene_id, value) of some genes), chunk by chunk; unknown gene names are warned of and left out."""
+        genes = [genes] if isinstance(genes, (str, int)) else list(genes)
+        text = [g for g in genes if isinstance(g, str)]
+        known = {r["gene_id"] for r in self.genes.filter(F.col("gene_id").isin(text)).select("gene_id").collect()} if text else set()
+        if missing := [g for g in text if g not in known]:
+            warnings.warn(f"unknown genes: {', '.join(missing[:10])}", stacklevel=2)
+        s = normalize(self._ids(self.genes, GENE, "gene_id", [g for g in genes if not isinstance(g, str) or g in known]), self.shape[1])
+        for start in range(0, self.shape[0], chunk):
+            own = range(start, min(start + chunk, self.shape[0]))
+            rows = normalize(slice(own.start, own.stop), self.shape[0]).apply(self.expression, CELL)
+            yield own, self._named(s.apply(rows, GENE))
+
     def submatrix(self, cells: Any = None, genes: Any = None, layer: str | None = None) -> DataFrame:
         """(cell_id, gene_id, value) of a rectangle given by selectors."""
         return self._named(self.matrix(layer)[cells, genes].df())

@@ -8,6 +8,8 @@ from glob import glob
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .hdf5 import read_10x_h5, read_h5ad
+
 FORMATS = ("parquet", "mtx", "h5ad", "h5", "tiledb")
 
 
@@ -95,44 +97,6 @@ def read_parquet_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame
     return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
 
 
-def _hdf5():
-    try:
-        import h5py
-    except ImportError as e:
-        raise ImportError("reading HDF5 files needs the h5py library") from e
-    return h5py
-
-
-def read_hdf5(spark: SparkSession, path: str, chunk: int = 25_000) -> dict[str, DataFrame]:
-    """cells, genes and expression of an HDF5 matrix in compressed rows; each task reads ``chunk`` rows."""
-    h5py = _hdf5()
-    with h5py.File(path, "r") as f:
-        group = "X" if "X" in f else "matrix"
-        n = len(f[group]["indptr"]) - 1
-        names = lambda *ks: next(([x.decode() if isinstance(x, bytes) else str(x) for x in f[k][:]] for k in ks if k in f), None)
-        obs, var = names("obs/_index", "obs/index", "matrix/barcodes"), names("var/_index", "var/index", "matrix/features/id")
-
-    def load(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for start in b.column(0).to_pylist():
-                with _hdf5().File(path, "r") as f:
-                    x = f[group]
-                    ptr = x["indptr"][start : min(start + chunk, n) + 1]
-                    import numpy as np
-
-                    cells = np.repeat(np.arange(start, start + len(ptr) - 1), np.diff(ptr))
-                    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(x["indices"][ptr[0] : ptr[-1]], pa.int32()), pa.array(x["data"][ptr[0] : ptr[-1]], pa.float64())], names=["cell_integer_id", "gene_integer_id", "value"])
-
-    starts = spark.range(0, n, chunk, max(1, -(-n // chunk)))
-    return {
-        "cells": spark.createDataFrame(list(enumerate(obs)), "cell_integer_id bigint, cell_id string"),
-        "genes": spark.createDataFrame(list(enumerate(var)), "gene_integer_id int, gene_id string"),
-        "expression": starts.mapInArrow(load, "cell_integer_id bigint, gene_integer_id int, value double"),
-    }
-
-
 def read_tiledb(spark: SparkSession, path: str, collection: str = "RNA", layer: str = "data", ranges: int = 16) -> dict[str, DataFrame]:
     """cells, genes and expression of a sparse array store, read in contiguous ranges of rows."""
     try:
@@ -164,7 +128,7 @@ def read_any(spark: SparkSession, path: str, fmt: str = "auto") -> dict[str, Dat
     f = detect_format(path) if fmt == "auto" else fmt
     if f not in FORMATS:
         raise ValueError(f"unknown format {f!r}")
-    return {"parquet": read_parquet_folder, "mtx": read_mtx, "h5ad": read_hdf5, "h5": read_hdf5, "tiledb": read_tiledb}[f](spark, path)
+    return {"parquet": read_parquet_folder, "mtx": read_mtx, "h5ad": read_h5ad, "h5": read_10x_h5, "tiledb": read_tiledb}[f](spark, path)
 
 
 def parse_hub_path(path: str) -> tuple[str, str]:
