@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import stage, workers
+from ..sources.partitioned import open_uri
 from . import forest as rp
-from .topn import open_uri
 
 
 def nearest_vectors(

@@ -144,6 +144,18 @@ def p5_expression(spark, d):
     return percentiles.multi_select(j, ["batch"], "value", [0.5]).withColumn("percentile", F.round("percentile", 4))
 
 
+@query("SELECT true AS within")
+def p5_bounded(spark, d):
+    """Whether the ranks of all combined percentiles are within n / 64 plus one per load of those asked for."""
+    c = table(spark, d, "cells").filter(F.col("cell_integer_id").isNotNull())
+    v = cell_rows(c).filter(usable("total_counts")).select(F.col("batch").alias("b"), "total_counts")
+    loads = c.agg(F.countDistinct("source_file")).first()[0] + 1
+    j = p5_combined(spark, d).join(v, F.col("batch").eqNullSafe(F.col("b"))).groupBy("batch", "p", "n", "percentile").agg(F.sum((F.col("total_counts") < F.col("percentile")).cast("bigint")).alias("lo"), F.sum((F.col("total_counts") <= F.col("percentile")).cast("bigint")).alias("hi"))
+    room = F.col("n") / 64 + F.lit(loads)
+    fits = (F.col("lo") <= F.col("p") * F.col("n") + room) & (F.col("hi") >= F.col("p") * F.col("n") - room)
+    return j.agg(F.min(fits).alias("within"))
+
+
 @query()
 def p5_combined(spark, d):
     """Percentiles per batch from summaries of each source file, combined; the rank is off by at most n / 64 plus one per file."""
@@ -188,6 +200,19 @@ def p6_shares(spark, d):
     return t.withColumn("share", F.col("n_cells") / F.lit(float(n)))
 
 
+@query("SELECT true AS together, true AS close")
+def p6_checked(spark, d):
+    """Whether no batch and no tied batches are in two splits, and every share is within half the largest tied group of its target."""
+    cells, comp = _batches(spark, d)
+    s = p6_splits(spark, d)
+    j = stage(s.join(cells.withColumnRenamed("cell_integer_id", "c"), F.col("cell_integer_id") == F.col("c")).join(comp, F.col("batch") == F.col("node"), "left").select("split_name", "batch", "component"), "splits")
+    t = table(spark, d, "splittargets").groupBy(F.col("split_name").alias("n")).agg(F.max("target_share").alias("target_share"))
+    apart = j.filter("component is not null").groupBy("component").agg(F.countDistinct("split_name").alias("k")).agg(F.coalesce(F.max("k"), F.lit(1)) == 1).first()[0]
+    n, largest = j.count(), j.filter("component is not null").groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    share = t.join(j.groupBy("split_name").count(), F.col("n") == F.col("split_name"), "left").select(F.abs(F.coalesce("count", F.lit(0)) - F.col("target_share") * F.lit(n)).alias("off"))
+    return share.agg(F.lit(apart).alias("together"), (F.max("off") <= F.lit(largest / 2 + 1)).alias("close"))
+
+
 def _genes(spark, d) -> DataFrame:
     return table(spark, d, "genes").select("gene_integer_id").filter("gene_integer_id is not null").distinct()
 
@@ -309,3 +334,19 @@ def p2_clusters(spark, d):
     per = lab.join(kinds, lab["id"] == kinds["cid"], "left").groupBy("cluster", "kind").agg(F.count(F.lit(1)).alias("n"))
     types = per.groupBy("cluster").agg(F.sum("n").cast("bigint").alias("n_cells"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.coalesce("kind", F.lit("(none)")).alias("kind")))), lambda x: F.concat(x["kind"], F.lit(":"), (-x["m"]).cast("string"))), ", ").alias("cell_types"))
     return types.join(best, "cluster").select(F.col("cluster").alias("cluster_id"), "n_cells", "exemplars", "cell_types")
+
+
+@query("SELECT true AS sound")
+def p2_checked(spark, d):
+    """Whether the clusters have at least three cells, no cell is in two, sizes and types add up, and exemplars are members."""
+    g = clusters.density_groups(table(spark, d, "cells"), "cell_integer_id", "key", eps=0.14, reach=0.5)
+    lab = stage(g["labels"].filter("cluster is not null").select("id", F.col("cluster").alias("c")), "labelled")
+    out = stage(p2_clusters(spark, d), "described")
+    size = lab.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.countDistinct("id").alias("m"))
+    ok = out.join(size, F.col("cluster_id") == F.col("c"), "full").agg(F.min(F.coalesce((F.col("k") == F.col("n_cells")) & (F.col("k") == F.col("m")) & (F.col("k") >= 3), F.lit(False))).alias("a"))
+    best = out.select("cluster_id", F.explode(F.split("exemplars", ",")).alias("e")).withColumn("e", F.col("e").cast("bigint"))
+    strange = best.join(lab, (F.col("e") == F.col("id")) & (F.col("cluster_id") == F.col("c")), "left_anti")
+    kinds = F.aggregate(F.split("cell_types", ", "), F.lit(0).cast("bigint"), lambda a, x: a + F.regexp_extract(x, ":(\\d+)$", 1).cast("bigint"))
+    sums = out.agg(F.min(kinds == F.col("n_cells")).alias("b"))
+    sound = bool(ok.first()["a"]) and bool(sums.first()["b"]) and strange.isEmpty()
+    return spark.createDataFrame([(sound,)], "sound boolean")

@@ -61,18 +61,46 @@ def tied_groups(rows: DataFrame, group: str, tie: str) -> DataFrame:
 def closest_subset(sizes: dict[int, int], target: int, resolution: int = 1 << 26) -> dict[int, int]:
     """How many of each size to take so that their total comes closest to ``target``.
 
-    Multiplicities are split into powers of two and added to a bitset of reachable totals. Bitsets are kept at every
-    isqrt(m)-th item and rebuilt in between while tracing back. Totals above ``resolution`` are counted in units.
+    Exact for targets up to ``resolution``, the bits of a bitset. Beyond it the larger sizes are chosen in coarse units, to
+    come near the target less half the total of the smaller sizes, which together have at most ``resolution`` records and, as
+    far as there are such, reach every total up to that; what is missing is settled with them exactly. The result is off
+    only if the larger sizes come no nearer than that half, or if the smaller sizes have gaps in their totals.
+    """
+    if target <= resolution:
+        return _subset(sizes, target, 1)
+    ordered = sorted(s for s in sizes if s > 0)
+    small, room = {}, resolution
+    for s in ordered:
+        k = min(sizes[s], room // s)
+        if not k or s > resolution - room + 1 and 1 in sizes:  # a larger one would leave gaps
+            break
+        small[s], room = k, room - s * k
+    large = {s: n - small.get(s, 0) for s, n in sizes.items() if n > small.get(s, 0)}
+    spare = sum(s * n for s, n in small.items())
+    coarse = _subset(large, max(0, target - spare // 2), -(-target // resolution))
+    gap = target - sum(s * n for s, n in coarse.items())
+    while gap < 0:  # more than wanted: give back the smallest of the large
+        s = min(s for s, n in coarse.items() if n)
+        coarse[s], gap = coarse[s] - 1, gap + s
+    fine = _subset(small, min(gap, spare), 1)
+    return {s: coarse.get(s, 0) + fine.get(s, 0) for s in {*coarse, *fine}}
+
+
+def _subset(sizes: dict[int, int], target: int, unit: int) -> dict[int, int]:
+    """The choice by a bitset of reachable totals in units; multiplicities are split into powers of two.
+
+    Bitsets are kept at every isqrt(m)-th item and rebuilt in between while tracing back.
     """
-    unit = -(-target // resolution) if target > resolution else 1
     goal = target // unit
     items = []
     for s in sorted((s for s in sizes if s > 0), reverse=True):
         left, k = sizes[s], 1
         while left:
             k = min(k, left)
-            items.append((s * k // unit, s, k))
+            items.append(((s * k + unit // 2) // unit, s, k))
             left, k = left - k, k * 2
+    if not items:
+        return {}
     top = goal + max((w for w, _, _ in items), default=0)
     mask = (1 << (top + 1)) - 1
     step = max(1, isqrt(len(items)))

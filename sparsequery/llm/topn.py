@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import scratch_path, workers
+from ..sources.partitioned import open_uri
 
 
 def current_values(expression: DataFrame) -> DataFrame:
@@ -35,21 +36,6 @@ def current_values(expression: DataFrame) -> DataFrame:
     return best.select("cell_integer_id", "gene_integer_id", F.col("b.value").alias("value"))
 
 
-def open_uri(uri: str):
-    """(file system, path) of pyarrow for a Hadoop path; fsspec serves schemes that pyarrow doesn't know."""
-    from pyarrow import fs
-
-    scheme, _, rest = uri.partition("://")
-    if scheme in ("s3a", "s3n"):
-        uri = f"s3://{rest}"
-    try:
-        return fs.FileSystem.from_uri(uri)
-    except ValueError:  # an unknown scheme
-        import fsspec
-
-        return fs.PyFileSystem(fs.FSSpecHandler(fsspec.filesystem(scheme))), rest
-
-
 def read_top(uri: str, n: int, stats: dict | None = None) -> Iterator:
     """Batches (g, s, i) of one clustered file (sorted by s descending, then g and i) with every group's first ``n`` rows of it.
 

@@ -145,6 +145,20 @@ def test_closest_subset_is_optimal():
             assert abs(sum(s * n for s, n in got.items()) - target) == best
 
 
+def test_subsets_beyond_the_resolution_are_settled_exactly():
+    r = random.Random(8)
+    for _ in range(60):
+        sizes = {r.randint(1, 40): r.randint(1, 30) for _ in range(4)} | {r.randint(500, 9000): r.randint(1, 6) for _ in range(6)}
+        total = sum(s * n for s, n in sizes.items())
+        target = round(total * r.uniform(0.2, 0.9))
+        got, best = splits.closest_subset(sizes, target, 1 << 9), splits.closest_subset(sizes, target)
+        assert all(0 <= n <= sizes[s] for s, n in got.items())
+        off = [abs(sum(s * n for s, n in x.items()) - target) for x in (got, best)]
+        assert off[0] <= max(off[1] + 40, 9000)
+    sizes = {1: 400, 7000: 5, 3001: 7}
+    assert sum(s * n for s, n in splits.closest_subset(sizes, 31_234, 1 << 12).items()) == 31_234
+
+
 def test_splits_keep_ties_together(spark):
     rows = [(i, f"b{i % 13}" if i % 10 else None, f"d{i % 26}" if i % 7 else None) for i in range(1300)]
     cells = spark.createDataFrame(rows, "cell bigint, batch string, donor string")
