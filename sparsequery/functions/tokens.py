@@ -15,7 +15,8 @@ def item_tokens(items: Column, vocab_size: int) -> Column:
 
 
 def _fixed(a: Column, n: int) -> Column:
-    return F.slice(F.concat(a, F.array_repeat(F.lit(PAD).cast("bigint"), n)), 1, n)
+    """Cut to ``n`` and filled up with padding; only what is missing is made."""
+    return F.concat(F.slice(a, 1, n), F.array_repeat(F.lit(PAD).cast("bigint"), F.greatest(F.lit(n) - F.size(a), F.lit(0))))
 
 
 def _one(x: int) -> Column:
@@ -27,8 +28,16 @@ def rank_tokens(items: Column, vocab_size: int = 50_000, length: int = 2048) ->
     return _fixed(F.concat(_one(CLS), item_tokens(items, vocab_size), _one(SEP)), length)
 
 
+def token_count(ids: Column) -> Column:
+    """How many tokens come before the padding, which stands at the end only."""
+    first = F.array_position(ids, F.lit(PAD).cast("bigint")).cast("int")
+    return F.when(first == 0, F.size(ids)).otherwise(first - 1)
+
+
 def attention_mask(ids: Column) -> Column:
-    return F.transform(ids, lambda x: x != PAD)
+    """True for every token before the padding."""
+    n = token_count(ids)
+    return F.concat(F.array_repeat(F.lit(True), n), F.array_repeat(F.lit(False), F.size(ids) - n))
 
 
 def bin_token(value: Column, bins: int = 10, vocab_size: int = 50_000) -> Column:

@@ -536,25 +536,26 @@ def expr_bins(ds):
 TOKENS = f", {RANKED}, l AS (SELECT cell_integer_id, list_resize(list_prepend(1, list_append(list(CAST(gene_integer_id + 4 AS BIGINT) ORDER BY gene_integer_id), 2)), 2048, 0) AS ids FROM r WHERE d <= 2048 GROUP BY 1)"
 
 
-def trimmed(df: DataFrame, *cols: str) -> DataFrame:
-    """Array columns as comma-joined text without the zeros at their end."""
-    last = lambda c: F.size(c) - F.array_position(F.reverse(F.transform(c, lambda x: x != 0)), True) + 1
-    return joined(df.withColumns({c: F.when(F.exists(c, lambda x: x != 0), F.slice(c, 1, last(c))).otherwise(F.slice(c, 1, 0)) for c in cols}), *cols)
+def trimmed(df: DataFrame, *more: str) -> DataFrame:
+    """``input_ids`` as comma-joined text without its padding, and the columns ``more`` as far as the tokens before [SEP]."""
+    n = tk.token_count(F.col("input_ids"))
+    cut = df.withColumns({"input_ids": F.slice("input_ids", 1, n), **{c: F.slice(c, 1, n - 1) for c in more}})
+    return joined(cut, "input_ids", *more)
 
 
 @query(TOKENS + " SELECT cell_integer_id, array_to_string(list_filter(ids, lambda x: x <> 0), ',') AS input_ids, CAST(len(list_filter(ids, lambda x: x <> 0)) AS BIGINT) AS n_tokens, CAST(len(ids) AS BIGINT) AS length FROM l")
 @on
 def tokens_geneformer(ds):
     t = windows.tokenizer("geneformer")(ds.expression)
-    n = F.size(F.filter("attention_mask", lambda x: x)).cast("bigint")
-    return trimmed(t.select(CELL, "input_ids", n.alias("n_tokens"), F.size("input_ids").cast("bigint").alias("length")), "input_ids")
+    n = tk.token_count(F.col("input_ids")).cast("bigint")
+    return trimmed(t.select(CELL, "input_ids", n.alias("n_tokens"), F.size("input_ids").cast("bigint").alias("length")))
 
 
 @query(f", {BINS}, k AS (SELECT *, row_number() OVER (PARTITION BY cell_integer_id ORDER BY gene_integer_id) i FROM b WHERE d <= 1024), l AS (SELECT cell_integer_id, list(CAST(gene_integer_id + 4 AS BIGINT) ORDER BY gene_integer_id) a, list(CAST(bin + 50000 AS BIGINT) ORDER BY gene_integer_id) v FROM k WHERE i <= 1024 GROUP BY 1) SELECT cell_integer_id, array_to_string(list_prepend(1, list_append(a, 2)), ',') AS input_ids, array_to_string(list_prepend(0, v), ',') AS values, CAST(1026 AS BIGINT) AS length FROM l")
 @on
 def tokens_scgpt(ds):
     t = windows.tokenizer("scgpt", max_items=1024)(ds.expression)
-    return trimmed(t.select(CELL, "input_ids", "values", F.size("input_ids").cast("bigint").alias("length")), "input_ids", "values")
+    return trimmed(t.select(CELL, "input_ids", "values", F.size("input_ids").cast("bigint").alias("length")), "values")
 
 
 @query(TOKENS + ", t AS (SELECT cell_integer_id, unnest(ids) AS token, CAST(generate_subscripts(ids, 1) - 1 AS INT) AS pos FROM l) SELECT cell_integer_id, pos, token, gene_id, CASE token WHEN 1 THEN 'CLS' WHEN 2 THEN 'SEP' WHEN 3 THEN 'MASK' END AS special FROM t LEFT JOIN g ON gene_integer_id + 4 = token WHERE token <> 0")
@@ -573,7 +574,7 @@ def vocab(ds):
 @query(f", {RANKED}, l AS (SELECT cell_integer_id, list_resize(list_prepend(1, list_append(list(CAST(gene_integer_id + 4 AS BIGINT) ORDER BY value DESC, gene_integer_id), 2)), 2048, 0) AS ids FROM r WHERE d <= 2048 GROUP BY 1) SELECT cell_integer_id, array_to_string(list_filter(ids, lambda x: x <> 0), ',') AS input_ids FROM l")
 @on
 def pipeline_geneformer(ds):
-    return trimmed(batches.batched(ds.expression, batches.BatchPlan()).select(CELL, "input_ids"), "input_ids")
+    return trimmed(batches.batched(ds.expression, batches.BatchPlan()).select(CELL, "input_ids"))
 
 
 # layers, vectors, pairs, metadata

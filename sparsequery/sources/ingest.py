@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import drop_path
+from ..session import drop_path, stage
 from . import layout
 from .layout import CELL, GENE, VALUE, Config
 from .readers import discover, read_any
@@ -89,8 +89,9 @@ def write_dataset(tables: dict[str, DataFrame], folder: str, gene_copy: bool = T
     spark = tables["cells"].sparkSession
     if layout.exists(spark, f"{folder}/config.json"):
         raise FileExistsError(folder)
-    cells, genes = clean_metadata(tables["cells"], CELL), clean_metadata(tables["genes"], GENE)
-    e = tables["expression"].select(F.col(CELL).cast("bigint").alias(CELL), F.col(GENE).cast("int").alias(GENE), F.col(VALUE))
+    # what was computed or converted is computed once: checks, range sampling and statistics read it again
+    cells, genes = clean_metadata(stage(tables["cells"], "cells"), CELL), clean_metadata(stage(tables["genes"], "genes"), GENE)
+    e = stage(tables["expression"].select(F.col(CELL).cast("bigint").alias(CELL), F.col(GENE).cast("int").alias(GENE), F.col(VALUE)), "matrix")
     e = e.withColumn(VALUE, F.col(VALUE).cast(narrow_type(e) if values == "auto" else values))
     if not e.filter(F.col(CELL).isNull() | F.col(GENE).isNull() | F.col(VALUE).isNull()).isEmpty():
         raise ValueError("null in the matrix")
