@@ -15,7 +15,7 @@ from .functions import tokens as tk
 from .operators import batches, preprocess, shuffle, skew, windows
 from .operators.rank import global_rank
 from .session import scratch_path
-from .sources import ingest, layout
+from .sources import ingest, layout, partitioned
 from .streaming import groups as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -678,6 +678,42 @@ def append_union(ds):
     return Dataset.open(ds.spark, folder).cells.select(CELL, "cell_id", "source_file")
 
 
+@query(f"SELECT CASE WHEN cell_integer_id % 2 = 0 THEN cell_integer_id // 2 ELSE cell_integer_id // 2 + {EVEN} END AS cell_integer_id, gene_integer_id, value FROM e")
+@on
+def compacted_append(ds):
+    """The matrix after an append and a compaction of the parts."""
+    old, new = halves(ds)
+    folder = scratch_path(ds.spark, "compacted")
+    ingest.write_dataset(old, folder, values="double")
+    ingest.append_tables(ds.spark, new, "odd", folder)
+    ingest.compact(ds.spark, folder)
+    return Dataset.open(ds.spark, folder).expression
+
+
+@query("SELECT * FROM e")
+@on
+def source_parts(ds):
+    """The stored matrix row group by row group through the partitioned source."""
+    return partitioned.read_parts(ds.spark, ds.expression)
+
+
+@query("SELECT cell_integer_id // 1000 AS chunk, count(*) AS n, round(sum(value), 6) AS total FROM e WHERE gene_integer_id IN (0, 5, 6, 100) GROUP BY 1")
+@on
+def gene_chunks(ds):
+    """Counts and totals of some genes, chunk of cells by chunk."""
+    parts = [d.agg(F.count(F.lit(1)).alias("n"), F.sum(VALUE).alias("total")).select(F.lit(r.start // 1000).cast("bigint").alias("chunk"), "n", "total") for r, d in ds.gene_chunks([0, 5, 6, 100], 1000)]
+    return rnd(reduce(DataFrame.unionByName, parts).filter("n > 0"), "total")
+
+
+@query("SELECT count(DISTINCT cell_integer_id) AS n_cells, CAST(ceil(count(DISTINCT cell_integer_id) / 64.0) AS BIGINT) AS n_batches, CAST(count(*) + 2 * count(DISTINCT cell_integer_id) AS BIGINT) AS n_tokens FROM e")
+@on
+def loader_totals(ds):
+    """Cells, batches and tokens that the training loader delivers in one epoch."""
+    loader = batches.BatchLoader(ds.expression, batches.BatchPlan(batch_size=64))
+    n = sum(1 for _ in loader)
+    return ds.spark.createDataFrame([(loader.metrics["rows"], n, loader.metrics["tokens"])], "n_cells bigint, n_batches bigint, n_tokens bigint")
+
+
 @query("SELECT gene_id, 'left' AS side FROM g WHERE gene_integer_id >= 950 UNION ALL SELECT gene_id, 'right' FROM g WHERE gene_integer_id < 20")
 @on
 def gene_set_diff(ds):
@@ -783,6 +819,19 @@ def stream_groups(spark, d):
     return out.select("user_id", F.size("items").cast("bigint").alias("n"), F.aggregate("items", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("ids"))
 
 
+@query("SELECT cell_integer_id, count(*) AS n, CAST(sum(gene_integer_id) AS BIGINT) AS genes FROM e GROUP BY 1")
+def stream_positions(spark, d):
+    """Whole groups out of a stream in group order, without knowing their sizes; files end inside groups."""
+    rows, path = dataset(spark, d).expression, scratch_path(spark, "ordered")
+    placed = global_rank(rows, [F.col(CELL), F.col(GENE)], "place")
+    quarter = rows.count() // 4 + 1
+    for k in range(4):  # one file after another, as a feed would deliver them
+        placed.filter(F.floor(F.col("place") / quarter) == k).select(CELL, GENE, VALUE).coalesce(1).write.mode("append").parquet(path)
+    s = streams.file_stream(spark, path, spark.read.parquet(path).schema)
+    out = streams.groups_by_position(s, CELL, GENE, VALUE, scratch_path(spark, "groups"), scratch_path(spark, "mark"))
+    return out.select(CELL, F.size("items").cast("bigint").alias("n"), F.aggregate("items", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("genes"))
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1", pre=False)
 def stream_foreach(spark, d):
     """Micro-batches handed to a sink that appends them to a table."""

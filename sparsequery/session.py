@@ -63,11 +63,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
+_SHIPPED: set[str] = set()
+
+
 def workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, if it isn't installed there."""
-    env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    """Let Python workers import this package: locally from where the driver has it, on a cluster from an archive sent to them."""
+    sc = spark.sparkContext
+    env, root = sc.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    if not sc.master.startswith("local") and sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        folder = tempfile.mkdtemp(prefix="sparsequery-")  # on the driver, which serves the archive
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.addPyFile(shutil.make_archive(f"{folder}/sparsequery", "zip", root, os.path.basename(os.path.dirname(os.path.abspath(__file__)))))
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:

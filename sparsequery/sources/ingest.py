@@ -101,8 +101,9 @@ def write_dataset(tables: dict[str, DataFrame], folder: str, gene_copy: bool = T
     if gene_copy:
         names["expression_by_gene"] = layout.next_version("expression_by_gene", None)
         layout.write_clustered(stored, f"{folder}/{names['expression_by_gene']}", [GENE, CELL], partitions)
-    layout.write_clustered(_with_start(stored, cells), f"{folder}/{names['cells']}", [CELL], partitions)
-    layout.write_clustered(genes, f"{folder}/{names['genes']}", [GENE], 1)
+    named = lambda d, c: (c,) if c in d.columns else ()
+    layout.write_clustered(_with_start(stored, cells), f"{folder}/{names['cells']}", [CELL], partitions, named(cells, "cell_id"))
+    layout.write_clustered(genes, f"{folder}/{names['genes']}", [GENE], 1, named(genes, "gene_id"))
     for n in ("layers", "cellsxcells", "genesxgenes"):
         if n in tables:
             layout.write_clustered(tables[n], f"{folder}/{names[n]}", tables[n].columns[:2], partitions)

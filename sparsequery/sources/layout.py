@@ -117,10 +117,16 @@ def next_version(name: str, parts: list[str] | None) -> str:
     return f"{name}-v{max(used, default=0) + 1}"
 
 
-def write_clustered(df: DataFrame, path: str, by: list[str], partitions: int | None = None) -> None:
-    """Range-partition and sort by ``by``, so Parquet statistics let a reader skip what an id range excludes."""
+def write_clustered(df: DataFrame, path: str, by: list[str], partitions: int | None = None, bloom: tuple[str, ...] = ()) -> None:
+    """Range-partition and sort by ``by``, so Parquet statistics let a reader skip what an id range excludes.
+
+    ``bloom``: columns, as names, whose values get a Bloom filter per row group for look-ups of single values.
+    """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(n, *by).sortWithinPartitions(*by).write.parquet(path)
+    w = df.repartitionByRange(n, *by).sortWithinPartitions(*by).write
+    for c in bloom:
+        w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    w.parquet(path)
 
 
 def expression_stats(expression: DataFrame) -> DataFrame:
