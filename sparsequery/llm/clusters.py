@@ -3,17 +3,18 @@
 1. Pieces: every vector goes to one leaf of a tree. There the spanning forest of its mutual-reachability graph is built
    (the first rounds of Boruvka, without a shuffle); what it joins up to ``eps`` is a piece, described by its centroid.
    From here on one row per piece travels, not one per vector.
-2. Neighbour graph: inside every leaf of a forest over the pieces each piece's nearest neighbours and the leaf's own
-   minimum spanning forest. A spanning tree of the union of complete leaf graphs lies in the union of the leaves'
-   spanning forests, so these few edges stand for all pairs compared. The two halves of a group that a hyperplane has
-   cut find each other here, as their centroids are closer than their members.
+2. Neighbour graph: the pieces are cut into blocks and every pair of blocks is compared whole in one task. It gives each
+   piece's nearest neighbours and the minimum spanning forest of the pair of blocks; a spanning tree of all pieces lies in
+   the union of these forests. Two pieces are linked at ``eps`` if any two of their members are: pieces whose centroids
+   are further apart than their radii allow can't be, the members of all others are compared.
 3. Mutual reachability: an edge weighs max(its distance, the core distances of its ends).
 4. Distributed Boruvka: every component takes its lightest edge, pointers are shortened, edges are contracted.
    The edges up to ``eps`` give base groups; the rest, up to ``reach``, joins base groups.
 5. Condensed hierarchy over the base groups with stability-based selection; no split below ``eps`` is made.
 6. The most persistent members (those that leave last as density rises) are the exemplars.
 
-Distances are 1 - cosine; a piece of several vectors is as far as its centroid.
+Distances are 1 - cosine. Up to ``eps`` a piece of several vectors is as far as its nearest member, beyond that as its
+centroid. No pair within ``eps`` is left out; the work of step 2 grows with the square of the pieces.
 """
 
 from __future__ import annotations
@@ -108,16 +109,16 @@ def _distances(x64: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def leaf_pieces(ids: np.ndarray, raw: np.ndarray, k: int, eps: float) -> tuple[np.ndarray, ...]:
-    """(piece, core, size, full, centroid) for every row of a leaf; the last three hold where ``ids`` equals ``piece``.
+    """(piece, core, size, full, centroid, radius) for every row of a leaf; the last four hold where ``ids`` equals ``piece``.
 
     A piece is what mutual reachability joins up to ``eps``, named by its smallest id. core: the distance of the k-th
     nearest row, NaN for a piece of one. full: every two members are within ``eps`` of one another and of no other row
-    of the leaf.
+    of the leaf. radius: the largest angle between the centroid and a member, 0 for a piece of one only.
     """
     n = len(ids)
     x64 = rp.unit(raw)
     if n == 1:
-        return ids, np.array([np.nan]), np.array([1]), np.array([True]), np.array(raw, np.float32)
+        return ids, np.array([np.nan]), np.array([1]), np.array([True]), np.array(raw, np.float32), np.zeros(1)
     near, nd, u, v, d, surely, maybe = leaf_links(x64, k, eps, eps)
     core = nd[:, k - 1] if nd.shape[1] >= k else np.full(n, np.inf)
     a, b = np.append(np.repeat(np.arange(n), nd.shape[1]), u), np.append(near.ravel(), v)
@@ -138,7 +139,10 @@ def leaf_pieces(ids: np.ndarray, raw: np.ndarray, k: int, eps: float) -> tuple[n
     flat = np.linalg.norm(sums, axis=1) < 1e-9
     sums[flat] = x64[flat]
     centroid = np.where((size > 1)[:, None], sums[label], raw).astype(np.float32)
-    return low[label], np.where(size > 1, core, np.nan), size, full, centroid
+    angle = np.arccos(np.clip(np.einsum("ij,ij->i", x64, rp.unit(centroid)), -1, 1)) + 1e-6
+    radius = np.zeros(n)
+    np.maximum.at(radius, label, np.where(size > 1, angle, 0))
+    return low[label], np.where(size > 1, core, np.nan), size, full, centroid, radius[label]
 
 
 def copies_of(vectors: DataFrame) -> DataFrame:
@@ -149,7 +153,7 @@ def copies_of(vectors: DataFrame) -> DataFrame:
 
 
 def pieces_of(vectors: DataFrame, dim: int, k: int, eps: float, leaf_size: int, max_sample: int, seed: int) -> DataFrame:
-    """(rid, piece, core, size, full, vec), one row per distinct vector; size, full and vec (the centroid) where rid = piece."""
+    """(rid, piece, core, size, full, vec, radius), one row per distinct vector; size, full, vec (the centroid) and radius where rid = piece."""
     spark = vectors.sparkSession
     forest = rp.build(vectors, dim, 1, leaf_size, max_sample, seed)
     placed = rp.place(vectors, forest, dim, 1)
@@ -159,77 +163,165 @@ def pieces_of(vectors: DataFrame, dim: int, k: int, eps: float, leaf_size: int,
 
         rid, raw, _ = rp.merge_copies(t, dim)
         if not len(rid):
-            piece, core, size, full, vec = rid, np.zeros(0), rid, np.zeros(0, bool), np.zeros((0, dim), np.float32)
+            piece, core, size, full, vec, radius = rid, np.zeros(0), rid, np.zeros(0, bool), np.zeros((0, dim), np.float32), np.zeros(0)
         else:
-            piece, core, size, full, vec = leaf_pieces(rid, raw, k, eps)
+            piece, core, size, full, vec, radius = leaf_pieces(rid, raw, k, eps)
         head = piece == rid
         vecs = [v.tobytes() if h else None for v, h in zip(vec, head)]
         return pa.table({
             "rid": rid, "piece": piece, "core": pa.array(core, from_pandas=True), "size": pa.array(size, pa.int64(), mask=~head),
-            "full": pa.array(full, mask=~head), "vec": pa.array(vecs, pa.binary()),
+            "full": pa.array(full, mask=~head), "vec": pa.array(vecs, pa.binary()), "radius": pa.array(radius, mask=~head),
         })
 
-    out = stage(placed.groupBy("leaf").applyInArrow(local, "rid bigint, piece bigint, core double, size bigint, full boolean, vec binary"), "pieces")
+    out = stage(placed.groupBy("leaf").applyInArrow(local, "rid bigint, piece bigint, core double, size bigint, full boolean, vec binary, radius double"), "pieces")
     tidy(spark)
     return out
 
 
-def neighbour_graph(nodes: DataFrame, dim: int, min_samples: int, reach: float, eps: float, trees: int, probes: int, leaf_size: int, max_sample: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def spanning(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which of the edges (i, j, d) form their minimum spanning forest."""
+    nodes, ends = np.unique(np.append(i, j), return_inverse=True)
+    a, b = ends[: len(i)], ends[len(i) :]
+    parent, order, taken = list(range(len(nodes))), np.argsort(d, kind="stable"), np.zeros(len(i), bool)
+    at, step = 0, max(len(nodes), 1024)
+    while at < len(order):
+        part = order[at : at + step]
+        label = np.array([_find(parent, x) for x in range(len(nodes))])
+        for e in part[label[a[part]] != label[b[part]]].tolist():  # the others close a cycle
+            p, q = _find(parent, int(a[e])), _find(parent, int(b[e]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                taken[e] = True
+        at, step = at + step, 2 * step
+    return taken
+
+
+def nearest_ends(i: np.ndarray, j: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(row, other, position of the edge): for every end of the edges (i, j, d) its ``k`` lightest."""
+    row, other, edge = np.append(i, j), np.append(j, i), np.tile(np.arange(len(i)), 2)
+    order = np.lexsort((other, d[edge], row))
+    row, other, edge = row[order], other[order], edge[order]
+    starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, int)
+    first = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row)))) < k
+    return row[first], other[first], edge[first]
+
+
+def block_links(x64: np.ndarray, radius: np.ndarray, left: np.ndarray, right: np.ndarray, k: int, reach: float, eps: float, limit: int = 1 << 20) -> tuple[np.ndarray, ...]:
+    """Of all pairs of a ``left`` and a ``right`` row, or of all of ``left`` if both are the same: (i, j, d, to ask).
+
+    (i, j, d): the pairs up to ``reach`` that are in the spanning forest or are one of the ``k`` nearest of an end; d is
+    above ``eps`` where one of them has a radius. to ask: (2, n) pairs with a radius whose members may be within ``eps``.
+    """
+    above, theta, same = eps + 1e-9, np.arccos(max(1 - eps, -1)), left is right  # clear of the room that closed_groups leaves for rounding
+    x = x64.astype(np.float32)
+    y = np.ascontiguousarray(x[right].T)
+    widest = radius[right].max(initial=0)
+    floor = (np.minimum(1 - reach, np.cos(np.minimum(theta + radius[left] + widest, np.pi))) - 1e-5).astype(np.float32)
+    i, j, d, asked = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), []
+    step = rp.block_rows(len(right))
+    for at in range(0, len(left), step):
+        lo = at if same else 0
+        r, c = np.nonzero(x[left[at : at + step]] @ y[:, lo:] >= floor[at : at + step, None])
+        a, b = left[at + r], right[lo + c]
+        if same:
+            a, b = a[at + r < lo + c], b[at + r < lo + c]
+        far, both = _distances(x64, a, b), radius[a] + radius[b]
+        ask = (both > 0) & (far <= 1 - np.cos(np.minimum(theta + both, np.pi)) + 1e-9)
+        asked.append(np.stack([a[ask], b[ask]]))
+        far = np.where(both > 0, np.maximum(far, above), far)
+        near = far <= reach
+        i, j, d = np.append(i, a[near]), np.append(j, b[near]), np.append(d, far[near])
+        if len(i) > limit or at + step >= len(left):
+            keep = spanning(i, j, d)
+            keep[nearest_ends(i, j, d, k)[2]] = True
+            i, j, d = i[keep], j[keep], d[keep]
+            limit = max(limit, 2 * len(i))
+    return i, j, d, np.concatenate(asked, 1) if asked else np.zeros((2, 0), np.int64)
+
+
+def member_links(asks: DataFrame, pieces: DataFrame, vectors: DataFrame, dim: int, eps: float, block: int = 16_384) -> DataFrame:
+    """(u, v, d): the pairs of pieces ``asks`` (u, v) with members within ``eps``, and the distance of the nearest two.
+
+    Large pieces are cut into blocks of about ``block`` rows; a task compares one block of each.
+    """
+    sizes = pieces.filter("rid = piece").select(F.col("piece").alias("x"), F.ceil(F.col("size") / block).cast("int").alias("parts"))
+    su, sv = sizes.select(F.col("x").alias("xu"), F.col("parts").alias("pu")), sizes.select(F.col("x").alias("xv"), F.col("parts").alias("pv"))
+    both = asks.join(su, asks["u"] == su["xu"]).join(sv, asks["v"] == sv["xv"])
+    sides = F.array(F.struct(F.col("u").alias("side"), F.col("pu").alias("own"), F.col("pv").alias("others"), F.lit(True).alias("first")), F.struct(F.col("v").alias("side"), F.col("pv").alias("own"), F.col("pu").alias("others"), F.lit(False).alias("first")))
+    sides = both.select("u", "v", F.explode(sides).alias("s")).select("u", "v", "s.*")
+    rows = sides.join(pieces.select("rid", "piece"), F.col("side") == F.col("piece")).select("u", "v", "first", "others", "rid", F.pmod(F.xxhash64("rid"), F.col("own")).cast("int").alias("mine"))
+    rows = rows.join(vectors, rows["rid"] == vectors["id"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    rows = rows.select("u", "v", "first", "vec", F.when(F.col("first"), F.col("mine")).otherwise(F.col("other")).alias("p"), F.when(F.col("first"), F.col("other")).otherwise(F.col("mine")).alias("q"))
+
+    def check(key, t):
+        import pyarrow as pa
+
+        x64, first = rp.unit(rp.as_matrix(t.column("vec"), dim)), t.column("first").to_numpy(zero_copy_only=False)
+        a, b = x64[first], x64[~first]
+        y, best = np.ascontiguousarray(b.T.astype(np.float32)), np.inf
+        step = rp.block_rows(len(b))
+        for at in range(0, len(a) if len(b) else 0, step):
+            s = a[at : at + step].astype(np.float32) @ y
+            top = s.max()
+            if top >= 1 - min(eps, best) - 1e-5:
+                r, c = np.nonzero(s >= top - np.float32(1e-5))
+                best = min(best, max(1 - np.einsum("ij,ij->i", a[at + r], b[c]).max(), 0.0))
+        found = int(best <= eps)
+        return pa.table({"u": pa.array([key[0].as_py()] * found, pa.int64()), "v": pa.array([key[1].as_py()] * found, pa.int64()), "d": pa.array([float(best)] * found, pa.float64())})
+
+    return rows.groupBy("u", "v", "p", "q").applyInArrow(check, "u bigint, v bigint, d double").groupBy("u", "v").agg(F.min("d").alias("d"))
+
+
+def neighbour_graph(nodes: DataFrame, pieces: DataFrame, vectors: DataFrame, dim: int, min_samples: int, reach: float, eps: float, block: int) -> tuple[DataFrame, DataFrame]:
     """Edges (u, v, d, w), u < v, at most ``reach`` apart, with distance and mutual-reachability weight, and the core
     distances (x, core).
 
-    ``nodes``: (id, vec, ``n`` records, ``core`` or null). A node without a core distance of its own gets that of its
-    neighbours' records.
+    ``nodes``: (id, vec, ``radius``, ``n`` records, ``core`` or null), one per piece. A node without a core distance of
+    its own gets that of its neighbours' records. All pairs are compared, in blocks of at most about ``block`` nodes.
     """
     spark = nodes.sparkSession
-    vectors = nodes.select("id", "vec")
-    forest = rp.build(vectors, dim, trees, leaf_size, max_sample, seed)
-    placed = rp.place(vectors, forest, dim, probes)
+    count = nodes.count()
+    blocks = max(-(-count // block), min(4, -(-count // 2048)), 1)  # some blocks at least, so that there are tasks to share
+    mine = nodes.select("id", "vec", "radius", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("mine"))
+    placed = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "vec", "radius", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
 
-    def local(t):
+    def local(key, t):
         import pyarrow as pa
 
-        rid, raw, _ = rp.merge_copies(t, dim)
-        none = np.zeros(0, np.int64)
-        u, v, d, tu, tv, td = none, none, np.zeros(0), none, none, np.zeros(0)
-        if len(rid) > 1:
-            near, nd, tu, tv, td, _, _ = leaf_links(rp.unit(raw), min_samples, reach, eps)
-            u, v, d = np.repeat(rid, near.shape[1]), rid[near.ravel()], nd.ravel()
-            u, v, d = u[d <= reach], v[d <= reach], d[d <= reach]
-            tu, tv = rid[tu[td <= reach]], rid[tv[td <= reach]]
-            td = td[td <= reach]
-        # the neighbours of a row travel together
-        order = np.lexsort((v, d, u))
-        u, v, d = u[order], v[order], d[order]
-        starts = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, int)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(u)), pa.int32()), pa.StructArray.from_arrays([pa.array(d), pa.array(v)], names=["d", "v"]))
-        rows, edges = len(starts), len(tu)
-        return pa.table({
-            "u": np.append(u[starts], np.minimum(tu, tv)), "v": pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(np.maximum(tu, tv))]),
-            "d": pa.concat_arrays([pa.nulls(rows, pa.float64()), pa.array(td)]), "near": pa.concat_arrays([lists, pa.nulls(edges, lists.type)]),
-        })
-
-    raw = stage(placed.groupBy("leaf").applyInArrow(local, "u bigint, v bigint, d double, near array<struct<d:double,v:bigint>>"), "leafedges")
+        ids, radius, mine = (t.column(c).to_numpy() for c in ("id", "radius", "mine"))
+        left = np.flatnonzero(mine == key[0].as_py())
+        right = left if key[0] == key[1] else np.flatnonzero(mine == key[1].as_py())
+        i, j, d, ask = block_links(rp.unit(rp.as_matrix(t.column("vec"), dim)), radius, left, right, min_samples, reach, eps)
+        tree = spanning(i, j, d)
+        row, other, edge = nearest_ends(i, j, d, min_samples)
+        u, v = np.concatenate([ids[i[tree]], ids[ask[0]]]), np.concatenate([ids[j[tree]], ids[ask[1]]])
+        u, v = np.append(np.minimum(u, v), ids[row]), np.append(np.maximum(u, v), ids[other])
+        kind = np.repeat(np.array([0, 1, 2], np.int32), [tree.sum(), ask.shape[1], len(row)])
+        return pa.table({"u": u, "v": v, "d": np.concatenate([d[tree], np.full(ask.shape[1], np.nan), d[edge]]), "kind": kind})
+
+    raw = stage(placed.groupBy("p", "q").applyInArrow(local, "u bigint, v bigint, d double, kind int"), "blockedges")
+    tidy(spark)
+    links = stage(member_links(raw.filter("kind = 1").select("u", "v"), pieces, vectors, dim, eps), "links")
     tidy(spark)
     given = nodes.filter("core is not null").select(F.col("id").alias("x"), "core")
     many = nodes.filter("n > 1").select(F.col("id").alias("m"), F.col("n").alias("n_m"))
-    open_ = nodes.filter("core is null").select(F.col("id").alias("u"), (F.col("n") - 1).alias("own"))
-    near = raw.filter("near is not null").join(open_, "u").groupBy("u").agg(F.max("own").alias("own"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, min_samples).alias("near"))
-    near = near.select("u", "own", F.explode("near").alias("x")).select("u", "own", "x.d", "x.v")
-    near = near.join(many, near["v"] == many["m"], "left").select("u", "own", "d", "v", F.coalesce("n_m", F.lit(1)).alias("n_v"))
+    open_ = nodes.filter("core is null").select(F.col("id").alias("x"), (F.col("n") - 1).alias("own"))
+    linked = links.select(F.explode(F.array(F.struct("u", "v", "d"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "d"))).alias("x")).select("x.*")
+    near = raw.filter("kind = 2").select("u", "v", "d").unionByName(linked).groupBy("u", "v").agg(F.min("d").alias("d"))
+    counted = near.join(open_, near["u"] == open_["x"])
+    counted = counted.join(many, counted["v"] == many["m"], "left").select("u", "own", "d", "v", F.coalesce("n_m", F.lit(1)).alias("n_v"))
     upto = F.sum("n_v").over(Window.partitionBy("u").orderBy("d", "v").rowsBetween(Window.unboundedPreceding, 0))
-    found = near.withColumn("upto", upto).groupBy("u").agg(F.min(F.when(F.col("own") + F.col("upto") >= min_samples, F.col("d"))).alias("core"))
+    found = counted.withColumn("upto", upto).groupBy("u").agg(F.min(F.when(F.col("own") + F.col("upto") >= min_samples, F.col("d"))).alias("core"))
     core = stage(given.unionByName(found.filter("core is not null").select(F.col("u").alias("x"), "core")), "cores")
-    e = raw.filter("near is null").select("u", "v", "d")
+    e = raw.filter("kind = 0").select("u", "v", "d").unionByName(links)
     if min_samples > 2:  # up to two, every inner row of a path in the forest is dense itself
-        more = raw.filter("near is not null").select(F.col("u").alias("a"), F.explode("near").alias("x"))
-        e = e.unionByName(more.select(F.least("a", "x.v").alias("u"), F.greatest("a", "x.v").alias("v"), F.col("x.d").alias("d")))
+        e = e.unionByName(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "d"))
     e = e.groupBy("u", "v").agg(F.min("d").alias("d"))
     a, b = core.select(F.col("x").alias("xa"), F.col("core").alias("ca")), core.select(F.col("x").alias("xb"), F.col("core").alias("cb"))
     far = F.lit(2.0)  # fewer than min_samples neighbours within reach: dense at no distance looked at
     g = e.join(a, e["u"] == a["xa"], "left").join(b, e["v"] == b["xb"], "left")
     graph = stage(g.select("u", "v", "d", F.greatest("d", F.coalesce("ca", far), F.coalesce("cb", far)).alias("w")), "graph")
-    drop(raw)
+    drop(raw, links)
     return graph, core
 
 
@@ -358,7 +450,7 @@ def condense(nodes: list[tuple[int, int, float]], edges: list[tuple[float, int,
 
 def density_groups(
     rows: DataFrame, id_col: str, vec_col: str, dim: int = 64, min_samples: int = 2, min_size: int = 3, eps: float = 0.14, reach: float = 0.5,
-    trees: int = 2, probes: int = 4, leaf_size: int = 8192, max_sample: int = 131_072, seed: int = 0,
+    leaf_size: int = 8192, max_sample: int = 131_072, seed: int = 0, block: int = 65_536,
 ) -> dict[str, DataFrame]:
     """``labels`` (id, rid, base, cluster, density), and ``vectors``, ``graph``, ``pieces`` and ``base`` for further checks.
 
@@ -374,11 +466,11 @@ def density_groups(
     more = ids.filter("id = rid and n > 1").select(F.col("rid").alias("r1"), (F.col("n") - 1).alias("copies"))
     weighty = pieces.select("rid", "piece").join(more, F.col("rid") == F.col("r1")).groupBy("piece").agg(F.sum("copies").alias("copies")).withColumnRenamed("piece", "p1")
     spread = pieces.filter("rid <> piece").groupBy(F.col("piece").alias("p2")).agg(F.max("core").alias("core"))  # a piece is as dense as where it hangs together
-    nodes = pieces.filter("rid = piece").select(F.col("piece").alias("id"), "vec", "size")
+    nodes = pieces.filter("rid = piece").select(F.col("piece").alias("id"), "vec", "size", "radius")
     nodes = nodes.join(weighty, F.col("id") == F.col("p1"), "left").join(spread, F.col("id") == F.col("p2"), "left")
     n = F.col("size") + F.coalesce("copies", F.lit(0))
-    nodes = stage(nodes.select("id", "vec", n.alias("n"), F.when((F.col("size") == 1) & (n > min_samples), 0.0).otherwise(F.col("core")).alias("core")), "nodes")
-    graph, core = neighbour_graph(nodes, dim, min_samples, reach, eps, trees, probes, leaf_size, max_sample, seed + 1)
+    nodes = stage(nodes.select("id", "vec", "radius", n.alias("n"), F.when((F.col("size") == 1) & (n > min_samples), 0.0).otherwise(F.col("core")).alias("core")), "nodes")
+    graph, core = neighbour_graph(nodes, pieces, vectors, dim, min_samples, reach, eps, block)
     tidy(spark)
     _, labels = boruvka(graph.filter(F.col("w") <= eps).select("u", "v", "w"))
     base = nodes.select(F.col("id").alias("piece"), "n").join(labels, F.col("piece") == F.col("node"), "left").select("piece", "n", F.coalesce("c", "piece").alias("base"))

@@ -106,6 +106,61 @@ def test_closed_groups(data):
     assert dict(zip(out.id, out.groupby("base").id.transform("min"))) == want and len(want) > 30
 
 
+def closed_by_brute_force(x, least):
+    s, want = cosines(x) >= least, {}
+    for i in range(len(x)):
+        own = np.flatnonzero(s[i])
+        if len(own) >= 3 and all((s[j] == s[i]).all() for j in own):
+            want[i] = int(own.min())
+    return want
+
+
+def closed_groups_of(spark, x, least, **kw):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<float>")
+    out = clusters.closed_groups(clusters.density_groups(df, "id", "v", x.shape[1], eps=1 - least, reach=0.5, **kw), x.shape[1], least).toPandas()
+    return dict(zip(out.id, out.groupby("base").id.transform("min")))
+
+
+def test_no_link_between_leaves_is_left_out(spark):
+    r = np.random.default_rng(6)
+    c = r.normal(size=(300, 32))
+    x = np.concatenate([np.repeat(c, 4, axis=0) + r.normal(size=(1200, 32)) * 0.3, r.normal(size=(1200, 32))]).astype(np.float32)
+    want = closed_by_brute_force(x, 0.86)
+    assert len(want) > 500 and closed_groups_of(spark, x, 0.86, leaf_size=20, block=700) == want
+
+
+def test_pieces_are_as_far_as_their_members(spark):
+    # two groups whose centroids are within the distance, but no two of their members
+    t, x = 0.386, np.zeros((6, 8))
+    x[:3, 0], x[3:, 0], x[3:, 1] = 1, 0.95, np.sqrt(1 - 0.95**2)
+    x[range(6), range(2, 8)] = t
+    x = x.astype(np.float32)
+    assert closed_by_brute_force(x, 0.86) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
+    assert closed_groups_of(spark, x, 0.86) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
+
+
+def test_asks_and_links_of_blocks():
+    r = np.random.default_rng(7)
+    x = forest.unit(r.normal(size=(90, 4)))
+    radius = np.where(np.arange(90) % 3 == 0, 0.2, 0.0)
+    d, theta, every = 1 - x @ x.T, np.arccos(0.86), np.arange(90)
+    for left, right in ((every, every), (every[:50], every[50:])):
+        i, j, w, ask = clusters.block_links(x, radius, left, every if left is every else right, 2, 0.5, 0.14, limit=50)
+        pairs = {(a, b) for a in left for b in right if a < b}
+        both = radius[:, None] + radius
+        assert {tuple(sorted(p)) for p in ask.T.tolist()} == {(a, b) for a, b in pairs if both[a, b] and d[a, b] <= 1 - np.cos(theta + both[a, b])}
+        full = np.where(both > 0, np.maximum(d, 0.14 + 1e-9), d)
+        for cut in (0.14, 0.3, 0.5):  # the same components at every height
+            names = []
+            for edges in ([(a, b) for a, b in pairs if full[a, b] <= cut], zip(i[w <= cut].tolist(), j[w <= cut].tolist())):
+                parent = list(range(90))
+                for a, b in edges:
+                    parent[clusters._find(parent, a)] = clusters._find(parent, b)
+                roots = [clusters._find(parent, a) for a in range(90)]
+                names.append([roots.index(z) for z in roots])
+            assert names[0] == names[1]
+
+
 def test_hierarchy(data):
     _, df = data
     lab = clusters.density_groups(df, "id", "v", DIM, eps=0.05, reach=0.4)["labels"].toPandas()
