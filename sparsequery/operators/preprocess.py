@@ -90,13 +90,22 @@ def log1p(expression: DataFrame) -> DataFrame:
     return expression.withColumn(VALUE, F.log1p(F.col(VALUE).cast("double")))
 
 
+def _variance(v: Column) -> Column:
+    """Sample variance; rounded only once for whole numbers whose squares add up exactly, so that bounds are met as they should be."""
+    n, total, squares = F.count(v), F.sum(v), F.sum(v * v)
+    exact = F.bool_and(v == F.rint(v)) & (squares <= F.lit(float(1 << 53))) & (n > 1)
+    whole = "decimal(19,0)"  # products of two still fit a decimal
+    spread = n.cast(whole) * squares.cast(whole) - total.cast(whole) * total.cast(whole)
+    return F.when(exact, spread.cast("double") / (n.cast("double") * (n - 1).cast("double"))).otherwise(F.var_samp(v))
+
+
 def highly_variable_genes(expression: DataFrame, genes: DataFrame, min_mean=0.0125, max_mean=3.0, min_disp=0.5, max_disp=float("inf"), n_top: int | None = None, unique: bool = False) -> DataFrame:
     """Per column: ``n_cells means variances dispersions highly_variable`` over stored entries (sample variance).
 
     Columns without entries are 0 throughout. With ``n_top`` the first by dispersion (then id) are marked instead.
     """
     v = F.col(VALUE).cast("double")
-    a = expression.groupBy(F.col(GENE).alias("__g")).agg(_ids(CELL, unique).alias("n_cells"), F.avg(v).alias("means"), F.var_samp(v).alias("variances"))
+    a = expression.groupBy(F.col(GENE).alias("__g")).agg(_ids(CELL, unique).alias("n_cells"), F.avg(v).alias("means"), _variance(v).alias("variances"))
     h = genes.select(GENE).join(a, F.col(GENE) == F.col("__g"), "left").drop("__g")
     h = h.withColumns({"n_cells": F.coalesce("n_cells", F.lit(0)), "means": F.coalesce("means", F.lit(0.0)), "variances": F.coalesce("variances", F.lit(0.0))})
     h = h.withColumn("dispersions", F.when(F.col("means") > 0, F.col("variances") / F.col("means")).otherwise(0.0))

@@ -35,6 +35,17 @@ def test_point_access(ds):
     assert [(r.start, r.stop) for r in ds.row_ranges().orderBy("cell_integer_id").collect()] == [(0, 2), (2, 3), (3, 4), (4, 4), (4, 4)]
 
 
+def test_dispersion_on_its_bound(spark):
+    from itertools import permutations
+
+    orders = sorted(set(permutations([1.0, 1.0, 1.0, 2.0, 3.0])))  # mean 1.6, variance 0.8, whatever the order
+    more = [(1.0, 3.0, 0.5), (1e10, 3e10), (1e200, 1e200)]
+    e = spark.createDataFrame([(c, g, v) for g, values in enumerate(orders + more) for c, v in enumerate(values)], "cell_integer_id bigint, gene_integer_id int, value double")
+    h = preprocess.highly_variable_genes(e, e.select("gene_integer_id").distinct()).orderBy("gene_integer_id").collect()
+    assert all(r.highly_variable and r.dispersions == 0.5 for r in h[: len(orders)])
+    assert [round(r.variances, 6) for r in h[len(orders) :][:2]] == [1.75, 2e20]
+
+
 def test_quality_and_variability(ds, small):
     e, g = small["expression"], small["genes"]
     assert [(r.n_genes_by_counts, r.total_counts) for r in preprocess.cell_qc(e).orderBy("cell_integer_id").collect()] == [(2, 3), (1, 3), (1, 4)]
