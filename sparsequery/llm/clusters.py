@@ -6,7 +6,8 @@
 2. Neighbour graph: the pieces are cut into blocks and every pair of blocks is compared whole in one task. It gives each
    piece's nearest neighbours and the minimum spanning forest of the pair of blocks; a spanning tree of all pieces lies in
    the union of these forests. Two pieces are linked at ``eps`` if any two of their members are: pieces whose centroids
-   are further apart than their radii allow can't be, the members of all others are compared.
+   are further apart than their radii allow can't be, the members of all others are compared. The tasks read blocks and
+   members from the staged files, which all executors share, so no vector is shuffled or copied for a comparison.
 3. Mutual reachability: an edge weighs max(its distance, the core distances of its ends).
 4. Distributed Boruvka: every component takes its lightest edge, pointers are shortened, edges are contracted.
    The edges up to ``eps`` give base groups; the rest, up to ``reach``, joins base groups.
@@ -19,7 +20,8 @@ centroid. No pair within ``eps`` is left out; the work of step 2 grows with the
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,9 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import drop, stage, tidy
+from ..sources.partitioned import open_uri
 from . import forest as rp
 
 TINY = 1e-6  # distances below count as this where a density is formed
+ROWS = 4096  # of a row group of members
 
 
 def _find(parent: list[int], i: int) -> int:
@@ -153,7 +157,11 @@ def copies_of(vectors: DataFrame) -> DataFrame:
 
 
 def pieces_of(vectors: DataFrame, dim: int, k: int, eps: float, leaf_size: int, max_sample: int, seed: int) -> DataFrame:
-    """(rid, piece, core, size, full, vec, radius), one row per distinct vector; size, full, vec (the centroid) and radius where rid = piece."""
+    """(rid, piece, core, size, full, own, vec, radius), one row per distinct vector; size, full and radius where rid = piece, vec
+    (the centroid) where such a piece has several members.
+
+    The members of a piece stand together in one file, the first at its smallest id: :func:`member_reader` finds them by position.
+    """
     spark = vectors.sparkSession
     forest = rp.build(vectors, dim, 1, leaf_size, max_sample, seed)
     placed = rp.place(vectors, forest, dim, 1)
@@ -166,14 +174,17 @@ def pieces_of(vectors: DataFrame, dim: int, k: int, eps: float, leaf_size: int,
             piece, core, size, full, vec, radius = rid, np.zeros(0), rid, np.zeros(0, bool), np.zeros((0, dim), np.float32), np.zeros(0)
         else:
             piece, core, size, full, vec, radius = leaf_pieces(rid, raw, k, eps)
+        order = np.lexsort((rid, piece))
+        rid, raw, piece, core, size, full, vec, radius = (c[order] for c in (rid, raw, piece, core, size, full, vec, radius))
         head = piece == rid
-        vecs = [v.tobytes() if h else None for v, h in zip(vec, head)]
+        vecs = [v.tobytes() if h else None for v, h in zip(vec, head & (size > 1))]
         return pa.table({
-            "rid": rid, "piece": piece, "core": pa.array(core, from_pandas=True), "size": pa.array(size, pa.int64(), mask=~head),
-            "full": pa.array(full, mask=~head), "vec": pa.array(vecs, pa.binary()), "radius": pa.array(radius, mask=~head),
+            "rid": rid, "piece": piece, "core": pa.array(core, from_pandas=True), "size": pa.array(size, pa.int64(), mask=~head), "full": pa.array(full, mask=~head),
+            "own": pa.array([v.tobytes() for v in raw], pa.binary()), "vec": pa.array(vecs, pa.binary()), "radius": pa.array(radius, mask=~head),
         })
 
-    out = stage(placed.groupBy("leaf").applyInArrow(local, "rid bigint, piece bigint, core double, size bigint, full boolean, vec binary, radius double"), "pieces")
+    schema = "rid bigint, piece bigint, core double, size bigint, full boolean, own binary, vec binary, radius double"
+    out = stage(placed.groupBy("leaf").applyInArrow(local, schema), "pieces", **{"parquet.block.row.count.limit": str(ROWS)})
     tidy(spark)
     return out
 
@@ -232,76 +243,139 @@ def block_links(x64: np.ndarray, radius: np.ndarray, left: np.ndarray, right: np
         near = far <= reach
         i, j, d = np.append(i, a[near]), np.append(j, b[near]), np.append(d, far[near])
         if len(i) > limit or at + step >= len(left):
-            keep = spanning(i, j, d)
-            keep[nearest_ends(i, j, d, k)[2]] = True
+            keep = lightest(i, j, d, k)
             i, j, d = i[keep], j[keep], d[keep]
             limit = max(limit, 2 * len(i))
     return i, j, d, np.concatenate(asked, 1) if asked else np.zeros((2, 0), np.int64)
 
 
-def member_links(asks: DataFrame, pieces: DataFrame, vectors: DataFrame, dim: int, eps: float, block: int = 16_384) -> DataFrame:
-    """(u, v, d): the pairs of pieces ``asks`` (u, v) with members within ``eps``, and the distance of the nearest two.
+def member_reader(dim: int, keep: int = 64) -> Callable[[str, int, int], np.ndarray]:
+    """A function (file, first row, rows) -> these members of the table of :func:`pieces_of`; the last ``keep`` row groups read stay in memory."""
+    import pyarrow.parquet as pq
 
-    Large pieces are cut into blocks of about ``block`` rows; a task compares one block of each.
-    """
-    sizes = pieces.filter("rid = piece").select(F.col("piece").alias("x"), F.ceil(F.col("size") / block).cast("int").alias("parts"))
-    su, sv = sizes.select(F.col("x").alias("xu"), F.col("parts").alias("pu")), sizes.select(F.col("x").alias("xv"), F.col("parts").alias("pv"))
-    both = asks.join(su, asks["u"] == su["xu"]).join(sv, asks["v"] == sv["xv"])
-    sides = F.array(F.struct(F.col("u").alias("side"), F.col("pu").alias("own"), F.col("pv").alias("others"), F.lit(True).alias("first")), F.struct(F.col("v").alias("side"), F.col("pv").alias("own"), F.col("pu").alias("others"), F.lit(False).alias("first")))
-    sides = both.select("u", "v", F.explode(sides).alias("s")).select("u", "v", "s.*")
-    rows = sides.join(pieces.select("rid", "piece"), F.col("side") == F.col("piece")).select("u", "v", "first", "others", "rid", F.pmod(F.xxhash64("rid"), F.col("own")).cast("int").alias("mine"))
-    rows = rows.join(vectors, rows["rid"] == vectors["id"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    rows = rows.select("u", "v", "first", "vec", F.when(F.col("first"), F.col("mine")).otherwise(F.col("other")).alias("p"), F.when(F.col("first"), F.col("other")).otherwise(F.col("mine")).alias("q"))
+    @lru_cache(16)
+    def opened(uri):
+        system, path = open_uri(uri)
+        pf = pq.ParquetFile(system.open_input_file(path))
+        return pf, np.cumsum([0] + [pf.metadata.row_group(i).num_rows for i in range(pf.num_row_groups)])
 
-    def check(key, t):
-        import pyarrow as pa
+    @lru_cache(keep)
+    def group(uri, i):
+        return rp.as_matrix(opened(uri)[0].read_row_group(i, columns=["own"]).column("own"), dim)
+
+    def read(uri, first, rows):
+        starts, out = opened(uri)[1], []
+        for i in range(int(np.searchsorted(starts, first, "right")) - 1, len(starts) - 1):
+            if starts[i] >= first + rows:
+                break
+            out.append(group(uri, i)[max(first - starts[i], 0) : first + rows - starts[i]])
+        return out[0] if len(out) == 1 else np.concatenate(out)
+
+    return read
 
-        x64, first = rp.unit(rp.as_matrix(t.column("vec"), dim)), t.column("first").to_numpy(zero_copy_only=False)
-        a, b = x64[first], x64[~first]
-        y, best = np.ascontiguousarray(b.T.astype(np.float32)), np.inf
-        step = rp.block_rows(len(b))
-        for at in range(0, len(a) if len(b) else 0, step):
-            s = a[at : at + step].astype(np.float32) @ y
-            top = s.max()
-            if top >= 1 - min(eps, best) - 1e-5:
-                r, c = np.nonzero(s >= top - np.float32(1e-5))
-                best = min(best, max(1 - np.einsum("ij,ij->i", a[at + r], b[c]).max(), 0.0))
-        found = int(best <= eps)
-        return pa.table({"u": pa.array([key[0].as_py()] * found, pa.int64()), "v": pa.array([key[1].as_py()] * found, pa.int64()), "d": pa.array([float(best)] * found, pa.float64())})
 
-    return rows.groupBy("u", "v", "p", "q").applyInArrow(check, "u bigint, v bigint, d double").groupBy("u", "v").agg(F.min("d").alias("d"))
+def nearest_members(a: np.ndarray, b: np.ndarray, eps: float, best: float = np.inf) -> float:
+    """The distance of the nearest two unit rows of ``a`` and ``b`` if it is within ``eps`` and below ``best``, else ``best`` or more."""
+    y, step = np.ascontiguousarray(b.T.astype(np.float32)), rp.block_rows(len(b))
+    for at in range(0, len(a), step):
+        s = a[at : at + step].astype(np.float32) @ y
+        top = s.max()
+        if top >= 1 - min(eps, best) - 1e-5:
+            r, c = np.nonzero(s >= top - np.float32(1e-5))
+            best = min(best, max(1 - np.einsum("ij,ij->i", a[at + r], b[c]).max(), 0.0))
+    return best
 
 
-def neighbour_graph(nodes: DataFrame, pieces: DataFrame, vectors: DataFrame, dim: int, min_samples: int, reach: float, eps: float, block: int) -> tuple[DataFrame, DataFrame]:
+def member_links(ask: np.ndarray, where: tuple[np.ndarray, ...], read: Callable[[str, int, int], np.ndarray], eps: float, block: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+    """(which, d): those of the pairs of pieces ``ask`` (2, n) with members within ``eps``, and the distance of the nearest two.
+
+    ``where``: every piece's (file, first row, rows). At most ``block`` members of each piece are looked at at once.
+    """
+    file, first, rows = where
+    _, number = np.unique(file, return_inverse=True)
+    which, d = [], []
+    # pairs with near places follow one another, so that few row groups are read again
+    for e in np.lexsort((first[ask[1]], number[ask[1]], first[ask[0]] // ROWS, number[ask[0]])).tolist():
+        u, v = ask[:, e].tolist()
+        best = np.inf
+        for p in range(0, rows[u], block):
+            a = rp.unit(read(file[u], first[u] + p, min(block, rows[u] - p)))
+            for q in range(0, rows[v], block):
+                best = nearest_members(a, rp.unit(read(file[v], first[v] + q, min(block, rows[v] - q))), eps, best)
+        if best <= eps:
+            which.append(e)
+            d.append(best)
+    return np.array(which, np.int64), np.array(d, np.float64)
+
+
+def lightest(u: np.ndarray, v: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Which of the edges (u, v, d) are in the spanning forest or one of the ``k`` nearest of an end."""
+    keep = spanning(u, v, d)
+    keep[nearest_ends(u, v, d, k)[2]] = True
+    return keep
+
+
+def neighbour_graph(nodes: DataFrame, dim: int, min_samples: int, reach: float, eps: float) -> tuple[DataFrame, DataFrame]:
     """Edges (u, v, d, w), u < v, at most ``reach`` apart, with distance and mutual-reachability weight, and the core
     distances (x, core).
 
-    ``nodes``: (id, vec, ``radius``, ``n`` records, ``core`` or null), one per piece. A node without a core distance of
-    its own gets that of its neighbours' records. All pairs are compared, in blocks of at most about ``block`` nodes.
+    ``nodes``: a staged table (id, vec, ``radius``, ``n`` records, ``core`` or null, and ``file``, ``row`` and ``size`` of its
+    members), one per piece, whose files are the blocks. A node without a core distance of its own gets that of its
+    neighbours' records. All pairs are compared: a task reads pairs of blocks one after another, of up to eight by
+    eight blocks where there are many, and keeps the edges that may matter.
     """
     spark = nodes.sparkSession
-    count = nodes.count()
-    blocks = max(-(-count // block), min(4, -(-count // 2048)), 1)  # some blocks at least, so that there are tasks to share
-    mine = nodes.select("id", "vec", "radius", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("mine"))
-    placed = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "vec", "radius", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
-
-    def local(key, t):
+    files = sorted(nodes.inputFiles())
+    wide = min(8, max(1, len(files) // 16))
+    parts = spark.createDataFrame([(i, files[at : at + wide]) for i, at in enumerate(range(0, len(files), wide))], "p int, pf array<string>")
+    parts = parts.join(F.broadcast(parts.select(F.col("p").alias("q"), F.col("pf").alias("qf"))), F.col("p") <= F.col("q"))  # names only
+    count = -(-len(files) // wide)
+    parts = parts.repartitionByRange(max(1, min(count * (count + 1) // 2, 4096)), "p", "q").select("pf", "qf")
+
+    def block(uri):
+        import pyarrow.parquet as pq
+
+        system, path = open_uri(uri)
+        with system.open_input_file(path) as f:
+            t = pq.read_table(f, columns=["id", "vec", "radius", "file", "row", "size"])
+        return t.column("vec"), *(t.column(c).to_numpy(zero_copy_only=False) for c in ("id", "radius", "file", "row", "size"))
+
+    def compare(pf, qf, read):
+        u, v, d, lu, lv, ld = (np.zeros(0, t) for t in (np.int64, np.int64, np.float64) * 2)
+        limit = 1 << 20
+        for x in pf:
+            one = block(x)
+            for y in qf:
+                if x > y:
+                    continue  # both sides are the same blocks: the pair comes the other way round
+                two = [c[:0] for c in one] if x == y else block(y)
+                x64 = rp.unit(np.concatenate([rp.as_matrix(one[0], dim), rp.as_matrix(two[0], dim)]))
+                ids, radius, *where = (np.concatenate([a, b]) for a, b in zip(one[1:], two[1:]))
+                left = np.arange(len(one[1]))
+                i, j, w, ask = block_links(x64, radius, left, left if x == y else np.arange(len(left), len(ids)), min_samples, reach, eps)
+                which, near = member_links(ask, where, read, eps)
+                u, v, d = np.append(u, ids[i]), np.append(v, ids[j]), np.append(d, w)
+                lu, lv, ld = np.append(lu, ids[ask[0, which]]), np.append(lv, ids[ask[1, which]]), np.append(ld, near)
+                if len(u) > limit:
+                    keep = lightest(u, v, d, min_samples)
+                    u, v, d = u[keep], v[keep], d[keep]
+                    limit = max(limit, 2 * len(u))
+        tree = spanning(u, v, d)
+        row, other, edge = nearest_ends(u, v, d, min_samples)
+        a, b = np.append(u[tree], lu), np.append(v[tree], lv)
+        a, b = np.append(np.minimum(a, b), row), np.append(np.maximum(a, b), other)
+        return a, b, np.concatenate([d[tree], ld, d[edge]]), np.repeat(np.array([0, 1, 2], np.int32), [tree.sum(), len(lu), len(row)])
+
+    def local(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        ids, radius, mine = (t.column(c).to_numpy() for c in ("id", "radius", "mine"))
-        left = np.flatnonzero(mine == key[0].as_py())
-        right = left if key[0] == key[1] else np.flatnonzero(mine == key[1].as_py())
-        i, j, d, ask = block_links(rp.unit(rp.as_matrix(t.column("vec"), dim)), radius, left, right, min_samples, reach, eps)
-        tree = spanning(i, j, d)
-        row, other, edge = nearest_ends(i, j, d, min_samples)
-        u, v = np.concatenate([ids[i[tree]], ids[ask[0]]]), np.concatenate([ids[j[tree]], ids[ask[1]]])
-        u, v = np.append(np.minimum(u, v), ids[row]), np.append(np.maximum(u, v), ids[other])
-        kind = np.repeat(np.array([0, 1, 2], np.int32), [tree.sum(), ask.shape[1], len(row)])
-        return pa.table({"u": u, "v": v, "d": np.concatenate([d[tree], np.full(ask.shape[1], np.nan), d[edge]]), "kind": kind})
-
-    raw = stage(placed.groupBy("p", "q").applyInArrow(local, "u bigint, v bigint, d double, kind int"), "blockedges")
-    tidy(spark)
-    links = stage(member_links(raw.filter("kind = 1").select("u", "v"), pieces, vectors, dim, eps), "links")
+        read = member_reader(dim)
+        for t in batches:
+            for pf, qf in zip(t.column(0).to_pylist(), t.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in compare(pf, qf, read)], names=["u", "v", "d", "kind"])
+
+    raw = stage(parts.mapInArrow(local, "u bigint, v bigint, d double, kind int"), "blockedges")
+    links = raw.filter("kind = 1").select("u", "v", "d")
     tidy(spark)
     given = nodes.filter("core is not null").select(F.col("id").alias("x"), "core")
     many = nodes.filter("n > 1").select(F.col("id").alias("m"), F.col("n").alias("n_m"))
@@ -321,7 +395,7 @@ def neighbour_graph(nodes: DataFrame, pieces: DataFrame, vectors: DataFrame, dim
     far = F.lit(2.0)  # fewer than min_samples neighbours within reach: dense at no distance looked at
     g = e.join(a, e["u"] == a["xa"], "left").join(b, e["v"] == b["xb"], "left")
     graph = stage(g.select("u", "v", "d", F.greatest("d", F.coalesce("ca", far), F.coalesce("cb", far)).alias("w")), "graph")
-    drop(raw, links)
+    drop(raw)
     return graph, core
 
 
@@ -466,11 +540,15 @@ def density_groups(
     more = ids.filter("id = rid and n > 1").select(F.col("rid").alias("r1"), (F.col("n") - 1).alias("copies"))
     weighty = pieces.select("rid", "piece").join(more, F.col("rid") == F.col("r1")).groupBy("piece").agg(F.sum("copies").alias("copies")).withColumnRenamed("piece", "p1")
     spread = pieces.filter("rid <> piece").groupBy(F.col("piece").alias("p2")).agg(F.max("core").alias("core"))  # a piece is as dense as where it hangs together
-    nodes = pieces.filter("rid = piece").select(F.col("piece").alias("id"), "vec", "size", "radius")
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+    nodes = pieces.filter("rid = piece").select(F.col("piece").alias("id"), F.coalesce("vec", "own").alias("vec"), "size", "radius", *place)
     nodes = nodes.join(weighty, F.col("id") == F.col("p1"), "left").join(spread, F.col("id") == F.col("p2"), "left")
     n = F.col("size") + F.coalesce("copies", F.lit(0))
-    nodes = stage(nodes.select("id", "vec", "radius", n.alias("n"), F.when((F.col("size") == 1) & (n > min_samples), 0.0).otherwise(F.col("core")).alias("core")), "nodes")
-    graph, core = neighbour_graph(nodes, pieces, vectors, dim, min_samples, reach, eps, block)
+    nodes = nodes.select("id", "vec", "radius", n.alias("n"), F.when((F.col("size") == 1) & (n > min_samples), 0.0).otherwise(F.col("core")).alias("core"), "file", "row", "size")
+    count = pieces.filter("rid = piece").count()
+    blocks = max(-(-count // block), min(4, -(-count // 2048)), 1)  # some blocks at least, so that there are tasks to share
+    nodes = stage(nodes.repartitionByRange(blocks, "file", "row"), "nodes")  # members of a block stand together too
+    graph, core = neighbour_graph(nodes, dim, min_samples, reach, eps)
     tidy(spark)
     _, labels = boruvka(graph.filter(F.col("w") <= eps).select("u", "v", "w"))
     base = nodes.select(F.col("id").alias("piece"), "n").join(labels, F.col("piece") == F.col("node"), "left").select("piece", "n", F.coalesce("c", "piece").alias("base"))

@@ -139,6 +139,36 @@ def test_pieces_are_as_far_as_their_members(spark):
     assert closed_groups_of(spark, x, 0.86) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
 
 
+def test_comparisons_shuffle_no_vectors(spark):
+    r = np.random.default_rng(8)
+    x = np.concatenate([np.repeat(r.normal(size=(150, 64)), 4, axis=0) + r.normal(size=(600, 64)) * 0.3, r.normal(size=(900, 64))]).astype(np.float32)
+    want = closed_by_brute_force(x, 0.86)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    assert closed_groups_of(spark, x, 0.86, leaf_size=20, block=16) == want  # so many blocks that a task has several pairs of them
+    moved = written() - before
+    assert len(want) > 300 and x.nbytes < moved < 9 * x.nbytes
+
+
+def test_members_by_position(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x = np.random.default_rng(9).normal(size=(60, 4)).astype(np.float32)
+    file = str(tmp_path / "members.parquet")
+    pq.write_table(pa.table({"own": [v.tobytes() for v in x]}), file, row_group_size=7)
+    read = clusters.member_reader(4, keep=2)
+    first, size = np.array([0, 20, 23, 24]), np.array([20, 3, 1, 36])
+    for f, n in zip(first, size):
+        assert (read(file, f, n) == x[f : f + n]).all()
+    u, v = np.triu_indices(4, 1)
+    d = 1 - cosines(x)
+    nearest = [d[first[i] : first[i] + size[i], first[j] : first[j] + size[j]].min() for i, j in zip(u, v)]
+    eps = np.sort(nearest)[3] + 1e-9
+    which, got = clusters.member_links(np.stack([u, v]), (np.array([file] * 4, object), first, size), read, eps, block=5)
+    assert dict(zip(which.tolist(), got.round(12).tolist())) == {e: round(near, 12) for e, near in enumerate(nearest) if near <= eps}
+
+
 def test_asks_and_links_of_blocks():
     r = np.random.default_rng(7)
     x = forest.unit(r.normal(size=(90, 4)))
