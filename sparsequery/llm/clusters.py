@@ -217,6 +217,29 @@ def nearest_ends(i: np.ndarray, j: np.ndarray, d: np.ndarray, k: int) -> tuple[n
     return row[first], other[first], edge[first]
 
 
+def pairs_above(x: np.ndarray, y: np.ndarray, floor: np.ndarray, tall: int = 512, wide: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(r, c), in order of r and c: all pairs of a row of ``x`` and one of ``y`` whose product is at least ``floor[r]``.
+
+    The products are formed in tiles that stay in a core's cache; only rows whose largest product is that high are looked through.
+    """
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(x), tall):
+        a, low = x[at : at + tall], floor[at : at + tall]
+        out, top = np.empty((len(a), wide), np.float32), np.empty(len(a), np.float32)
+        for to in range(0, len(y), wide):
+            b = y[to : to + wide]
+            s = out if len(b) == wide else np.empty((len(a), len(b)), np.float32)
+            np.max(np.dot(a, b.T, out=s), axis=1, out=top)
+            hit = np.flatnonzero(top >= low)
+            if len(hit):
+                r, c = np.nonzero(s[hit] >= low[hit, None])
+                rows.append(at + hit[r])
+                cols.append(to + c)
+    r, c = np.concatenate(rows), np.concatenate(cols)
+    order = np.lexsort((c, r))
+    return r[order], c[order]
+
+
 def block_links(x64: np.ndarray, radius: np.ndarray, left: np.ndarray, right: np.ndarray, k: int, reach: float, eps: float, limit: int = 1 << 20) -> tuple[np.ndarray, ...]:
     """Of all pairs of a ``left`` and a ``right`` row, or of all of ``left`` if both are the same: (i, j, d, to ask).
 
@@ -225,14 +248,14 @@ def block_links(x64: np.ndarray, radius: np.ndarray, left: np.ndarray, right: np
     """
     above, theta, same = eps + 1e-9, np.arccos(max(1 - eps, -1)), left is right  # clear of the room that closed_groups leaves for rounding
     x = x64.astype(np.float32)
-    y = np.ascontiguousarray(x[right].T)
+    y = x[right]
     widest = radius[right].max(initial=0)
     floor = (np.minimum(1 - reach, np.cos(np.minimum(theta + radius[left] + widest, np.pi))) - 1e-5).astype(np.float32)
     i, j, d, asked = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), []
     step = rp.block_rows(len(right))
     for at in range(0, len(left), step):
         lo = at if same else 0
-        r, c = np.nonzero(x[left[at : at + step]] @ y[:, lo:] >= floor[at : at + step, None])
+        r, c = pairs_above(x[left[at : at + step]], y[lo:], floor[at : at + step])
         a, b = left[at + r], right[lo + c]
         if same:
             a, b = a[at + r < lo + c], b[at + r < lo + c]

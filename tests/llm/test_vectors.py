@@ -191,6 +191,25 @@ def test_asks_and_links_of_blocks():
             assert names[0] == names[1]
 
 
+def test_comparison_in_tiles():
+    import tracemalloc
+
+    r = np.random.default_rng(10)
+    x, y = (forest.unit(r.normal(size=(n, 8))).astype(np.float32) for n in (45, 70))
+    floor = np.where(np.arange(45) % 2 == 0, 0.5, 0.3).astype(np.float32)
+    for tall, wide in ((512, 256), (16, 32), (45, 70)):
+        got = clusters.pairs_above(x, y, floor, tall, wide)
+        assert [a.tolist() for a in got] == [a.tolist() for a in np.nonzero(x @ y.T >= floor[:, None])]
+    assert all(len(a) == 0 for a in clusters.pairs_above(x, y[:0], floor))
+    # products of whole rows would not fit a cache: 128 MB here
+    x = forest.unit(r.normal(size=(50_000, 32)))
+    tracemalloc.start()
+    clusters.block_links(x, np.zeros(50_000), np.arange(600), np.arange(600, 50_000), 2, 0.2, 0.14)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+
+
 def test_hierarchy(data):
     _, df = data
     lab = clusters.density_groups(df, "id", "v", DIM, eps=0.05, reach=0.4)["labels"].toPandas()
