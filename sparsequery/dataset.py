@@ -99,11 +99,11 @@ class Dataset:
             raise ValueError(f"unknown {name}: {', '.join(missing[:5])}")
         return [got[w] if isinstance(w, str) else int(w) for w in wanted]
 
-    def _named(self, d: DataFrame) -> DataFrame:
+    def _named(self, d: DataFrame, *keep: str) -> DataFrame:
         c, g = self.cells.select(F.col(CELL).alias("__c"), "cell_id"), self.genes.select(F.col(GENE).alias("__g"), "gene_id")
         small = lambda x, n: F.broadcast(x) if n <= BROADCAST_ROWS else x
         d = d.join(small(c, self.shape[0]), d[CELL] == F.col("__c"), "left").join(small(g, self.shape[1]), d[GENE] == F.col("__g"), "left")
-        return d.select(F.coalesce("cell_id", F.concat(F.lit("cell_"), d[CELL].cast("string"))).alias("cell_id"), F.coalesce("gene_id", F.concat(F.lit("gene_"), d[GENE].cast("string"))).alias("gene_id"), VALUE)
+        return d.select(*keep, F.coalesce("cell_id", F.concat(F.lit("cell_"), d[CELL].cast("string"))).alias("cell_id"), F.coalesce("gene_id", F.concat(F.lit("gene_"), d[GENE].cast("string"))).alias("gene_id"), VALUE)
 
     def cell_expression(self, cells) -> DataFrame:
         """(cell_id, gene_id, value) of some cells, by name or number."""
@@ -115,19 +115,34 @@ class Dataset:
         s = normalize(self._ids(self.genes, GENE, "gene_id", genes), self.shape[1])
         return self._named(s.apply(self.tables.get("expression_by_gene", self.expression), GENE))
 
-    def gene_chunks(self, genes, chunk: int = 25_000) -> Iterator[tuple[range, DataFrame]]:
-        """(range of cell ids, their (cell_id, gene_id, value) of some genes), chunk by chunk; unknown gene names are warned of and left out."""
+    def _known_genes(self, genes):
+        """The selector of some genes; unknown names are warned of and left out."""
         genes = [genes] if isinstance(genes, (str, int)) else list(genes)
         text = [g for g in genes if isinstance(g, str)]
         known = {r["gene_id"] for r in self.genes.filter(F.col("gene_id").isin(text)).select("gene_id").collect()} if text else set()
         if missing := [g for g in text if g not in known]:
-            warnings.warn(f"unknown genes: {', '.join(missing[:10])}", stacklevel=2)
-        s = normalize(self._ids(self.genes, GENE, "gene_id", [g for g in genes if not isinstance(g, str) or g in known]), self.shape[1])
+            warnings.warn(f"unknown genes: {', '.join(missing[:10])}", stacklevel=3)
+        return normalize(self._ids(self.genes, GENE, "gene_id", [g for g in genes if not isinstance(g, str) or g in known]), self.shape[1])
+
+    def gene_chunks(self, genes, chunk: int = 25_000) -> Iterator[tuple[range, DataFrame]]:
+        """(range of cell ids, their (cell_id, gene_id, value) of some genes), chunk by chunk; unknown gene names are warned of and left out.
+
+        Every chunk is a query of its own; :meth:`gene_chunk_rows` has all of them in one.
+        """
+        s = self._known_genes(genes)
         for start in range(0, self.shape[0], chunk):
             own = range(start, min(start + chunk, self.shape[0]))
             rows = normalize(slice(own.start, own.stop), self.shape[0]).apply(self.expression, CELL)
             yield own, self._named(s.apply(rows, GENE))
 
+    def gene_chunk_rows(self, genes, chunk: int = 25_000) -> DataFrame:
+        """(chunk, cell_id, gene_id, value): the rows of all of :meth:`gene_chunks` with the number of their chunk, in one scan.
+
+        Reads the copy clustered by gene if there is one. Cells that the cell table lacks have rows too.
+        """
+        rows = self._known_genes(genes).apply(self.tables.get("expression_by_gene", self.expression), GENE)
+        return self._named(rows.withColumn("chunk", F.floor(F.col(CELL) / chunk).cast("bigint")), "chunk")
+
     def submatrix(self, cells: Any = None, genes: Any = None, layer: str | None = None) -> DataFrame:
         """(cell_id, gene_id, value) of a rectangle given by selectors."""
         return self._named(self.matrix(layer)[cells, genes].df())

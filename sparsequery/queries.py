@@ -701,8 +701,7 @@ def source_parts(ds):
 @on
 def gene_chunks(ds):
     """Counts and totals of some genes, chunk of cells by chunk."""
-    parts = [d.agg(F.count(F.lit(1)).alias("n"), F.sum(VALUE).alias("total")).select(F.lit(r.start // 1000).cast("bigint").alias("chunk"), "n", "total") for r, d in ds.gene_chunks([0, 5, 6, 100], 1000)]
-    return rnd(reduce(DataFrame.unionByName, parts).filter("n > 0"), "total")
+    return rnd(ds.gene_chunk_rows([0, 5, 6, 100], 1000).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.sum(VALUE).alias("total")), "total")
 
 
 @query("SELECT count(DISTINCT cell_integer_id) AS n_cells, CAST(ceil(count(DISTINCT cell_integer_id) / 64.0) AS BIGINT) AS n_batches, CAST(count(*) + 2 * count(DISTINCT cell_integer_id) AS BIGINT) AS n_tokens FROM e")

@@ -35,6 +35,16 @@ def test_point_access(ds):
     assert [(r.start, r.stop) for r in ds.row_ranges().orderBy("cell_integer_id").collect()] == [(0, 2), (2, 3), (3, 4), (4, 4), (4, 4)]
 
 
+def test_gene_chunks_in_one_scan(ds):
+    for chunk in (1, 2, 3, 25_000):
+        want = [(r.start // chunk, *row) for r, d in ds.gene_chunks([0, 1], chunk) for row in d.collect()]
+        rows = ds.gene_chunk_rows([0, 1], chunk)
+        assert sorted(map(tuple, rows.collect())) == sorted(want) and len(want) == 3
+        assert rows._jdf.queryExecution().analyzed().toString().count("Union") == 0
+    with pytest.warns(UserWarning, match="nope"):
+        assert ds.gene_chunk_rows(["gene_2", "nope"], 2).collect() == [(1, "cell_2", "gene_2", 4.0)]
+
+
 def test_dispersion_on_its_bound(spark):
     from itertools import permutations
 
