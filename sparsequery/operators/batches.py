@@ -12,10 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import workers
+from ..functions import tokens as tk
 from . import windows
 from .shuffle import random_order, stratified_order
 
 
+OWN_KINDS = ("geneformer", "scgpt")  # padding stands at the end only, and the mask follows from it
+KINDS = {"length": np.int32, "width": np.int32, "input_ids": np.int64, "attention_mask": np.bool_, "values": np.int64}
+
+
 @dataclass(frozen=True)
 class BatchPlan:
     """What a loader yields. ``kind``: "geneformer" (items by rank), "scgpt" (items and value bins), "raw", or a registered tokenizer."""
@@ -49,16 +54,38 @@ def token_table(expression: DataFrame, plan: BatchPlan) -> DataFrame:
     return windows.tokenizer(plan.kind, **options)(expression)
 
 
-def batched(expression: DataFrame, plan: BatchPlan, cells: DataFrame | None = None, epoch: int = 0) -> DataFrame:
-    """Tokens with ``place`` and ``batch`` for one epoch; orders ids first, so the wide arrays are joined, not sorted."""
+def placed_ids(expression: DataFrame, plan: BatchPlan, cells: DataFrame | None = None, epoch: int = 0) -> DataFrame:
+    """(cell_integer_id, ``place``, ``batch``) of one epoch."""
     ids = expression.select("cell_integer_id").distinct()
     seed = plan.seed + 10_000 * epoch
     if plan.stratum and cells is not None:
         placed = stratified_order(ids.join(cells.select("cell_integer_id", plan.stratum), "cell_integer_id", "left"), "cell_integer_id", plan.stratum, seed).select("cell_integer_id", "place")
     else:
         placed = random_order(ids, "cell_integer_id", seed)
-    placed = placed.withColumn("batch", F.floor(F.col("place") / plan.batch_size).cast("bigint"))
-    return token_table(expression, plan).join(placed, "cell_integer_id")
+    return placed.withColumn("batch", F.floor(F.col("place") / plan.batch_size).cast("bigint"))
+
+
+def batched(expression: DataFrame, plan: BatchPlan, cells: DataFrame | None = None, epoch: int = 0) -> DataFrame:
+    """Tokens with ``place`` and ``batch`` for one epoch; orders ids first, so the wide arrays are joined, not sorted."""
+    return token_table(expression, plan).join(placed_ids(expression, plan, cells, epoch), "cell_integer_id")
+
+
+def without_padding(tokens: DataFrame) -> DataFrame:
+    """Tokens cut before their padding, with ``length`` and the padded ``width`` instead of the mask; :func:`padded` undoes it."""
+    t = tokens.drop("attention_mask").withColumns({"length": tk.token_count(F.col("input_ids")).cast("int"), "width": F.size("input_ids")})
+    return t.withColumns({c: F.slice(c, F.lit(1), F.col("length")) for c in ("input_ids", "values") if c in t.columns})
+
+
+def padded(length: np.ndarray, width: np.ndarray, flat: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """``flat``: the tokens of a batch's rows one after another -> arrays of ``width``, and the mask behind ``input_ids``."""
+    mask = np.arange(width.max(initial=0)) < length[:, None]
+    out = {}
+    for c, x in flat.items():
+        out[c] = np.full(mask.shape, tk.PAD, x.dtype)
+        out[c][mask] = x
+        if c == "input_ids":
+            out["attention_mask"] = mask
+    return out
 
 
 def _packed(columns: list[str]):
@@ -94,7 +121,8 @@ class BatchLoader:
     """Iterates over batches as dicts of arrays.
 
     The executors stack each batch into arrays; the driver gets one row of bytes per batch, partition by partition, the
-    next partition being fetched meanwhile. ``metrics`` tells batches, rows, tokens and seconds waited so far.
+    next partition being fetched meanwhile. Padding of the own kinds is neither shuffled nor sent, but added at the end;
+    registered tokenizers may pad and mask as they like, so theirs travels. ``metrics`` tells batches, rows, tokens and seconds waited so far.
     """
 
     def __init__(self, expression: DataFrame, plan: BatchPlan = BatchPlan(), cells: DataFrame | None = None):
@@ -113,19 +141,27 @@ class BatchLoader:
         m["rows_per_second"] = m["rows"] / m["seconds"] if m["seconds"] else 0.0
         return batch
 
+    def packed(self, epoch: int = 0) -> DataFrame:
+        """(batch, n, and of every column the bytes of its array), one row per batch of arrays."""
+        tokens = token_table(self.expression, self.plan)
+        if self.plan.kind in OWN_KINDS:
+            tokens = without_padding(tokens)
+        rows = tokens.join(placed_ids(self.expression, self.plan, self.cells, epoch), "cell_integer_id")
+        columns = ["cell_integer_id", *(c for c in KINDS if c in rows.columns)]
+        exact = [F.col(c).cast("array<bigint>").alias(c) if c in ("input_ids", "values") else F.col(c) for c in columns]
+        workers(rows.sparkSession)
+        placed = rows.select("batch", "place", *exact).repartitionByRange("batch").sortWithinPartitions("place").drop("place")
+        return placed.mapInArrow(_packed(columns), "batch bigint, n int, " + ", ".join(f"{c} binary" for c in columns))
+
     def _arrays(self) -> Iterator[dict]:
         for epoch in range(self.plan.n_epochs):
-            rows = batched(self.expression, self.plan, self.cells, epoch)
-            columns = ["cell_integer_id", *(c for c in ("input_ids", "attention_mask", "values") if c in rows.columns)]
-            kinds = {c: np.bool_ if c == "attention_mask" else np.int64 for c in columns}
-            exact = [F.col(c).cast("array<bigint>").alias(c) if c in ("input_ids", "values") else F.col(c) for c in columns]
-            workers(rows.sparkSession)
-            placed = rows.select("batch", "place", *exact).repartitionByRange("batch").sortWithinPartitions("place").drop("place")
-            packed = placed.mapInArrow(_packed(columns), "batch bigint, n int, " + ", ".join(f"{c} binary" for c in columns))
+            packed = self.packed(epoch)
             began = time.monotonic()
             for r in packed.toLocalIterator(prefetchPartitions=True):
-                a = {c: np.frombuffer(r[c], kinds[c]) for c in columns}
-                batch = {"cell_ids": a.pop("cell_integer_id"), "epoch": epoch, **{c: x.reshape(r["n"], -1) for c, x in a.items()}}
+                a = {c: np.frombuffer(r[c], KINDS.get(c, np.int64)) for c in packed.columns[2:]}
+                ids = a.pop("cell_integer_id")
+                arrays = padded(a.pop("length"), a.pop("width"), a) if "length" in a else {c: x.reshape(r["n"], -1) for c, x in a.items()}
+                batch = {"cell_ids": ids, "epoch": epoch, **arrays}
                 yield self._count(batch, began)
                 began = time.monotonic()
 

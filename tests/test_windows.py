@@ -111,6 +111,19 @@ def test_orders(spark, e):
     assert global_rank(g.limit(0), [F.col("k")]).count() == 0
 
 
+def test_loader_sends_no_padding(e):
+    for kind, columns in (("geneformer", 1), ("scgpt", 2)):
+        loader = batches.BatchLoader(e, batches.BatchPlan(kind, batch_size=2))
+        sent = [r.asDict() for r in loader.packed().collect()]
+        out = list(loader)
+        assert [b["input_ids"].shape for b in out] == [b["attention_mask"].shape for b in out] == [(2, 2048 + 2 * (columns - 1)), (1, 2048 + 2 * (columns - 1))]
+        live = sum(len(r[c]) for r in sent for c in r if c in ("input_ids", "attention_mask", "values"))
+        assert live == 8 * columns * loader.metrics["tokens"] > 0
+        own = {r.cell_integer_id: r.asDict() for r in batches.token_table(e, batches.BatchPlan(kind)).collect()}
+        for c in ("input_ids", "attention_mask", "values")[: columns + 1]:
+            assert {int(i): x.tolist() for b in out for i, x in zip(b["cell_ids"], b[c])} == {i: list(r[c]) for i, r in own.items()}
+
+
 def test_loader_delivers_every_group_once_per_epoch(e):
     for kind in ("geneformer", "scgpt", "raw"):
         out = list(batches.BatchLoader(e, batches.BatchPlan(kind, batch_size=2, max_items=4, n_epochs=2)))
